@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat, token_count, warc
+from tallyframe.llm import chat, gam, licenses, quality_rules, token_count, warc
 from tallyframe.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -13,6 +13,45 @@ TOKEN_LIMIT = 2048
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
+QUALITY_CUT = 0.3
+FIT_ROWS = 20_000
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of whole documents and of their single lines."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and the cascade's verdict."""
+    docs = quality_rules.with_base(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sample_of = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality_rules.default_rules()
+    rules = quality_rules.ordered_rules(sample_of, rules, prepare=quality_rules.with_base)
+    judged = quality_rules.apply_cascade(docs, rules, before=F.col("base_failed"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        F.col("failed_rule").isNull().alias("kept"),
+    )
+
+
+def held_out(doc_id) -> Column:
+    """Whether a document's labels are kept from the fit (a null id counts as empty text)."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def quality_model(spark: SparkSession, documents: DataFrame, sf_dir: str) -> gam.AdditiveModel:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return gam.fit_quality(documents, labels.filter(~held_out(F.col("doc_id"))), FIT_ROWS)
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every whole document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = gam.with_score(docs, quality_model(spark, docs, sf_dir))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one more (-1) made of control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -58,5 +97,50 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {"op6_chat_format": op6_chat_format, "op7_token_count": op7_token_count, "op9_warc": op9_warc}
-ORACLES = {"op6_chat_format": ORACLE_6}
+ORACLE_4 = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+p AS (SELECT k, i, array_to_string(words[i:i+4], ' ') AS win FROM (SELECT k, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
+r AS (SELECT k, count(DISTINCT i + o) AS n FROM
+  (SELECT k, i, count(*) OVER (PARTITION BY k, win) AS c FROM p), (SELECT unnest(range(5)) AS o) WHERE c > 1 GROUP BY k),
+b AS (SELECT doc_id, text, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines,
+  coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r USING (k)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, greatest(n_words, 1) AS n FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > word_chars OR word_chars < 2 * n OR word_chars > 15 * n
+    OR 10 * n_dup_lines > 5 * n_lines OR 2 * (length(text) - length(replace(text, '!', ''))) > n
+    OR 2 * length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) > length(regexp_replace(text, '[^\p{L}]', '', 'g'))) AS kept
+FROM f
+"""
+
+
+def _canonical_sql(text: str) -> str:
+    plain = f"trim(regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{licenses.COPYRIGHT_LINE}', ' ', 'g'), '{licenses.NOT_WORD}', ' ', 'g'))"
+    for british, american in licenses.SPELLINGS.items():
+        plain = f"regexp_replace({plain}, '\\b{british}\\b', '{american}', 'g')"
+    return plain
+
+
+def _known_sql(known: dict[str, str]) -> str:
+    rows = ", ".join("('" + text.replace("'", "''") + f"', '{name}')" for text, name in known.items())
+    return f"SELECT md5({_canonical_sql('t')}) AS digest, min(n) AS license FROM (VALUES {rows}) AS k(t, n) GROUP BY 1"
+
+
+ORACLE_3 = f"""
+WITH l AS ({_known_sql({t: n for n, t in licenses.LICENSES.items()})}), s AS ({_known_sql(licenses.NOTICES)}),
+c AS (SELECT doc_id, {_canonical_sql('text')} AS form FROM documents),
+w AS (SELECT doc_id, CASE WHEN form <> '' THEN md5(form) END AS text_digest FROM c),
+x AS (SELECT doc_id, {_canonical_sql('line')} AS form FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+h AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM x JOIN s ON form <> '' AND md5(form) = digest GROUP BY doc_id)
+SELECT w.doc_id, text_digest, license, coalesce(notices, '') AS notices
+FROM w LEFT JOIN l ON text_digest = digest LEFT JOIN h ON w.doc_id IS NOT DISTINCT FROM h.doc_id
+"""
+
+QUERIES = {
+    "op3_license_scan": op3_license_scan, "op4_quality_rules": op4_quality_rules, "op10_quality_classifier": op10_quality_classifier,
+    "op6_chat_format": op6_chat_format, "op7_token_count": op7_token_count, "op9_warc": op9_warc,
+}
+ORACLES = {"op3_license_scan": ORACLE_3, "op4_quality_rules": ORACLE_4, "op6_chat_format": ORACLE_6}

@@ -178,5 +178,6 @@ def read_records(index: DataFrame, keep_payload: bool = True) -> DataFrame:
                     rows.append((page_id, row.url, size, digest, kind, refers_to, payload if keep_payload and kind == "response" else None))
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    dealt = index.withColumn("stretch", F.floor(F.col("offset") / STRETCH)).repartition("folder", "file", "stretch")
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # index rows are small, their reads are not
+    dealt = index.withColumn("stretch", F.floor(F.col("offset") / STRETCH)).repartition(tasks, "folder", "file", "stretch")
     return dealt.sortWithinPartitions("folder", "file", "offset").select("folder", "file", "offset", "length", "url").mapInPandas(read, RECORD)
