@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import substring_dedup
+from tallyframe.llm import near_dedup, substring_dedup
 from tallyframe.llm.common import table
 
 
+def op2_dartminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_dedup.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes under repeated 200-byte strings removed from every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.deduplicated(docs).drop("kept_text")
 
 
-QUERIES = {"op5_suffix_array_dedup": op5_suffix_array_dedup}
+QUERIES = {"op2_dartminhash_near_dedup": op2_dartminhash_near_dedup, "op5_suffix_array_dedup": op5_suffix_array_dedup}
 ORACLES: dict[str, str] = {}
