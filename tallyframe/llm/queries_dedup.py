@@ -1,13 +1,18 @@
-"""Driver queries of the operators that compare documents."""
+"""Driver queries of the operators that compare documents, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import near_dedup, substring_dedup
+from tallyframe.llm import decontaminate, mixing, near_dedup, substring_dedup
 from tallyframe.llm.common import table
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    return mixing.taken(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op2_dartminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return near_dedup.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -19,5 +24,25 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicated(docs).drop("kept_text")
 
 
-QUERIES = {"op2_dartminhash_near_dedup": op2_dartminhash_near_dedup, "op5_suffix_array_dedup": op5_suffix_array_dedup}
-ORACLES: dict[str, str] = {}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, with the shingles they share."""
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_8 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM documents),
+d AS (SELECT DISTINCT doc_id, array_to_string(words[i:i+4], ' ') AS s FROM
+  (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
+v AS (SELECT item_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM benchmark),
+b AS (SELECT DISTINCT item_id, array_to_string(words[i:i+4], ' ') AS s FROM
+  (SELECT item_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM v WHERE len(words) > 0)),
+n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id)
+SELECT doc_id, item_id, n_shingles, count(*) AS n_shared
+FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY ALL HAVING count(*) >= 0.8 * n_shingles
+"""
+
+QUERIES = {
+    "op1_source_mixing": op1_source_mixing, "op2_dartminhash_near_dedup": op2_dartminhash_near_dedup,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup, "op8_decontamination": op8_decontamination,
+}
+ORACLES = {"op8_decontamination": ORACLE_8}
