@@ -75,25 +75,43 @@ NOTICES = {
 }
 COPYRIGHT_LINE = "(?m)^[ \\t#*/;-]*(copyright|\\(c\\)|©|all rights reserved)[^\\n]*$"
 NOT_WORD = "[^\\p{L}\\p{N}]+"
+NOT_WORD_OR_END = "[^\\p{L}\\p{N}\\n]+"
 #: Known tables up to so many rows are broadcast (32 hex digits and a name each); larger ones are shuffled.
 BROADCAST_ROWS = 100_000
 
 
-def canonical(text: Column) -> Column:
-    """Canonical form of a text; '' if nothing is left."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, " ")
-    plain = F.trim(F.regexp_replace(plain, NOT_WORD, " "))
-    british = "\\b(" + "|".join(SPELLINGS) + ")\\b"
+def _spelling_pattern() -> str:
+    """One alternative per first letter keeps the scan of texts that hold none of the words short."""
+    heads: dict[str, list[str]] = {}
+    for word in sorted(SPELLINGS):
+        heads.setdefault(word[0], []).append(word[1:])
+    return "\\b(?:" + "|".join(f"{k}(?:{'|'.join(v)})" for k, v in heads.items()) + ")\\b"
+
+
+def canonical_lines(text: Column) -> Column:
+    """Canonical form of a text, line by line ('' if nothing is left)."""
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    marked = lower.contains("copyright") | lower.contains("(c)") | lower.contains("©") | lower.contains("all rights reserved")
+    rest = F.when(marked, F.regexp_replace(lower, COPYRIGHT_LINE, " ")).otherwise(lower)
+    plain = F.regexp_replace(rest, NOT_WORD_OR_END, " ")
     spelling = F.create_map(*[F.lit(w) for pair in SPELLINGS.items() for w in pair])
-    unified = F.array_join(F.transform(F.split(plain, " "), lambda w: F.coalesce(F.element_at(spelling, w), w)), " ")
-    return F.when(plain.rlike(british), unified).otherwise(plain)
+    unify = lambda line: F.array_join(F.transform(F.split(line, " "), lambda w: F.coalesce(F.element_at(spelling, w), w)), " ")
+    unified = F.array_join(F.transform(F.split(plain, "\n"), unify), "\n")
+    return F.when(plain.rlike(_spelling_pattern()), unified).otherwise(plain)
 
 
-def digest(text: Column) -> Column:
-    form = canonical(text)
+def one_line(lines: Column) -> Column:
+    return F.trim(F.regexp_replace(lines, " ?\\n[ \\n]*", " "))
+
+
+def _digest_of(form: Column) -> Column:
     return F.when(form != "", F.md5(form.cast("binary")))
 
 
+def digest(text: Column) -> Column:
+    return _digest_of(one_line(canonical_lines(text)))
+
+
 def known_digests(known: DataFrame) -> DataFrame:
     """(digest, license) of known(license, text), one row a digest."""
     return known.select(digest(F.col("text")).alias("digest"), "license").filter("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
@@ -118,8 +136,17 @@ def scan(df: DataFrame, licenses: DataFrame | None = None, notices: DataFrame |
     licenses = built_in(spark, {t: n for n, t in LICENSES.items()}) if licenses is None else licenses
     notices = built_in(spark, NOTICES) if notices is None else notices
     rows = df.select(key, text)
-    whole = rows.select(key, digest(F.col(text)).alias("text_digest")).join(_bounded(known_digests(licenses)).withColumnRenamed("digest", "text_digest"), "text_digest", "left")
-    lines = rows.select(key, F.explode(F.split(text, "\n")).alias("line")).select(key, digest(F.col("line")).alias("digest"))
-    hits = lines.join(_bounded(known_digests(notices)), "digest").groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
-    hits = hits.withColumnRenamed(key, "_key")
-    return whole.join(hits, whole[key].eqNullSafe(hits["_key"]), "left").select(key, "text_digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
+    known = known_digests(licenses).select("digest", F.lit(True).alias("whole"), "license")
+    known = _bounded(known.unionByName(known_digests(notices).select("digest", F.lit(False).alias("whole"), "license")))
+    # one pass over the texts: the digest of the whole and those of its lines, of which only hits go on
+    forms = rows.select(key, F.monotonically_increasing_id().alias("_row"), canonical_lines(F.col(text)).alias("_form"))
+    whole = F.array(F.struct(F.lit(True).alias("whole"), _digest_of(one_line(F.col("_form"))).alias("digest")))
+    lines = F.transform(F.split("_form", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), _digest_of(F.trim(x)).alias("digest")))
+    units = forms.select(key, "_row", F.inline(F.concat(whole, lines)))
+    found = units.join(known, ["digest", "whole"], "left").filter(F.col("whole") | F.col("license").isNotNull())
+    of_whole, of_line = F.when(F.col("whole"), F.col("license")), F.when(~F.col("whole"), F.col("license"))
+    grouped = found.groupBy(key, "_row").agg(
+        F.max(F.when(F.col("whole"), F.col("digest"))).alias("text_digest"), F.max(of_whole).alias("license"),
+        F.array_join(F.array_sort(F.collect_set(of_line)), ",").alias("notices"),
+    )
+    return grouped.drop("_row")
