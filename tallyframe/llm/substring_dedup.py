@@ -228,6 +228,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc, tag, span) of everything in docs(doc_id, text) that a repeated LENGTH-byte string covers; spans may overlap."""
     keyed = _keyed(docs, text)
     repeated = keyed.mapInArrow(_grams, "gram long").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    repeated = written(repeated, "repeated-grams")  # read again, it leaves Spark free to split hot grams in the join
     runs = keyed.mapInArrow(_runs, "gram long, context long, doc long, place long").join(repeated, "gram")
     runs = written(runs, "runs")
     contexts = runs.groupBy("gram", "context").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "place")).alias("one"))
