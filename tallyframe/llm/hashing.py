@@ -54,7 +54,8 @@ def stretches(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
     """(first row, end row, bytes, row offsets into bytes) of a string column, about STRETCH_BYTES at a time; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.fill_null("").cast(pa.large_binary())
+    empty = b"" if pa.types.is_large_binary(column.type) else ""
+    column = column.fill_null(empty).cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
     a = 0

@@ -2,14 +2,16 @@
 
 1. Every text gets a DartMinHash signature of its 5-word shingles (weight 1 a distinct shingle, or its
    count), cut into BANDS bands of ROWS values. Equal texts are collapsed to their least doc_id first.
-2. Texts that share a band's hash meet in a bucket. Buckets of up to SMALL texts give all their pairs;
-   larger ones pair each text with LEADERS of the bucket, so the number of pairs stays linear.
-3. Pairs are verified by the exact (weighted) Jaccard similarity of whole shingle sets: first the likeliest
-   pair of each text, then those of what is left whose ends are not yet connected.
-4. Where a large bucket still holds several components, the texts outside its main component are paired
-   with the bucket's texts of other components, and verified: no link between texts that met is lost.
+2. Texts that share a band's hash meet in a bucket. A bucket of n texts gives n - 1 edges, to its least id; the
+   connected components of all edges are the candidate clusters, outside of which no two texts met.
+3. Clusters are dealt in chunks of at most CHUNK shingles. In a chunk, every two texts that are not connected
+   yet are compared: bitmaps give an upper bound of their similarity, and where it reaches the threshold the
+   exact (weighted) Jaccard similarity of the whole shingle sets decides. Only links leave the task.
+4. Where a cluster of several chunks is still in several components, the texts outside its main component are
+   streamed past all chunks of the cluster. So no link between two texts that met is lost, whatever the
+   size of their group, and no list of pairs is ever made.
 
-With 32 bands of 4, a pair at similarity 0.8 stays unseen with probability (1 - 0.8**4)**32 = 5e-8.
+With 32 bands of 4, a pair at similarity 0.8 does not meet with probability (1 - 0.8**4)**32 = 5e-8.
 
 Cases: null texts and texts without words are duplicates of nothing; texts under 5 words are one shingle of
 all their words; a null doc_id is never a representative, rows with it belong to the class of their equal texts
@@ -29,10 +31,12 @@ from tallyframe.llm.common import written
 from tallyframe.llm.components import components
 from tallyframe.llm.dartminhash import bands, signatures
 from tallyframe.llm.hashing import distinct_shingles, stretches
+from tallyframe.llm.packing import packed_documents, unpacked
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
-SMALL = 8
+CHUNK = 1_500_000
+BITS = 4_096
 
 
 def _weights(times: np.ndarray, weighted: bool) -> np.ndarray:
@@ -57,73 +61,150 @@ def signed(docs: DataFrame, weighted: bool = False, text: str = "text") -> DataF
     return keyed.mapInArrow(sign, "doc_id long, digest binary, n_shingles long, bands array<bigint>")
 
 
-def candidate_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From buckets(bucket, id): pairs (a < b, shared: buckets that gave the pair), and the large buckets' rows."""
-    pick = lambda salt: F.min_by("id", F.xxhash64("id", F.lit(salt)))
-    sized = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.array_distinct(F.array(F.min("id"), pick(1), pick(2), pick(3))).alias("leaders")).filter("n > 1")
-    rows = written(buckets.join(sized, "bucket"), "buckets")
-    small = rows.filter(F.col("n") <= SMALL).select("bucket", "id")
-    own = small.join(small.withColumnRenamed("id", "other"), "bucket").filter("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"))
-    large = rows.filter(F.col("n") > SMALL)
-    led = large.select("id", F.explode("leaders").alias("other")).filter("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-    pairs = own.unionByName(led).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    return pairs, large.select("bucket", "id")
+def candidate_edges(buckets: DataFrame) -> DataFrame:
+    """Edges (a, b) from the least id of every bucket(bucket, id) of two or more to its others."""
+    shared = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("bucket", "a")
+    shared = written(shared, "buckets")  # read again, it leaves Spark free to split hot buckets in the join
+    return buckets.join(shared, "bucket").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, text: str = "text") -> DataFrame:
-    """(id, shingles, times) of the texts of docs(doc_id, text) whose id is in ids(id)."""
+def shingle_sets(docs: DataFrame, members: DataFrame, text: str = "text") -> DataFrame:
+    """members(id, cluster, chunk) with the shingle set (shingles, times) of their text in docs(doc_id, text)."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in stretches(batch.column("text")):
+            texts = pa.array([unpacked(x, n) for x, n in zip(batch.column("text").to_pylist(), batch.column("n_bytes").to_pylist(), strict=True)], pa.large_binary())
+            for a, b, data, offsets in stretches(texts):
                 element, row, times = distinct_shingles(data, offsets, SHINGLE)
                 ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=b - a)))).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (element.view(np.int64), times.astype(np.int32))]
-                yield pa.record_batch([batch.column("id").slice(a, b - a), *lists], names=["id", "shingles", "times"])
+                yield pa.record_batch([*(batch.column(n).slice(a, b - a) for n in ("id", "cluster", "chunk")), *lists], names=["id", "cluster", "chunk", "shingles", "times"])
+
+    rows = packed_documents(docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")))
+    rows = rows.join(members, "id").dropDuplicates(["id"])
+    return rows.mapInArrow(gather, "id long, cluster long, chunk long, shingles array<bigint>, times array<int>")
+
+
+class Sets:
+    """Shingle sets of some texts, with bitmaps that bound their similarities."""
+
+    def __init__(self, batch: pa.RecordBatch | pa.Table, weighted: bool):
+        self.ids = batch["id"].to_numpy()
+        self.shingles = [x.values.to_numpy() for x in batch["shingles"]]
+        self.weights = [_weights(x.values.to_numpy(), weighted) for x in batch["times"]]
+        self.mass = np.array([w.sum() for w in self.weights])
+        self.maps = np.zeros((len(self.ids), BITS // 64), np.uint64)
+        row = np.repeat(np.arange(len(self.ids)), [len(x) for x in self.shingles])
+        bit = (np.concatenate(self.shingles).view(np.uint64) >> np.uint64(52)) if len(row) else np.zeros(0, np.uint64)
+        np.bitwise_or.at(self.maps, (row, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+
+    def bounds(self, other: Sets, i: int) -> np.ndarray:
+        """Upper bounds of the similarity of other's text i to each of these: a bit that one map lacks is a shingle,
+        of weight 1 or more, that its text lacks."""
+        theirs = other.maps[i]
+        lacking = np.bitwise_count(self.maps & ~theirs).sum(1), np.bitwise_count(theirs & ~self.maps).sum(1)
+        both = np.minimum(self.mass - lacking[0], other.mass[i] - lacking[1])
+        return both / np.maximum(self.mass + other.mass[i] - both, 1e-9)
+
+    def similarity(self, other: Sets, i: int, j: int) -> float:
+        _, left, right = np.intersect1d(self.shingles[j], other.shingles[i], assume_unique=True, return_indices=True)
+        both = np.minimum(self.weights[j][left], other.weights[i][right]).sum()
+        return both / (self.mass[j] + other.mass[i] - both)
+
+
+class Forest:
+    """Union-find over the components that one task sees."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def root(self, x):
+        path = []
+        while (y := self.up.get(x, x)) != x:
+            path.append(x)
+            x = y
+        for p in path:
+            self.up[p] = x
+        return x
+
+    def join(self, x, y) -> None:
+        self.up[self.root(x)] = self.root(y)
+
+
+def links_between(members: Sets, labels: list, asked: Sets, asked_labels: list, forest: Forest, threshold: float, later: bool) -> list[tuple]:
+    """Links that connect asked texts with members of other components; likeliest first, none within a component.
+    later: asked are the members themselves, and a text is compared with those after it."""
+    out = []
+    for i in range(len(asked.ids)):
+        bounds = members.bounds(asked, i)
+        near = np.flatnonzero(bounds >= threshold - 1e-9)
+        near = near[near > i] if later else near
+        for j in near[np.argsort(-bounds[near], kind="stable")].tolist():
+            if forest.root(labels[j]) != forest.root(asked_labels[i]) and members.similarity(asked, i, j) >= threshold - 1e-9:
+                forest.join(labels[j], asked_labels[i])
+                out.append((int(members.ids[j]), int(asked.ids[i])))
+    return out
+
+
+def chunk_links(rows: DataFrame, weighted: bool, threshold: float) -> DataFrame:
+    """Links (a, b) inside each chunk of rows(cluster, chunk, asked, id, component, shingles, times).
+
+    Rows with asked = 1 are compared with the chunk's rows with asked = 0; a chunk without any is compared with itself.
+    Members of a chunk are held in memory, at most about CHUNK shingles; asked texts stream past them.
+    """
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi").dropDuplicates(["id"])
-    return rows.mapInArrow(gather, "id long, shingles array<bigint>, times array<int>")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, members, names, forest = None, [], None, [], Forest()
 
+        def result(links):
+            return pa.record_batch([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-def verified(pairs: DataFrame, sets: DataFrame, weighted: bool = False, threshold: float = THRESHOLD) -> DataFrame:
-    """Those pairs(a, b) whose exact similarity over sets(id, shingles, times) is at least the threshold."""
+        def inner():
+            own = Sets(pa.concat_tables(held), weighted)
+            label = own.ids.tolist()
+            return result(links_between(own, label, own, label, Forest(), threshold, True))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = {n: batch.column(n) for n in batch.schema.names}
-            alike = np.zeros(batch.num_rows)
-            for i in range(batch.num_rows):
-                x, y = (got[n][i].values.to_numpy() for n in ("x", "y"))
-                p, q = (_weights(got[n][i].values.to_numpy(), weighted) for n in ("p", "q"))
-                _, left, right = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-                both = np.minimum(p[left], q[right]).sum()
-                alike[i] = both / max(p.sum() + q.sum() - both, 1e-9)
-            keep = pa.array(alike >= threshold - 1e-12)
-            yield pa.record_batch([got["a"], got["b"], pa.array(alike)], names=["a", "b", "similarity"]).filter(keep)
-
-    x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"), F.col("times").alias("p"))
-    y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"), F.col("times").alias("q"))
-    sides = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "p", "y", "q")
-    return sides.mapInArrow(compare, "a long, b long, similarity double")
-
-
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """pairs whose ends are not in one component."""
-    a = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    b = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    joined = pairs.join(a, "a", "left").join(b, "b", "left")
-    return joined.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
-
-
-def _left_over(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of texts of one large bucket in different components, one of them outside the bucket's main component."""
-    named = large.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    per = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    main = per.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    rows = named.join(main, "bucket")
-    outside = rows.filter("component <> main").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"))
-    met = outside.join(rows.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy")), "bucket").filter("cx <> cy")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            keys = np.stack([batch.column(n).to_numpy() for n in ("cluster", "chunk", "asked")])
+            cuts = np.flatnonzero(np.any(keys[:, 1:] != keys[:, :-1], axis=0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True) if batch.num_rows else ():
+                cluster, chunk, asked = (int(x) for x in keys[:, a])
+                part = pa.Table.from_batches([batch.slice(a, b - a)])
+                if (cluster, chunk) != key:
+                    if held and members is None:
+                        yield inner()
+                    key, held, members, forest = (cluster, chunk), [], None, Forest()
+                if asked == 0:
+                    held.append(part)
+                elif held:
+                    if members is None:
+                        table = pa.concat_tables(held)
+                        members, names = Sets(table, weighted), table["component"].to_pylist()
+                    found = links_between(members, names, Sets(part, weighted), part["component"].to_pylist(), forest, threshold, False)
+                    yield result(found)
+        if held and members is None:
+            yield inner()
+
+    dealt = rows.repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk", "asked")
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def _open_rows(sets: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """The rows of clusters of several chunks that are not connected yet: all texts once, and those outside the
+    main component once more for every chunk."""
+    many = sets.groupBy("cluster").agg((F.max("chunk") + 1).alias("chunks")).filter("chunks > 1")
+    named = sets.select("id", "cluster").join(many, "cluster").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = written(named, "open")
+    if named.isEmpty():
+        return None
+    sizes = named.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    rows = named.join(main, "cluster").select("id", "component", "main", "chunks")
+    full = sets.join(rows, "id")
+    columns = ["cluster", "chunk", "asked", "id", "component", "shingles", "times"]
+    own = full.withColumn("asked", F.lit(0)).select(columns)
+    asked = full.filter("component <> main").withColumn("asked", F.lit(1)).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(columns)
+    return own.unionByName(asked)
 
 
 def near_deduplicated(docs: DataFrame, weighted: bool = False, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
@@ -138,22 +219,19 @@ def near_classes(docs: DataFrame, weighted: bool = False, threshold: float = THR
     """(doc_id, class_id) for every row of docs(doc_id, text); class_id is the least doc_id of its class."""
     rows = written(signed(docs, weighted, text), "signed")
     worded = rows.filter("n_shingles > 0")
-    texts = written(worded.filter("doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("one")).select("digest", "one.*"), "texts")
-    buckets = texts.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id")).distinct()
-    pairs, large = candidate_pairs(buckets)
-    pairs, large = written(pairs, "pairs"), written(large, "large-buckets")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = written(shingle_sets(docs, ids, text), "shingle-sets")
-    first = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
-    links = written(verified(first, sets, weighted, threshold), "links")
-    labels = components(links)
-    rest = _apart(pairs, labels).join(first, ["a", "b"], "left_anti")
-    links = written(links.unionByName(verified(rest, sets, weighted, threshold)), "links")
+    texts = written(worded.filter("doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("one")).select("digest", "one.*"), "texts")
+    edges = candidate_edges(texts.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id")))
+    clusters = components(edges).toDF("id", "cluster")
+    sized = texts.groupBy(F.col("doc_id").alias("id")).agg(F.max("n_shingles").alias("n")).join(clusters, "id")
+    total = sized.groupBy("cluster").agg(F.ceil(F.sum("n") / CHUNK).alias("chunks"))
+    members = sized.join(total, "cluster").select("id", "cluster", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"))
+    sets = written(shingle_sets(docs, members, text), "shingle-sets")
+    own = sets.withColumns({"asked": F.lit(0), "component": F.col("id")})
+    links = written(chunk_links(own, weighted, threshold), "links")
     labels = components(links)
-    more = verified(written(_left_over(large, labels), "left-over"), sets, weighted, threshold)
-    more = written(more, "links")
-    if not more.isEmpty():
-        links = links.unionByName(more)
+    rest = _open_rows(sets, labels)
+    if rest is not None:
+        links = links.unionByName(written(chunk_links(rest, weighted, threshold), "links"))
         labels = components(links)
     named = texts.select("digest", F.col("doc_id").alias("node")).join(labels, "node", "left")
     named = named.select("digest", F.coalesce("component", "node").alias("class_id"))

@@ -32,6 +32,7 @@ from tallyframe.llm.anchors import window_anchors
 from tallyframe.llm.common import written
 from tallyframe.llm.gsaca import suffix_array
 from tallyframe.llm.hashing import prefix_hash, stretch_hash, stretches
+from tallyframe.llm.packing import packed_documents, unpacked
 
 LENGTH, GRAM, GROUP, SYMBOL = 200, 50, 4_000, 16
 #: Distinct contexts that are suffix-sorted together (whole grams at a time).
@@ -73,31 +74,11 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield runs.select(["gram"])
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed before they are shuffled."""
-    codec = pa.Codec("zstd", 1)
-    for batch in batches:
-        texts = batch.column("text").fill_null("").cast(pa.large_binary())
-        raw = [x.as_buffer() for x in texts]
-        packed = pa.array([codec.compress(x, asbytes=True) if x.size else b"" for x in raw], pa.binary())
-        columns = [packed if n == "text" else batch.column(n) for n in batch.schema.names]
-        yield pa.record_batch([*columns, pa.array([x.size for x in raw], pa.int64())], names=[*batch.schema.names, "n_bytes"])
-
-
-def packed_documents(keyed: DataFrame) -> DataFrame:
-    schema = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in keyed.schema)
-    return keyed.mapInArrow(_packed, f"{schema}, n_bytes long")
-
-
-def _unpacked(blob: bytes, size: int) -> bytes:
-    return pa.Codec("zstd").decompress(blob, size, asbytes=True) if size else b""
-
-
 def _context_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: dict[str, list] = {n: [] for n in BYTES.names}
         for doc, blob, size, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "n_bytes", "wanted")), strict=True):
-            text = _unpacked(blob, size)
+            text = unpacked(blob, size)
             for w in wanted:
                 low, _, width, _ = unpack(w["place"])
                 for name, value in zip(BYTES.names, (w["gram"], w["context"], w["copies"], doc, w["place"], text[low : low + width + LENGTH]), strict=True):
@@ -268,7 +249,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, removed, count, digest = [], [], [], []
         for blob, size, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "n_bytes", "spans")), strict=True):
-            text = _unpacked(blob, size)
+            text = unpacked(blob, size)
             runs = merged(np.array(spans, np.int64)) if spans else np.zeros((0, 2), np.int64)
             edges = [0, *runs.ravel().tolist(), size]
             rest = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
