@@ -185,10 +185,15 @@ class Plan:
         return copies.join(where, _same("source", F.col("_s")) & (F.col("copy") == F.col("_c")) & (F.col("block") == F.col("_b"))).select("doc_id", "source", "size", "key", "copy", "shard")
 
 
-def taken(docs: DataFrame, seed: int = 11, text: str = "text") -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies): what the mix takes of every document."""
-    rows = Plan(docs, seed, text).rows
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+def taken(docs: DataFrame, shards: int = 64, seed: int = 11, text: str = "text") -> DataFrame:
+    """(doc_id, size, source_size, target, taken, copies, shards): what the mix takes of every document, counted
+    over the shards that its copies were dealt to."""
+    plan = Plan(docs, seed, text)
+    dealt = plan.shards(shards).dropDuplicates(["source", "key", "doc_id", "copy"])
+    drawn = dealt.groupBy(F.col("source").alias("_s"), F.col("key").alias("_k"), F.col("doc_id").alias("_d")).agg(F.sort_array(F.collect_list("shard")).alias("shards"))
+    rows = plan.rows.join(drawn, _same("source", F.col("_s")) & (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    copies = F.when(F.col("shards").isNull(), F.lit(0)).otherwise(F.size("shards")).cast("long")
+    return rows.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "shards")
 
 
 def mixed(docs: DataFrame, shards: int = 64, seed: int = 11, text: str = "text") -> DataFrame:
