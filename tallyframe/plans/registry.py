@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from tallyframe.plans import queries_data, queries_tables
+
+MODULES = (queries_tables, queries_data)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
