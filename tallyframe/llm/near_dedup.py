@@ -2,8 +2,8 @@
 
 1. Every text gets a DartMinHash signature of its 5-word shingles (weight 1 a distinct shingle, or its
    count), cut into BANDS bands of ROWS values. Equal texts are collapsed to their least doc_id first.
-2. Texts that share a band's hash meet in a bucket. A bucket of n texts gives n - 1 edges, to its least id; the
-   connected components of all edges are the candidate clusters, outside of which no two texts met.
+2. Texts that share a band's hash meet in a bucket. Every text is tied to the least ids of its buckets; the
+   connected components of these ties are the candidate clusters, outside of which no two texts met.
 3. Clusters are dealt in chunks of at most CHUNK shingles. In a chunk, every two texts that are not connected
    yet are compared: bitmaps give an upper bound of their similarity, and where it reaches the threshold the
    exact (weighted) Jaccard similarity of the whole shingle sets decides. Only links leave the task.
@@ -35,7 +35,7 @@ from tallyframe.llm.packing import packed_documents, unpacked
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
-CHUNK = 1_500_000
+CHUNK = 250_000
 BITS = 4_096
 
 
@@ -62,10 +62,12 @@ def signed(docs: DataFrame, weighted: bool = False, text: str = "text") -> DataF
 
 
 def candidate_edges(buckets: DataFrame) -> DataFrame:
-    """Edges (a, b) from the least id of every bucket(bucket, id) of two or more to its others."""
-    shared = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("bucket", "a")
+    """Edges (a, b) that connect the ids of every bucket(bucket, id) of two or more: each id to the least of the least
+    ids of its buckets, and those to each other. About one edge an id, however many buckets it is in."""
+    shared = buckets.groupBy("bucket").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("bucket", "least")
     shared = written(shared, "buckets")  # read again, it leaves Spark free to split hot buckets in the join
-    return buckets.join(shared, "bucket").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    heads = buckets.join(shared, "bucket").groupBy("id").agg(F.collect_set("least").alias("heads"))  # at most BANDS of them
+    return heads.select(F.array_min("heads").alias("a"), F.explode(F.array_union("heads", F.array("id"))).alias("b")).distinct()
 
 
 def shingle_sets(docs: DataFrame, members: DataFrame, text: str = "text") -> DataFrame:
