@@ -17,8 +17,8 @@ SHARDS = 64
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted to the labelled ones among them, accepts."""
-    scored = gam.with_score(docs, queries_text.quality_model(spark, docs, sf_dir))
-    return scored.filter(F.col("score") >= queries_text.QUALITY_CUT).select(docs.columns)
+    scored = gam.with_score(docs, queries_text.quality_model(spark, docs, sf_dir), into="_quality")
+    return scored.filter(F.col("_quality") >= queries_text.QUALITY_CUT).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

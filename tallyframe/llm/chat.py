@@ -193,7 +193,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def format_conversations(messages: DataFrame) -> DataFrame:
     """Formatted conversations of messages(conv_id, turn, role, text[, parts]).
 
-    `parts` (PARTS_TYPE), where given and not null, replaces the text. Returns conv_id, part, formatted,
+    `parts` (PARTS_TYPE; a column of that name and another type is ignored), where not null, replaces the text. Returns conv_id, part, formatted,
     loss (character ranges of assistant bodies), attachments and expanded_tokens; the rows of one
     conversation are adjacent and in order inside a partition.
     """
@@ -204,7 +204,7 @@ def format_conversations(messages: DataFrame) -> DataFrame:
             F.lit(None).cast("double").alias("seconds"), F.lit(None).cast("int").alias("pages"),
         )
     ).cast(PARTS_TYPE)
-    parts = F.coalesce(F.col("parts").cast(PARTS_TYPE), plain) if "parts" in messages.columns else plain
+    parts = F.coalesce(F.col("parts").cast(PARTS_TYPE), plain) if dict(messages.dtypes).get("parts", "").startswith("array<struct") else plain
     return (
         messages.select("conv_id", "turn", "role", "text", parts.alias("parts"))
         .repartition("conv_id")

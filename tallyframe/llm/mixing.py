@@ -17,7 +17,8 @@ documents stays in Spark. Reruns agree: all draws are seeded.
 
 Cases: a null text has size 0; documents of size 0 are taken with their block or not at all, which changes no quota; a null
 source is a source (the last); repeated rows are documents of their own; a source of size 0 has target 0;
-an empty table gives an empty result; other columns pass through `mixed`.
+an empty table gives an empty result; other columns pass through `mixed`, but for columns named copy, shard or
+position, which it replaces.
 """
 
 from __future__ import annotations
@@ -202,7 +203,10 @@ def mixed(docs: DataFrame, shards: int = 64, seed: int = 11, text: str = "text")
     plan = Plan(docs, seed, text)
     dealt = plan.shards(shards).select(F.col("key").alias("_k"), F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "copy", "shard").distinct()
     key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", text), 1)
-    rows = docs.withColumn("_key", key).join(dealt, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")) & docs["source"].eqNullSafe(F.col("_s")))
-    position = F.xxhash64(F.lit(seed), "_key", "copy", "shard")
-    out = rows.select(*docs.columns, F.col("copy").cast("int").alias("copy"), F.col("shard").cast("int").alias("shard"), position.alias("position"))
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), key.alias("_key"))
+    own = lambda a, b: F.col(f"_doc.{a}").eqNullSafe(F.col(b))
+    rows = rows.join(dealt, (F.col("_key") == F.col("_k")) & own("doc_id", "_d") & own("source", "_s"))
+    added = {"copy": F.col("copy").cast("int"), "shard": F.col("shard").cast("int"), "position": F.xxhash64(F.lit(seed), "_key", "copy", "shard")}
+    kept = [F.col(f"_doc.`{c}`") for c in docs.columns if c not in added]
+    out = rows.select(*kept, *[c.alias(n) for n, c in added.items()])
     return out.repartition("shard").sortWithinPartitions("shard", "position")

@@ -23,6 +23,7 @@ from tallyframe.llm.common import BLANK_CLASS, words_of, written
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
+BASE = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -73,11 +74,11 @@ def covered_by_repeats(hashes: Column) -> Column:
 
 
 def with_base(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and base_failed."""
+    """df with the columns BASE (columns of these names are replaced)."""
     split = df.withColumns({"_words": words_of(F.col(text)), "_lines": worded_lines(F.col(text))})
     hashed = split.withColumn("_windows", window_hashes(F.col("_words")))
     counted = hashed.select(
-        *df.columns,
+        *[F.col(f"`{c}`") for c in df.columns if c not in BASE],
         F.size("_words").cast("long").alias("n_words"), word_chars(F.col("_words")).alias("word_chars"), symbol_count(F.col(text)).alias("n_symbols"),
         F.size("_lines").cast("long").alias("n_lines"), duplicate_lines(F.col("_lines")).alias("n_dup_lines"), covered_by_repeats(F.col("_windows")).alias("n_repeat_words"),
     )
