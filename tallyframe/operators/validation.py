@@ -77,7 +77,8 @@ def _checks(data: SurveyData) -> list[tuple[str, str, str, Column, Column]]:
         if v.scale in ("nominal", "ordinal") and v.labels:
             known = [c for c in v.labels if c is not None]
             if listed:
-                odd = F.filter(x, lambda e, known=known, v=v: e.isNotNull() & ~e.isin(known + list(v.missing_values)))
+                allowed = known + list(v.missing_values)
+                odd = F.array_except(F.filter(x, F.isnotnull), F.array(*map(F.lit, allowed)))
                 out.append((name, "INVALID_LABEL_VALUE", f"{name}: values without a label", here & (F.size(odd) > 0), F.array_join(odd.cast("array<string>"), ",")))
             else:
                 out.append((name, "INVALID_LABEL_VALUE", f"{name}: values without a label", here & ~x.isin(known), x.cast("string")))
