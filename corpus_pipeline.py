@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from tallyframe.llm import decontaminate, gam, mixing, near_dedup, queries_text, substring_dedup
 from tallyframe.llm.common import table, written
 
-SHARDS = 64
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted to the labelled ones among them, accepts."""
@@ -39,7 +37,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents as often as they are taken, with copy, shard and position."""
-    return mixing.mixed(docs, SHARDS)
+    return mixing.mixed(docs)
 
 
 STAGES = [

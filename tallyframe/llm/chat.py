@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm.common import small_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 PART_CHARS = 4_000_000
 PARTS_TYPE = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
@@ -206,7 +208,7 @@ def format_conversations(messages: DataFrame) -> DataFrame:
     ).cast(PARTS_TYPE)
     parts = F.coalesce(F.col("parts").cast(PARTS_TYPE), plain) if dict(messages.dtypes).get("parts", "").startswith("array<struct") else plain
     return (
-        messages.select("conv_id", "turn", "role", "text", parts.alias("parts"))
+        small_batches(messages).select("conv_id", "turn", "role", "text", parts.alias("parts"))
         .repartition("conv_id")
         .sortWithinPartitions("conv_id", "turn", "role", "text")
         .select("conv_id", "role", "parts")

@@ -38,6 +38,20 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that goes to Python, so that a worker's memory does not depend on the length of texts.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches held to BATCH_BYTES (a smaller setting stays as it is)."""
+    conf = df.sparkSession.conf
+    now = conf.get(BATCH_SETTING).removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def words_of(text):
     """Array of the words of a text column; empty for null and blank texts. JVM only."""
     kept = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{BLANK_CLASS}+|{BLANK_CLASS}+$", "")

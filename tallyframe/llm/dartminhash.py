@@ -65,8 +65,22 @@ def throw(element: np.ndarray, weight: np.ndarray, limit: np.ndarray):
     return own[at[kept]], rank[kept], dart[kept]
 
 
+#: Sets that are signed at once; each throws some k ln k darts, however small it is.
+SETS = 256
+
+
 def signatures(element: np.ndarray, row: np.ndarray, weight: np.ndarray, n_rows: int, k: int) -> np.ndarray:
-    """(n_rows, k) signature values of weighted sets given as (row, element, weight); 0 for rows without elements."""
+    """(n_rows, k) signature values of weighted sets given as (row, element, weight) in order of rows; 0 for rows without
+    elements."""
+    out = np.zeros((n_rows, k), np.uint64)
+    for a in range(0, n_rows, SETS):
+        b = min(a + SETS, n_rows)
+        part = slice(*np.searchsorted(row, (a, b)))
+        out[a:b] = _signed(element[part], row[part] - a, weight[part], b - a, k)
+    return out
+
+
+def _signed(element: np.ndarray, row: np.ndarray, weight: np.ndarray, n_rows: int, k: int) -> np.ndarray:
     mass = np.bincount(row, weight, n_rows)
     expected = k * math.log(k) + 2 * k
     limit = np.divide(expected, mass, out=np.zeros(n_rows), where=mass > 0)

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm.common import small_batches
 from tallyframe.llm.hashing import distinct_shingles, mix, shingles, stretches
 
 SHINGLE, THRESHOLD, HASHES = 5, 0.8, 64
@@ -134,7 +135,7 @@ def item_blocks(items: DataFrame):
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared) for items(item_id, text) of which docs(doc_id, text) hold at least the
     threshold share of shingles."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     out = None
     for rows in item_blocks(items):
         shared = spark.sparkContext.broadcast((ItemIndex([r[1] for r in rows], threshold), [r[0] for r in rows]))
@@ -161,7 +162,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
 
 def clean_documents(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """docs that contain no item; rows are judged one by one, so a repeated doc_id goes only with its own text."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     out = docs
     for rows in item_blocks(items):
         shared = spark.sparkContext.broadcast(ItemIndex([r[1] for r in rows], threshold))

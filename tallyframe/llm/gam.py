@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm.common import small_batches
+
 FEATURES = (
     "words", "word_length", "symbols", "exclamations", "pipes", "upper", "digits", "distinct_words", "distinct_lines",
     "words_per_line", "stops", "commas", "longest_word", "beyond_ascii", "repeated_pairs", "brackets", "top_word", "links",
@@ -183,7 +185,7 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
         for texts in batches:
             yield pd.Series(list(features_of(texts)))
 
-    return df.withColumn("features", shape(F.col(text)))
+    return small_batches(df).withColumn("features", shape(F.col(text)))
 
 
 def fit_quality(documents: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> AdditiveModel:
@@ -208,4 +210,4 @@ def with_score(df: DataFrame, model: AdditiveModel, text: str = "text", into: st
         for texts in batches:
             yield pd.Series(model.score(features_of(texts)), dtype="float64")
 
-    return df.withColumn(into, scored(F.col(text)))
+    return small_batches(df).withColumn(into, scored(F.col(text)))

@@ -14,7 +14,7 @@ import pyarrow as pa
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 #: Texts are worked on in stretches of about so many bytes; a longer text makes a stretch of its own.
-STRETCH_BYTES = 1 << 20
+STRETCH_BYTES = 1 << 18
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 

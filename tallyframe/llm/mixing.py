@@ -38,6 +38,7 @@ BLOCKS = 1 << BITS
 KEY_BITS = 63
 WINDOW, CLOSE = 1_024, 48
 MOST_PASSES = 2.0
+SHARD_WORDS, LEAST_SHARDS = 20_000_000, 64
 
 
 def targets(sizes: dict, weights: tuple = (5, 2, 1), share: float = 1.5, most: float = MOST_PASSES) -> dict:
@@ -170,6 +171,10 @@ class Plan:
         taken = all_.join(extra, (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")) & _same("source", F.col("_x")), "left")
         return taken.select("doc_id", "source", "size", "key", "source_size", "target", (F.col("passes") + whole + F.coalesce("extra", F.lit(0))).alias("copies"))
 
+    def shard_count(self) -> int:
+        """SHARD_WORDS words a shard, LEAST_SHARDS at least."""
+        return max(LEAST_SHARDS, -(-int(sum(self.targets.values())) // SHARD_WORDS))
+
     def shards(self, n: int) -> DataFrame:
         """(doc_id, source, size, key, copy, shard): the copies of all documents and the shard of each."""
         copies = written(self.rows.filter("copies > 0").select("doc_id", "source", "size", "key", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), block_of(F.col("key"), 1).alias("block")), "mix-copies")
@@ -186,21 +191,22 @@ class Plan:
         return copies.join(where, _same("source", F.col("_s")) & (F.col("copy") == F.col("_c")) & (F.col("block") == F.col("_b"))).select("doc_id", "source", "size", "key", "copy", "shard")
 
 
-def taken(docs: DataFrame, shards: int = 64, seed: int = 11, text: str = "text") -> DataFrame:
+def taken(docs: DataFrame, shards: int | None = None, seed: int = 11, text: str = "text") -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies, shards): what the mix takes of every document, counted
     over the shards that its copies were dealt to."""
     plan = Plan(docs, seed, text)
-    dealt = plan.shards(shards).dropDuplicates(["source", "key", "doc_id", "copy"])
+    dealt = plan.shards(shards or plan.shard_count()).dropDuplicates(["source", "key", "doc_id", "copy"])
     drawn = dealt.groupBy(F.col("source").alias("_s"), F.col("key").alias("_k"), F.col("doc_id").alias("_d")).agg(F.sort_array(F.collect_list("shard")).alias("shards"))
     rows = plan.rows.join(drawn, _same("source", F.col("_s")) & (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
     copies = F.when(F.col("shards").isNull(), F.lit(0)).otherwise(F.size("shards")).cast("long")
     return rows.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "shards")
 
 
-def mixed(docs: DataFrame, shards: int = 64, seed: int = 11, text: str = "text") -> DataFrame:
+def mixed(docs: DataFrame, shards: int | None = None, seed: int = 11, text: str = "text") -> DataFrame:
     """The mixed corpus: docs repeated as often as they are taken, with `copy`, `shard` and `position` (a random
-    order key inside the shard)."""
+    order key inside the shard). Unless given, the number of shards follows the size of the mix."""
     plan = Plan(docs, seed, text)
+    shards = shards or plan.shard_count()
     dealt = plan.shards(shards).select(F.col("key").alias("_k"), F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "copy", "shard").distinct()
     key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", text), 1)
     rows = docs.select(F.struct(*docs.columns).alias("_doc"), key.alias("_key"))

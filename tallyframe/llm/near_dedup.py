@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import written
+from tallyframe.llm.common import small_batches, written
 from tallyframe.llm.components import components
 from tallyframe.llm.dartminhash import bands, signatures
 from tallyframe.llm.hashing import distinct_shingles, stretches
@@ -57,7 +57,7 @@ def signed(docs: DataFrame, weighted: bool = False, text: str = "text") -> DataF
                 part = batch.slice(a, b - a)
                 yield pa.record_batch([part.column("doc_id"), part.column("digest"), pa.array(sizes, pa.int64()), cells], names=["doc_id", "digest", "n_shingles", "bands"])
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("digest"), F.col(text).alias("text"))
+    keyed = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("digest"), F.col(text).alias("text"))
     return keyed.mapInArrow(sign, "doc_id long, digest binary, n_shingles long, bands array<bigint>")
 
 

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tallyframe.llm.common import small_batches
+
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed before they are shuffled."""
@@ -21,7 +23,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def packed_documents(keyed: DataFrame) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in keyed.schema)
-    return keyed.mapInArrow(_packed, f"{schema}, n_bytes long")
+    return small_batches(keyed).mapInArrow(_packed, f"{schema}, n_bytes long")
 
 
 def unpacked(blob: bytes, size: int) -> bytes:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.anchors import window_anchors
-from tallyframe.llm.common import written
+from tallyframe.llm.common import small_batches, written
 from tallyframe.llm.gsaca import suffix_array
 from tallyframe.llm.hashing import prefix_hash, stretch_hash, stretches
 from tallyframe.llm.packing import packed_documents, unpacked
@@ -57,7 +57,7 @@ def unpack(place):
 
 def _keyed(docs: DataFrame, text: str, *more: str) -> DataFrame:
     tag = F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 16)).cast("long")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), tag.alias("tag"), F.col(text).alias("text"), *more)
+    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), tag.alias("tag"), F.col(text).alias("text"), *more)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm.common import small_batches
+
 #: Unicode White_Space.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CACHE_ENTRIES = 1 << 18
@@ -131,4 +133,4 @@ def with_token_count(df: DataFrame, vocabulary_path: str, text: str = "text", in
         for texts in batches:
             yield pd.Series([of_text(t) for t in texts], dtype="int64")
 
-    return df.withColumn(into, counted(F.col(text)))
+    return small_batches(df).withColumn(into, counted(F.col(text)))

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import new_folder, written
+from tallyframe.llm.common import new_folder, small_batches, written
 
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string"
 RECORD = (
@@ -87,7 +87,7 @@ def with_revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     more are joined back, and html of revisits goes no further.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
-    keyed = pages.select("page_id", "url", payload.alias("html"), F.sha1(payload.cast("binary")).alias("sha"))
+    keyed = small_batches(pages).select("page_id", "url", payload.alias("html"), F.sha1(payload.cast("binary")).alias("sha"))
     groups = (
         keyed.filter(F.octet_length("html") >= min_revisit_bytes)
         .groupBy("sha")

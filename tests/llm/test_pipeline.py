@@ -29,7 +29,7 @@ def test_stages_equal_plain_python(spark):
             leaks = {r[0] for r in contained(before, items, decontaminate.THRESHOLD)}
             assert sorted(rows) == sorted(r for r in before if r[0] not in leaks)
         else:
-            copies = {r["doc_id"]: r["copies"] for r in mixing.taken(docs, corpus_pipeline.SHARDS).collect()}
+            copies = {r["doc_id"]: r["copies"] for r in mixing.taken(docs).collect()}
             assert sorted(rows) == sorted(r for r in before for _ in range(copies[r[0]]))
         kept.append(len(rows))
         docs = out
