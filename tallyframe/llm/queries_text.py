@@ -139,8 +139,18 @@ SELECT w.doc_id, text_digest, license, coalesce(notices, '') AS notices
 FROM w LEFT JOIN l ON text_digest = digest LEFT JOIN h ON w.doc_id IS NOT DISTINCT FROM h.doc_id
 """
 
+_HEX = "0123456789abcdef"
+ORACLE_9 = f"""
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id, count(*) OVER (PARTITION BY h) AS copies FROM p),
+r AS (SELECT *, copies > 1 AND first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id AS again FROM f)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+    (((instr('{_HEX}', substr(h, (5 * k) // 4 + 1, 1)) - 1) * 16 + instr('{_HEX}', substr(h, (5 * k) // 4 + 2, 1)) - 1) >> (3 - (5 * k) % 4)) & 31)::INT, 1)), '') AS payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_id END AS refers_to FROM r
+"""
+
 QUERIES = {
     "op3_license_scan": op3_license_scan, "op4_quality_rules": op4_quality_rules, "op10_quality_classifier": op10_quality_classifier,
     "op6_chat_format": op6_chat_format, "op7_token_count": op7_token_count, "op9_warc": op9_warc,
 }
-ORACLES = {"op3_license_scan": ORACLE_3, "op4_quality_rules": ORACLE_4, "op6_chat_format": ORACLE_6}
+ORACLES = {"op3_license_scan": ORACLE_3, "op4_quality_rules": ORACLE_4, "op6_chat_format": ORACLE_6, "op9_warc": ORACLE_9}
