@@ -1,7 +1,8 @@
 """Removal of long byte strings that occur more than once, found by suffix sorting.
 
 1. Every window of LENGTH bytes has an anchor (its least GRAM-gram). The windows of one anchor are a run,
-   and the bytes under a run are its context. Equal windows meet under equal anchor grams.
+   and the bytes under a run are its context. Equal windows meet under equal anchor grams. Equal runs of one
+   text are one row.
 2. Grams that occur once are dropped. Runs with equal contexts are counted; where a context occurs twice
    all of its windows are repeated.
 3. The distinct contexts of a gram are cut into 16-byte symbols, to the right of the anchor and, reversed,
@@ -37,13 +38,16 @@ from tallyframe.llm.packing import packed_documents, unpacked
 LENGTH, GRAM, GROUP, SYMBOL = 200, 50, 4_000, 16
 #: Distinct contexts that are suffix-sorted together (whole grams at a time).
 BLOCK = 1_000
-RUNS = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("doc", pa.int64()), ("place", pa.int64())])
+RUNS = pa.schema(
+    [("gram", pa.int64()), ("context", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("copies", pa.int64()), ("spans", pa.list_(pa.int64()))]
+)
 BYTES = pa.schema(
     [("gram", pa.int64()), ("context", pa.int64()), ("copies", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("raw", pa.binary())]
 )
 SPANS = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("span", pa.int64())])
 WINDOWS = pa.schema([("window", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("copies", pa.int64())])
 NO_ID = -(1 << 63)
+SIZE_BITS = 31  # of a packed span
 
 
 def pack(low, tag, width, offset):
@@ -61,17 +65,35 @@ def _keyed(docs: DataFrame, text: str, *more: str) -> DataFrame:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of each text. Equal contexts of one text make one row, with their number and their merged spans, so a text that
+    repeats itself a thousand times does not make a thousand rows."""
     for batch in batches:
         doc, tag = (batch.column(c).to_numpy() for c in ("doc", "tag"))
         for a, b, data, offsets in stretches(batch.column("text")):
             row, low, high, place, gram, context = window_anchors(data, offsets, LENGTH, GRAM)
-            where = pack(low - offsets[row], tag[a:b][row], high - low, place - low)
-            yield pa.record_batch([gram.view(np.int64), context.view(np.int64), doc[a:b][row], where], schema=RUNS)
+            order = np.lexsort((low, context, gram, row))
+            row, low, high, place, gram, context = (x[order] for x in (row, low, high, place, gram, context))
+            start, stop = low - offsets[row], high - offsets[row] + LENGTH
+            fresh = np.ones(len(row), bool)
+            fresh[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])
+            heads = np.flatnonzero(fresh)
+            copies = np.diff(np.append(heads, len(row)))
+            parted = fresh.copy()
+            parted[1:] |= start[1:] > stop[:-1]
+            begins = np.flatnonzero(parted)
+            ends = np.append(begins[1:], len(row)) - 1
+            group = np.cumsum(fresh)[begins] - 1
+            many = copies[group] > 1
+            spans = span(start[begins], stop[ends] - start[begins])[many]
+            cuts = np.concatenate(([0], np.cumsum(np.bincount(group[many], minlength=len(heads))))).astype(np.int32)
+            where = pack(start, tag[a:b][row], high - low, place - low)[heads]
+            columns = [gram[heads].view(np.int64), context[heads].view(np.int64), doc[a:b][row[heads]], where, copies, pa.ListArray.from_arrays(pa.array(cuts), pa.array(spans, pa.int64()))]
+            yield pa.record_batch(columns, schema=RUNS)
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for runs in _runs(batches):
-        yield runs.select(["gram"])
+        yield runs.select(["gram", "copies"])
 
 
 def _context_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +181,7 @@ def _spans_of(starts: np.ndarray, place: np.ndarray, doc: np.ndarray) -> pa.Reco
 
 def span(start, size):
     """Start and size of a span in one integer, ordered by start."""
-    return (start << 16) | size
+    return (start << SIZE_BITS) | size
 
 
 def _sorted_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,17 +230,19 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc, tag, span) of everything in docs(doc_id, text) that a repeated LENGTH-byte string covers; spans may overlap."""
     keyed = _keyed(docs, text)
-    repeated = keyed.mapInArrow(_grams, "gram long").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    grams = keyed.mapInArrow(_grams, "gram long, copies long")
+    repeated = grams.groupBy("gram").agg(F.sum("copies").alias("n")).filter("n > 1").select("gram")
     repeated = written(repeated, "repeated-grams")  # read again, it leaves Spark free to split hot grams in the join
-    runs = keyed.mapInArrow(_runs, "gram long, context long, doc long, place long").join(repeated, "gram")
-    runs = written(runs, "runs")
-    contexts = runs.groupBy("gram", "context").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "place")).alias("one"))
+    runs = keyed.mapInArrow(_runs, "gram long, context long, doc long, place long, copies long, spans array<bigint>")
+    runs = written(runs.join(repeated, "gram"), "runs")
+    contexts = runs.groupBy("gram", "context").agg(F.sum("copies").alias("copies"), F.min(F.struct("doc", "place")).alias("one"))
     contexts = written(contexts.select("gram", "context", "copies", "one.doc", "one.place"), "contexts")
     low = F.shiftright("place", 32)
     tag = F.shiftright("place", 16).bitwiseAND(F.lit(0xFFFF))
     size = F.shiftright("place", 8).bitwiseAND(F.lit(0xFF)) + LENGTH
+    own = F.array(F.shiftleft(low, SIZE_BITS).bitwiseOR(size))
     whole = runs.join(contexts.filter("copies > 1").select("gram", "context"), ["gram", "context"])
-    whole = whole.select("doc", tag.alias("tag"), F.shiftleft(low, 16).bitwiseOR(size).alias("span"))
+    whole = whole.select("doc", tag.alias("tag"), F.explode(F.concat(own, "spans")).alias("span"))
 
     per_gram = contexts.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
     open_ = contexts.join(per_gram, "gram")
@@ -230,14 +254,15 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     sorted_ = raw.join(wide, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_spans, "doc long, tag long, span long")
     windows = raw.join(wide, "gram", "left_semi").mapInArrow(_windows, "window long, doc long, tag long, start long, copies long")
     twice = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
-    counted = windows.filter("copies = 1").join(twice, "window").select("doc", "tag", F.shiftleft("start", 16).bitwiseOR(F.lit(LENGTH)).alias("span"))
+    counted = windows.filter("copies = 1").join(twice, "window").select("doc", "tag", F.shiftleft("start", SIZE_BITS).bitwiseOR(F.lit(LENGTH)).alias("span"))
     return whole.unionByName(sorted_).unionByName(counted)
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
     """Disjoint (start, stop) of packed spans; touching spans become one."""
     spans = np.sort(spans)
-    start, stop = spans >> 16, (spans >> 16) + (spans & 0xFFFF)
+    start = spans >> SIZE_BITS
+    stop = start + (spans & ((1 << SIZE_BITS) - 1))
     reach = np.maximum.accumulate(stop)
     fresh = np.concatenate(([True], start[1:] > reach[:-1]))
     head = np.flatnonzero(fresh)
