@@ -71,6 +71,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, tag = (batch.column(c).to_numpy() for c in ("doc", "tag"))
         for a, b, data, offsets in stretches(batch.column("text")):
             row, low, high, place, gram, context = window_anchors(data, offsets, LENGTH, GRAM)
+            if not len(row):
+                continue
             order = np.lexsort((low, context, gram, row))
             row, low, high, place, gram, context = (x[order] for x in (row, low, high, place, gram, context))
             start, stop = low - offsets[row], high - offsets[row] + LENGTH
