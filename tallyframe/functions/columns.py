@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,3 +57,16 @@ def answered(column: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StringType):
         return F.coalesce(F.trim(column) != "", F.lit(False))
     return column.isNotNull()
+
+
+def piped(template: str, labels: dict[str, dict]) -> Column:
+    """A text with the answers of a row put in: {answer:x} and {var:x} give the code, {label:x} its label where there is one,
+    and nothing where the answer is missing. Other braces stay."""
+    parts, at = [], 0
+    for m in re.finditer(r"\{(answer|var|label):([^{}]+)\}", template):
+        parts.append(F.lit(template[at : m.start()]))
+        code = quoted(m[2].strip())
+        shown = label_of(code, labels.get(m[2].strip(), {})) if m[1] == "label" else code.cast("string")
+        parts.append(F.coalesce(shown, F.lit("")))
+        at = m.end()
+    return F.concat(*parts, F.lit(template[at:]))
