@@ -210,8 +210,8 @@ def _open_rows(sets: DataFrame, labels: DataFrame) -> DataFrame | None:
 
 
 def near_deduplicated(docs: DataFrame, weighted: bool = False, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """docs without the rows whose class holds a smaller doc_id. Rows without words and rows with a null doc_id and no
-    equal text stay; of rows that repeat a kept doc_id, all stay."""
+    """docs without the rows whose class holds a smaller doc_id. Rows without words stay, rows with a null doc_id cannot be
+    named and stay, and of rows that repeat a kept doc_id all stay."""
     dropped = near_classes(docs, weighted, threshold, text).filter("class_id <> doc_id").select("doc_id").distinct()
     named = docs.filter("doc_id is not null").join(dropped, "doc_id", "left_anti")
     return named.unionByName(docs.filter("doc_id is null")).select(docs.columns)
