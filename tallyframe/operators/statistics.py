@@ -11,7 +11,6 @@ from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyframe.functions.columns import label_of, number, quoted
 from tallyframe.functions.distributions import normal_quantile
@@ -67,12 +66,14 @@ class DataAnalysis:
         self.data._need(column)
         w = self._weight(weighted)
         out = self.data.frame.groupBy(quoted(column).alias("value")).agg((F.count("*") if w is None else F.coalesce(F.sum(w), F.lit(0.0))).alias("n"))
-        total = F.sum("n").over(Window.partitionBy())
-        if labels:
-            out = out.withColumn("label", label_of(F.col("value"), self.data.labels_of(column), "null")).withColumn("percent", F.when(total > 0, F.col("n") / total * 100).otherwise(F.lit(0.0)))
-            out = out.select("value", "label", "n", "percent")
-        elif normalize:
-            out = out.withColumn("n", F.when(total > 0, F.col("n") / total).otherwise(F.lit(0.0)))
+        if labels or normalize:
+            # one number to the driver, so that no window gathers all values in a task
+            total = out.agg(F.sum("n")).first()[0] or 0
+            share = F.col("n") / F.lit(float(total)) if total > 0 else F.lit(0.0)
+            if labels:
+                out = out.select("value", label_of(F.col("value"), self.data.labels_of(column), "null").alias("label"), "n", (share * 100).alias("percent"))
+            else:
+                out = out.withColumn("n", share)
         return out.orderBy("value") if weighted else out.orderBy(F.desc("n"), F.asc_nulls_last("value"))
 
     def _pivot_values(self, column: str, nulls: bool) -> list:
@@ -114,10 +115,15 @@ class DataAnalysis:
 
     @staticmethod
     def _normalized(table: DataFrame, names: list[str], how: str) -> DataFrame:
-        whole = Window.partitionBy()
-        across = sum((F.col(f"`{n}`") for n in names[1:]), F.col(f"`{names[0]}`")) if names else F.lit(0)
-        total = {"index": lambda n: across, "columns": lambda n: F.sum(F.col(f"`{n}`")).over(whole), "all": lambda n: F.sum(across).over(whole)}[how]
-        return table.select("r", *[F.when(total(n) > 0, F.col(f"`{n}`") / total(n)).otherwise(F.lit(0.0)).alias(n) for n in names])
+        """Shares of row totals, or of column or grand totals, which are a number a column on the driver."""
+        cells = [F.col(f"`{n}`") for n in names]
+        if how == "index":
+            across = sum(cells[1:], cells[0]) if cells else F.lit(0)
+            totals = [across] * len(cells)
+        else:
+            got = table.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("double") for c in cells]).first() if cells else ()
+            totals = [F.lit(sum(got) if how == "all" else x) for x in got]
+        return table.select("r", *[F.when(t > 0, c / t).otherwise(F.lit(0.0)).alias(n) for n, c, t in zip(names, cells, totals, strict=True)])
 
     def contingency(self, row: str, col: str, nulls: bool = True) -> dict:
         """{(row, column): count}; a bounded table, since each side may have at most MOST_COLUMNS values."""
