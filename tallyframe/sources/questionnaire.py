@@ -180,7 +180,7 @@ class Page:
 
 
 @dataclass(frozen=True)
-class Warning_:
+class LintWarning:
     code: str
     where: str
     message: str
@@ -268,28 +268,28 @@ class Questionnaire:
                 del left[k]
         return bool(left)
 
-    def lint(self, level: str = "basic") -> list[Warning_]:
+    def lint(self, level: str = "basic") -> list[LintWarning]:
         out = []
         if not self.questions():
-            out.append(Warning_("EMPTY_QUESTIONNAIRE", self.title, "the questionnaire has no questions"))
+            out.append(LintWarning("EMPTY_QUESTIONNAIRE", self.title, "the questionnaire has no questions"))
         for p, after in zip(self.pages, [*self.pages[1:], None], strict=True):
             if p.kind == "content" and not p.questions():
-                out.append(Warning_("EMPTY_PAGE", p.name, f"{p.name} has no questions"))
+                out.append(LintWarning("EMPTY_PAGE", p.name, f"{p.name} has no questions"))
             if after is not None and p.default_next == after.name:
-                out.append(Warning_("REDUNDANT_NAVIGATION", p.name, f"{p.name} leads to the next page anyway"))
+                out.append(LintWarning("REDUNDANT_NAVIGATION", p.name, f"{p.name} leads to the next page anyway"))
             if p.next_if and not p.default_next and after is None and not p.is_terminal:
-                out.append(Warning_("MISSING_NAVIGATION", p.name, f"{p.name} has conditions but no default"))
+                out.append(LintWarning("MISSING_NAVIGATION", p.name, f"{p.name} has conditions but no default"))
         unused = set(self.variables or ()) - set(self.variable_names())
-        out += [Warning_("UNUSED_VARIABLE", v, f"{v} belongs to no question") for v in sorted(unused)]
+        out += [LintWarning("UNUSED_VARIABLE", v, f"{v} belongs to no question") for v in sorted(unused)]
         if level == "strict":
             for q in self.questions():
                 if q.required and (q.show_if is not None or q.hide_if is not None):
-                    out.append(Warning_("REQUIRED_CONDITIONAL", q.id, f"{q.id} is required and conditional"))
+                    out.append(LintWarning("REQUIRED_CONDITIONAL", q.id, f"{q.id} is required and conditional"))
                 for v in q.variables():
                     if q.scales and v.scale and v.scale not in q.scales:
-                        out.append(Warning_("INCOMPATIBLE_QUESTION_SCALE", q.id, f"{q.id}: {v.name} is {v.scale}"))
+                        out.append(LintWarning("INCOMPATIBLE_QUESTION_SCALE", q.id, f"{q.id}: {v.name} is {v.scale}"))
                     if v.scale in ("nominal", "ordinal") and not v.labels and not getattr(q, "choices", None) and isinstance(q, (SingleChoice, MultiChoice)):
-                        out.append(Warning_("CATEGORICAL_WITHOUT_LABELS", q.id, f"{v.name} has no labels"))
+                        out.append(LintWarning("CATEGORICAL_WITHOUT_LABELS", q.id, f"{v.name} has no labels"))
         return out
 
     def simulate(self, spark, n: int = 100, seed: int = 42):
