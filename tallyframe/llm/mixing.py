@@ -23,7 +23,6 @@ position, which it replaces.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import BLANK_CLASS, words_of, written
+from tallyframe.llm.common import words_of, written
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
