@@ -1,7 +1,8 @@
 """Mid-ranks without a global sort in one task: values are first counted, and ranks follow from running counts.
 
-Distinct values are dealt by range; each range's total is added to those after it on the driver's small list
-of totals (one number a range), so no window ever spans all rows.
+Up to FEW distinct values (survey codes have a handful) are ranked by one window over the counts. More are dealt by
+range; each range's total is added to those after it on the driver's small list of totals (one number a range),
+so no window ever spans all values.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RANGES = 64
+RANGES, FEW = 64, 200_000
 
 
 def value_counts(rows: DataFrame, value: str, *by: str) -> DataFrame:
@@ -20,20 +21,20 @@ def value_counts(rows: DataFrame, value: str, *by: str) -> DataFrame:
 def mid_ranks(rows: DataFrame, value: str) -> DataFrame:
     """(value, n, midrank) of the non-null values of a numeric column."""
     counts = value_counts(rows.filter(F.col(value).isNotNull()), value)
+    half = F.col("n") - (F.col("n") + 1) / 2
+    if counts.limit(FEW + 1).count() <= FEW:
+        return counts.select(value, "n", (F.sum("n").over(Window.orderBy(value)) - half).alias("midrank"))
     edges = counts.agg(F.percentile_approx(value, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(1000)).alias("e")).first()["e"]
-    edges = sorted(set(edges or []))
-    part = F.lit(0)
-    for e in edges:
-        part = part + (F.col(value) > F.lit(e)).cast("int")
-    dealt = counts.withColumn("part", part)
+    edges = sorted(set(edges))
+    dealt = counts.withColumn("part", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(value))))
     totals = {r["part"]: r["t"] for r in dealt.groupBy("part").agg(F.sum("n").alias("t")).collect()}  # at most RANGES rows
     offsets, before = [], 0.0
     for i in range(len(edges) + 1):
         offsets.append(before)
         before += totals.get(i, 0.0)
     running = F.sum("n").over(Window.partitionBy("part").orderBy(value))
-    start = F.element_at(F.array(*[F.lit(x) for x in offsets]), F.col("part") + 1)
-    return dealt.select(value, "n", (start + running - F.col("n") + (F.col("n") + 1) / 2).alias("midrank"))
+    start = F.element_at(F.array(*map(F.lit, offsets)), F.col("part") + 1)
+    return dealt.select(value, "n", (start + running - half).alias("midrank"))
 
 
 def tie_term() -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from tallyframe.operators.variables import Variable
 from tallyframe.plans.common import one_row, renamed, rounded, survey
 

@@ -96,6 +96,15 @@ def test_small_exact_mann_whitney_and_spearman(spark):
     assert SurveyData(df.limit(0)).analysis.spearman("x", "y") == {"rho": 0.0, "p_value": 1.0, "n": 0}
 
 
+@pytest.mark.parametrize("few", [200_000, 10])
+def test_mid_ranks_by_window_and_by_range(spark, monkeypatch, few):
+    monkeypatch.setattr(ranks, "FEW", few)
+    r = random.Random(9)
+    values = [float(r.randint(0, 200)) for _ in range(1000)]
+    got = {x["x"]: x["midrank"] for x in ranks.mid_ranks(spark.createDataFrame([(v,) for v in [*values, None]], "x double"), "x").collect()}
+    assert got == dict(zip(values, mid(values), strict=True))
+
+
 def test_ranks_do_not_depend_on_a_monotone_map(spark):
     r = random.Random(1)
     df = spark.createDataFrame([(r.random(), r.choice("ab")) for _ in range(500)], "x double, g string")
