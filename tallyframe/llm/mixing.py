@@ -23,7 +23,6 @@ position, which it replaces.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
