@@ -50,9 +50,13 @@ def duplicate_lines(lines: Column) -> Column:
 
 def window_hashes(words: Column) -> Column:
     """64-bit hashes of all WINDOW-word windows, in order."""
-    last = F.size(words) - WINDOW
-    each = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
-    return F.when(last >= 0, each).otherwise(F.array().cast("array<bigint>"))
+
+    def hashes(w: Column) -> Column:
+        last = F.size(w) - WINDOW
+        each = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
+        return F.when(last >= 0, each).otherwise(F.array().cast("array<bigint>"))
+
+    return let(words, hashes)  # bound once, also where Spark moves the expression into a filter
 
 
 def covered_by_repeats(hashes: Column) -> Column:
@@ -68,9 +72,12 @@ def covered_by_repeats(hashes: Column) -> Column:
         found = F.filter(ordered, lambda x, k: F.coalesce(F.when(k == 0, F.get(ordered, k + 1)["h"] == x["h"]).otherwise(twin(x, k)), F.lit(False)))
         return F.sort_array(F.transform(found, lambda x: x["i"]))
 
-    ordered = F.sort_array(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    slow = let(ordered, lambda s: let(starts(s), spans))
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(slow).cast("long")
+    def covered(h: Column) -> Column:
+        ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        slow = let(ordered, lambda s: let(starts(s), spans))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(slow).cast("long")
+
+    return let(hashes, covered)
 
 
 def with_base(df: DataFrame, text: str = "text") -> DataFrame:
