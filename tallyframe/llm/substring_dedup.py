@@ -11,8 +11,8 @@
 4. Grams with more than GROUP distinct contexts do not go to one task: their windows are hashed and counted
    one by one, which is exact as well.
 
-Matches never cross documents; strings are judged on the input. Documents are known by doc_id and a tag of
-their text, so rows that repeat a doc_id with another text are kept apart.
+Matches never cross documents; strings are judged on the input. Documents are known by doc_id and a digest of
+their text (128 bits), so different texts under one doc_id, or under null, are kept apart.
 
 Cases: null and empty texts and texts under LENGTH bytes have nothing to remove; equal rows are repeats of
 each other, and each loses what repeats; texts of any length are handled in whole; an empty table gives an
@@ -38,37 +38,42 @@ from tallyframe.llm.packing import packed_documents, unpacked
 LENGTH, GRAM, GROUP, SYMBOL = 200, 50, 4_000, 16
 #: Distinct contexts that are suffix-sorted together (whole grams at a time).
 BLOCK = 1_000
+#: A document's key: its doc_id and the two halves of its text's digest.
+KEY = ["doc", "digest1", "digest2"]
+KEYS = [(k, pa.int64()) for k in KEY]
+KEY_TYPE = ", ".join(f"{k} long" for k in KEY)
 RUNS = pa.schema(
-    [("gram", pa.int64()), ("context", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("copies", pa.int64()), ("spans", pa.list_(pa.int64()))]
+    [("gram", pa.int64()), ("context", pa.int64()), *KEYS, ("place", pa.int64()), ("copies", pa.int64()), ("spans", pa.list_(pa.int64()))]
 )
 BYTES = pa.schema(
-    [("gram", pa.int64()), ("context", pa.int64()), ("copies", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("raw", pa.binary())]
+    [("gram", pa.int64()), ("context", pa.int64()), ("copies", pa.int64()), *KEYS, ("place", pa.int64()), ("raw", pa.binary())]
 )
-SPANS = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("span", pa.int64())])
-WINDOWS = pa.schema([("window", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("copies", pa.int64())])
+SPANS = pa.schema([*KEYS, ("span", pa.int64())])
+WINDOWS = pa.schema([("window", pa.int64()), *KEYS, ("start", pa.int64()), ("copies", pa.int64())])
 NO_ID = -(1 << 63)
 SIZE_BITS = 31  # of a packed span
 
 
-def pack(low, tag, width, offset):
-    """A run's place in one integer: first start, text tag, last start - first, anchor - first."""
-    return (low << 32) | (tag << 16) | (width << 8) | offset
+def pack(low, width, offset):
+    """A run's place in one integer: first start, last start - first, anchor - first."""
+    return (low << 16) | (width << 8) | offset
 
 
 def unpack(place):
-    return place >> 32, (place >> 16) & 0xFFFF, (place >> 8) & 0xFF, place & 0xFF
+    return place >> 16, (place >> 8) & 0xFF, place & 0xFF
 
 
 def _keyed(docs: DataFrame, text: str, *more: str) -> DataFrame:
-    tag = F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 16)).cast("long")
-    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), tag.alias("tag"), F.col(text).alias("text"), *more)
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    halves = [F.conv(F.substring(digest, at, 16), 16, -10).cast("long").alias(k) for at, k in ((1, "digest1"), (17, "digest2"))]
+    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), *halves, F.col(text).alias("text"), *more)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of each text. Equal contexts of one text make one row, with their number and their merged spans, so a text that
     repeats itself a thousand times does not make a thousand rows."""
     for batch in batches:
-        doc, tag = (batch.column(c).to_numpy() for c in ("doc", "tag"))
+        key = [batch.column(c).to_numpy() for c in KEY]
         for a, b, data, offsets in stretches(batch.column("text")):
             row, low, high, place, gram, context = window_anchors(data, offsets, LENGTH, GRAM)
             if not len(row):
@@ -88,8 +93,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             many = copies[group] > 1
             spans = span(start[begins], stop[ends] - start[begins])[many]
             cuts = np.concatenate(([0], np.cumsum(np.bincount(group[many], minlength=len(heads))))).astype(np.int32)
-            where = pack(start, tag[a:b][row], high - low, place - low)[heads]
-            columns = [gram[heads].view(np.int64), context[heads].view(np.int64), doc[a:b][row[heads]], where, copies, pa.ListArray.from_arrays(pa.array(cuts), pa.array(spans, pa.int64()))]
+            where = pack(start, high - low, place - low)[heads]
+            columns = [gram[heads].view(np.int64), context[heads].view(np.int64), *(k[a:b][row[heads]] for k in key), where, copies, pa.ListArray.from_arrays(pa.array(cuts), pa.array(spans, pa.int64()))]
             yield pa.record_batch(columns, schema=RUNS)
 
 
@@ -101,11 +106,11 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _context_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: dict[str, list] = {n: [] for n in BYTES.names}
-        for doc, blob, size, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "n_bytes", "wanted")), strict=True):
+        for *key, blob, size, wanted in zip(*(batch.column(c).to_pylist() for c in (*KEY, "text", "n_bytes", "wanted")), strict=True):
             text = unpacked(blob, size)
             for w in wanted:
-                low, _, width, _ = unpack(w["place"])
-                for name, value in zip(BYTES.names, (w["gram"], w["context"], w["copies"], doc, w["place"], text[low : low + width + LENGTH]), strict=True):
+                low, width, _ = unpack(w["place"])
+                for name, value in zip(BYTES.names, (w["gram"], w["context"], w["copies"], *key, w["place"], text[low : low + width + LENGTH]), strict=True):
                     rows[name].append(value)
         yield pa.record_batch(rows, schema=BYTES)
 
@@ -169,7 +174,7 @@ def repeated_starts(raw: list[bytes], group: np.ndarray, width: np.ndarray, offs
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
-def _spans_of(starts: np.ndarray, place: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+def _spans_of(starts: np.ndarray, place: np.ndarray, key: list[np.ndarray]) -> pa.RecordBatch:
     """Maximal runs of repeated starts as spans of their documents."""
     starts = starts[np.lexsort((starts[:, 1], starts[:, 0]))]
     string, at = starts[:, 0], starts[:, 1]
@@ -177,8 +182,8 @@ def _spans_of(starts: np.ndarray, place: np.ndarray, doc: np.ndarray) -> pa.Reco
     fresh[1:] = (string[1:] != string[:-1]) | (at[1:] != at[:-1] + 1)
     head = np.flatnonzero(fresh)
     tail = np.append(head[1:], len(starts)) - 1 if len(head) else head
-    low, tag, _, _ = unpack(place[string[head]])
-    return pa.record_batch([doc[string[head]], tag, span(low + at[head], at[tail] - at[head] + LENGTH)], schema=SPANS)
+    low, _, _ = unpack(place[string[head]])
+    return pa.record_batch([*(k[string[head]] for k in key), span(low + at[head], at[tail] - at[head] + LENGTH)], schema=SPANS)
 
 
 def span(start, size):
@@ -192,11 +197,11 @@ def _sorted_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     count = 0
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        place, doc, gram, copies = (table[c].to_numpy() for c in ("place", "doc", "gram", "copies"))
-        _, _, width, offset = unpack(place)
+        place, gram, copies, *key = (table[c].to_numpy() for c in ("place", "gram", "copies", *KEY))
+        _, width, offset = unpack(place)
         group = np.cumsum(np.concatenate(([0], gram[1:] != gram[:-1])))
         starts = repeated_starts(table["raw"].to_pylist(), group, width, offset)
-        return _spans_of(starts[copies[starts[:, 0]] == 1], place, doc)
+        return _spans_of(starts[copies[starts[:, 0]] == 1], place, key)
 
     for batch in batches:
         if not batch.num_rows:
@@ -222,41 +227,40 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             raw = np.frombuffer(batch.column("raw")[i].as_buffer(), np.uint8)
-            low, tag, width, _ = unpack(batch.column("place")[i].as_py())
+            low, width, _ = unpack(batch.column("place")[i].as_py())
             at = np.arange(width + 1)
             n = len(at)
-            columns = [stretch_hash(prefix_hash(raw), at, at + LENGTH).view(np.int64), np.full(n, batch.column("doc")[i].as_py()), np.full(n, tag), low + at, np.full(n, batch.column("copies")[i].as_py())]
+            columns = [stretch_hash(prefix_hash(raw), at, at + LENGTH).view(np.int64), *(np.full(n, batch.column(k)[i].as_py()) for k in KEY), low + at, np.full(n, batch.column("copies")[i].as_py())]
             yield pa.record_batch(columns, schema=WINDOWS)
 
 
 def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc, tag, span) of everything in docs(doc_id, text) that a repeated LENGTH-byte string covers; spans may overlap."""
+    """(doc, digest1, digest2, span) of everything in docs(doc_id, text) that a repeated LENGTH-byte string covers; spans may overlap."""
     keyed = _keyed(docs, text)
     grams = keyed.mapInArrow(_grams, "gram long, copies long")
     repeated = grams.groupBy("gram").agg(F.sum("copies").alias("n")).filter("n > 1").select("gram")
     repeated = written(repeated, "repeated-grams")  # read again, it leaves Spark free to split hot grams in the join
-    runs = keyed.mapInArrow(_runs, "gram long, context long, doc long, place long, copies long, spans array<bigint>")
+    runs = keyed.mapInArrow(_runs, f"gram long, context long, {KEY_TYPE}, place long, copies long, spans array<bigint>")
     runs = written(runs.join(repeated, "gram"), "runs")
-    contexts = runs.groupBy("gram", "context").agg(F.sum("copies").alias("copies"), F.min(F.struct("doc", "place")).alias("one"))
-    contexts = written(contexts.select("gram", "context", "copies", "one.doc", "one.place"), "contexts")
-    low = F.shiftright("place", 32)
-    tag = F.shiftright("place", 16).bitwiseAND(F.lit(0xFFFF))
+    contexts = runs.groupBy("gram", "context").agg(F.sum("copies").alias("copies"), F.min(F.struct(*KEY, "place")).alias("one"))
+    contexts = written(contexts.select("gram", "context", "copies", "one.*"), "contexts")
+    low = F.shiftright("place", 16)
     size = F.shiftright("place", 8).bitwiseAND(F.lit(0xFF)) + LENGTH
     own = F.array(F.shiftleft(low, SIZE_BITS).bitwiseOR(size))
     whole = runs.join(contexts.filter("copies > 1").select("gram", "context"), ["gram", "context"])
-    whole = whole.select("doc", tag.alias("tag"), F.explode(F.concat(own, "spans")).alias("span"))
+    whole = whole.select(*KEY, F.explode(F.concat(own, "spans")).alias("span"))
 
     per_gram = contexts.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
     open_ = contexts.join(per_gram, "gram")
-    wanted = open_.groupBy("doc", tag.alias("tag")).agg(F.collect_list(F.struct("gram", "context", "copies", "place")).alias("wanted"))
-    raw = packed_documents(keyed).join(wanted, ["doc", "tag"]).select("doc", "text", "n_bytes", "wanted")
-    raw = raw.mapInArrow(_context_bytes, "gram long, context long, copies long, doc long, place long, raw binary")
+    wanted = open_.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "context", "copies", "place")).alias("wanted"))
+    raw = packed_documents(keyed).join(wanted, KEY).select(*KEY, "text", "n_bytes", "wanted")
+    raw = raw.mapInArrow(_context_bytes, f"gram long, context long, copies long, {KEY_TYPE}, place long, raw binary")
     wide = per_gram.filter(F.col("n") > GROUP).select("gram")
     raw = written(raw, "context-bytes")
-    sorted_ = raw.join(wide, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_spans, "doc long, tag long, span long")
-    windows = raw.join(wide, "gram", "left_semi").mapInArrow(_windows, "window long, doc long, tag long, start long, copies long")
+    sorted_ = raw.join(wide, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_spans, f"{KEY_TYPE}, span long")
+    windows = raw.join(wide, "gram", "left_semi").mapInArrow(_windows, f"window long, {KEY_TYPE}, start long, copies long")
     twice = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
-    counted = windows.filter("copies = 1").join(twice, "window").select("doc", "tag", F.shiftleft("start", SIZE_BITS).bitwiseOR(F.lit(LENGTH)).alias("span"))
+    counted = windows.filter("copies = 1").join(twice, "window").select(*KEY, F.shiftleft("start", SIZE_BITS).bitwiseOR(F.lit(LENGTH)).alias("span"))
     return whole.unionByName(sorted_).unionByName(counted)
 
 
@@ -293,9 +297,9 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept_sha256 and kept_text (null only where the text was null)."""
     others = [c for c in docs.columns if c != text]
     aside = docs.select(F.struct(*[F.col(c) for c in others], F.col(text).isNull().alias("_null")).alias("_row"), "doc_id", text)
-    spans = repeated_spans(docs, text).groupBy("doc", "tag").agg(F.collect_list("span").alias("spans"))
+    spans = repeated_spans(docs, text).groupBy(*KEY).agg(F.collect_set("span").alias("spans"))
     texts = packed_documents(_keyed(aside, text, "_row"))
-    rows = texts.join(spans, ["doc", "tag"], "left")
+    rows = texts.join(spans, KEY, "left")
     row_type = rows.schema["_row"].dataType.simpleString()
     out = rows.select("_row", "text", "n_bytes", "spans").mapInArrow(
         _cut, f"_row {row_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"

@@ -34,10 +34,27 @@ def test_repeated_strings_equal_brute_force(spark):
     check_repeats(spark, rows)
 
 
+def same_tags(spark, texts):
+    """Texts by the low 16 bits of Spark's hash."""
+    found = {}
+    for tag, text in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("pmod(xxhash64(t), 65536)", "t").collect():
+        found.setdefault(tag, []).append(text)
+    return found
+
+
 def test_repeated_strings_of_hostile_documents(spark):
     check_repeats(spark, hostile())
 
 
+def test_texts_of_one_or_no_id_keep_their_own_spans(spark):
+    passage = passages(seed=5)[0][1][:20] + "".join(random.Random(5).choice("abcdefgh ") for _ in range(300))
+    texts = [f"{i} " * (1 + i % 40) + passage for i in range(2_000)]
+    tags = same_tags(spark, texts)
+    a, b = next((x, y) for same in tags.values() for x in same for y in same if len(x) < len(y))
+    for doc_id in (None, 7):
+        check_repeats(spark, [(doc_id, a), (doc_id, b), (None, a[:90]), (8, "tail " * 20 + passage[:250])])
+
+
 def test_wide_grams_are_counted_by_window(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "GROUP", 3)
     check_repeats(spark, passages(seed=4))
