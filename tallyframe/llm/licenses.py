@@ -2,7 +2,8 @@
 
 A text is brought to canonical form (lower case, copyright lines removed, punctuation and blanks reduced to
 single spaces, equivalent spellings unified) and hashed whole; the digests are joined with those of known
-licences, which go through the same function. Single lines are looked up the same way among known notices.
+licences, which go through the same function. Single lines and paragraphs are looked up the same way among known
+notices. Spellings of two words are unified for the lookup only; text_digest is that of the form with single words.
 
 Cases: null and empty texts, and texts that are empty in canonical form, match nothing (digest null). Long
 texts are one row. Repeated rows each get a result. Two known names with equal digests: the smaller name is
@@ -11,6 +12,8 @@ reported. Empty tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +76,32 @@ NOTICES = {
     "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
     "SPDX-License-Identifier: GPL-3.0-only": "GPL-3.0",
 }
+# First paragraphs of notices of several lines.
+_GNU = (
+    "This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} as published "
+    "by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
+)
+HEADERS = {
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the '
+    "License. You may obtain a copy of the License at": "Apache-2.0",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+    "with this file, You can obtain one at http://mozilla.org/MPL/2.0/.": "MPL-2.0",
+} | {
+    _GNU.format(what=what, name=name, version=version): license
+    for what in ("program", "library")
+    for name, version, license in (
+        ("General Public License", "1", "GPL-1.0"), ("General Public License", "2", "GPL-2.0"), ("General Public License", "3", "GPL-3.0"),
+        ("Library General Public License", "2", "LGPL-2.0"), ("Lesser General Public License", "2.1", "LGPL-2.1"),
+        ("Lesser General Public License", "3", "LGPL-3.0"), ("Affero General Public License", "3", "AGPL-3.0"),
+    )
+}
+# Spellings of two words that count as one; the first words, the second ones and what stands for them.
+TWO_WORDS = {
+    "sub licen[sc]e": "sublicense", "sub licen[sc]ed": "sublicensed", "sub licensing": "sublicensing", "non commercial": "noncommercial", "per cent": "percent",
+    "copyright owner": "copyright holder", "copyright owners": "copyright holders",
+}
+TWO_WORDS_AT_ALL = "\\b(?:sub licen|non commercial|per cent|copyright owner)"
+TERMS_END = "END OF TERMS AND CONDITIONS"
 COPYRIGHT_LINE = "(?m)^[ \\t#*/;-]*(copyright|\\(c\\)|©|all rights reserved)[^\\n]*$"
 NOT_WORD = "[^\\p{L}\\p{N}]+"
 NOT_WORD_OR_END = "[^\\p{L}\\p{N}\\n]+"
@@ -112,9 +141,39 @@ def digest(text: Column) -> Column:
     return _digest_of(one_line(canonical_lines(text)))
 
 
+def one_word(form: Column) -> Column:
+    """A canonical form with spellings of two words made one."""
+    made = form
+    for two, one in TWO_WORDS.items():
+        made = F.regexp_replace(made, f"\\b{two}\\b", one)
+    return F.when(form.rlike(TWO_WORDS_AT_ALL), made).otherwise(form)
+
+
+def full_licenses(spark) -> DataFrame:
+    """(license, text) of LICENSES and of the texts in license_texts (NAME.txt or NAME@VARIANT.txt), each also as it is
+    without its title, if its copyright line follows that, and without what stands behind its terms."""
+    found = [(n, t) for n, t in LICENSES.items()]
+    for file in (resources.files(__package__) / "license_texts").iterdir():
+        if file.name.endswith(".txt"):
+            found.append((file.name.removesuffix(".txt").split("@")[0], file.read_text("utf-8")))
+    for name, text in list(found):
+        title, _, rest = text.strip().partition("\n\n")
+        if rest.startswith("Copyright (c) <"):
+            found.append((name, rest))
+        if TERMS_END in text:
+            found.append((name, text[: text.index(TERMS_END) + len(TERMS_END)]))
+    found += [(n, f"The {n} License ({n})\n\n" + LICENSES[n].partition("\n\n")[2]) for n in ("MIT", "ISC")]
+    return spark.createDataFrame(sorted(set(found)), "license string, text string")
+
+
+def full_notices(spark) -> DataFrame:
+    """(license, text) of NOTICES and HEADERS."""
+    return built_in(spark, NOTICES | HEADERS)
+
+
 def known_digests(known: DataFrame) -> DataFrame:
     """(digest, license) of known(license, text), one row a digest."""
-    return known.select(digest(F.col("text")).alias("digest"), "license").filter("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
+    return known.select(_digest_of(one_word(one_line(canonical_lines(F.col("text"))))).alias("digest"), "license").filter("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def built_in(spark, table: dict[str, str]) -> DataFrame:
@@ -128,7 +187,7 @@ def _bounded(known: DataFrame) -> DataFrame:
 
 
 def scan(df: DataFrame, licenses: DataFrame | None = None, notices: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, text_digest, license (of the whole text, else null) and notices (names found on lines, sorted).
+    """key, text_digest, license (of the whole text, else null) and notices (names found on lines or paragraphs, sorted).
 
     licenses and notices: (license, text); the built-in tables if not given.
     """
@@ -138,15 +197,19 @@ def scan(df: DataFrame, licenses: DataFrame | None = None, notices: DataFrame |
     rows = df.select(key, text)
     known = known_digests(licenses).select("digest", F.lit(True).alias("whole"), "license")
     known = _bounded(known.unionByName(known_digests(notices).select("digest", F.lit(False).alias("whole"), "license")))
-    # one pass over the texts: the digest of the whole and those of its lines, of which only hits go on
+    # one pass over the texts: the digest of the whole and those of its lines and paragraphs, of which only hits go on
     forms = rows.select(key, F.monotonically_increasing_id().alias("_row"), canonical_lines(F.col(text)).alias("_form"))
-    whole = F.array(F.struct(F.lit(True).alias("whole"), _digest_of(one_line(F.col("_form"))).alias("digest")))
-    lines = F.transform(F.split("_form", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), _digest_of(F.trim(x)).alias("digest")))
-    units = forms.select(key, "_row", F.inline(F.concat(whole, lines)))
+    forms = forms.select(key, "_row", one_line(F.col("_form")).alias("_line"), one_word(F.col("_form")).alias("_form"))
+    unit = lambda whole, form, shown: F.struct(F.lit(whole).alias("whole"), _digest_of(form).alias("digest"), shown.alias("shown"))
+    whole = F.array(unit(True, one_word(F.col("_line")), _digest_of(F.col("_line"))))
+    lines = F.transform(F.split("_form", "\n"), lambda x: unit(False, F.trim(x), F.lit(None).cast("string")))
+    blocks = F.filter(F.split("_form", "\n ?\n[ \n]*"), lambda x: x.contains("\n"))
+    blocks = F.transform(blocks, lambda x: unit(False, one_word(one_line(x)), F.lit(None).cast("string")))
+    units = forms.select(key, "_row", F.inline(F.concat(whole, lines, blocks)))
     found = units.join(known, ["digest", "whole"], "left").filter(F.col("whole") | F.col("license").isNotNull())
     of_whole, of_line = F.when(F.col("whole"), F.col("license")), F.when(~F.col("whole"), F.col("license"))
     grouped = found.groupBy(key, "_row").agg(
-        F.max(F.when(F.col("whole"), F.col("digest"))).alias("text_digest"), F.max(of_whole).alias("license"),
+        F.max("shown").alias("text_digest"), F.max(of_whole).alias("license"),
         F.array_join(F.array_sort(F.collect_set(of_line)), ",").alias("notices"),
     )
     return grouped.drop("_row")

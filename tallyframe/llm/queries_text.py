@@ -19,7 +19,7 @@ FIT_ROWS = 20_000
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of whole documents and of their single lines."""
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.full_licenses(spark), licenses.full_notices(spark))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

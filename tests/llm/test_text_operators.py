@@ -68,6 +68,21 @@ def test_licences(spark):
     assert licenses.scan(documents(spark, rows), nothing, nothing).filter("license is not null or notices <> ''").count() == 0
 
 
+def test_the_full_table_knows_whole_licences_headers_and_two_word_spellings(spark):
+    full, notices = licenses.full_licenses(spark), licenses.full_notices(spark)
+    texts = {n: t for n, t in full.collect()}
+    names = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "Unlicense"]
+    mit = licenses.LICENSES["MIT"]
+    header = "# Copyright 2020 Somebody\n#\n" + "\n".join(f"# {x}" for x in next(iter(licenses.HEADERS)).replace("except in", "except\nin").split("\n")) + "\n#\n#     http://x\n\nimport os"
+    rows = [*enumerate(texts[n] for n in names), (20, mit.replace("sublicense", "sub-license")), (21, header), (22, mit.partition("\n\n")[2])]
+    got = {r["doc_id"]: r for r in licenses.scan(documents(spark, rows), full, notices).collect()}
+    assert [got[i]["license"] for i in range(len(names))] == names
+    assert (got[20]["license"], got[22]["license"]) == ("MIT", "MIT")
+    assert got[21]["notices"] == "Apache-2.0" and got[21]["license"] is None
+    plain = {r["doc_id"]: r["text_digest"] for r in licenses.scan(documents(spark, rows)).collect()}
+    assert plain == {i: r["text_digest"] for i, r in got.items()} and plain[20] != plain[22]
+
+
 MESSAGES = [
     (1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (1, 1, "assistant", "a<\\|b <\\\\| <| |> tail<"), (1, 1, "assistant", "tie"), (2, 0, "odd\\role\n<|im_end|>", None),
     (2, None, None, "\n\n"), (None, 0, "assistant", "x" * 5000), (3, 0, "user", "same"), (3, 0, "user", "same"),
