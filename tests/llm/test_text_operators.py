@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import re
 
 import duckdb
@@ -24,6 +25,22 @@ def test_token_counts_equal_the_library(spark):
     assert token_count.with_token_count(documents(spark, []), path).count() == 0
 
 
+def test_token_counts_of_strings_from_all_planes():
+    """Strings over every plane, letters of later Unicode versions and the word ends of the pattern among them."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, count = tokenizers.Tokenizer.from_file(path), token_count.text_counter(token_count.load_vocabulary(path))
+    r = random.Random(5)
+
+    def any_character():
+        code = r.randrange(0x20, r.choice([0x80, 0x600, 0x3000, 0x11000, 0x20000, 0x40000, 0x110000]))
+        return chr(code) if not 0xD800 <= code < 0xE000 else "'"
+
+    texts = ["".join(any_character() for _ in range(r.randint(1, 12))) for _ in range(12_000)]
+    texts += ["\u041d\u0558", "\u20a4'S", "\U00010952'S", "1\u1c89's", "\ua7cb\ua7ce", "\U00010d50 \U00016ea0x", "\U000113c2\U000113c2"]
+    texts += [f"{a}{chr(c)}'s" for a in "a#1" for c in range(0x80, 0x34000, 97) if not 0xD800 <= c < 0xE000]
+    assert [count(t) for t in texts] == [len(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def plain_base(text):
     w = plain_words(text)
     lines = [x for x in (text or "").split("\n") if plain_words(x)]
