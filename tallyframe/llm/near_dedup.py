@@ -1,21 +1,24 @@
 """Near-duplicate classes of documents by DartMinHash signatures and banded joining.
 
 1. Every text gets a DartMinHash signature of its 5-word shingles (weight 1 a distinct shingle, or its
-   count), cut into BANDS bands of ROWS values. Equal texts are collapsed to their least doc_id first.
-2. Texts that share a band's hash meet in a bucket. Every text is tied to the least ids of its buckets; the
+   count), cut into BANDS bands of ROWS values. Equal texts are collapsed to one, known by its digest.
+2. Texts that share a band's hash meet in a bucket. Every text is tied to the least texts of its buckets; the
    connected components of these ties are the candidate clusters, outside of which no two texts met.
-3. Clusters are dealt in chunks of at most CHUNK shingles. In a chunk, every two texts that are not connected
-   yet are compared: bitmaps give an upper bound of their similarity, and where it reaches the threshold the
-   exact (weighted) Jaccard similarity of the whole shingle sets decides. Only links leave the task.
-4. Where a cluster of several chunks is still in several components, the texts outside its main component are
-   streamed past all chunks of the cluster. So no link between two texts that met is lost, whatever the
-   size of their group, and no list of pairs is ever made.
+3. Clusters go to tasks, in chunks of at most CHUNK shingles and TEXTS texts. In a chunk, two texts that share a
+   bucket and are not connected yet are compared: bitmaps give an upper bound of their similarity, and where it
+   reaches the threshold the exact (weighted) Jaccard similarity of the whole shingle sets decides. Only links
+   leave the task. A cluster of several chunks is dealt by the least text that each of its texts met, and that
+   text goes to all chunks of its group, so that near copies connect across chunks.
+4. Buckets of such clusters that still hold several components are open. Their texts outside the cluster's main
+   component are streamed past the chunks that hold texts of the same open buckets. So no link between two texts
+   that met is lost, whatever the size of their group, and no list of pairs is ever made.
 
 With 32 bands of 4, a pair at similarity 0.8 does not meet with probability (1 - 0.8**4)**32 = 5e-8.
 
-Cases: null texts and texts without words are duplicates of nothing; texts under 5 words are one shingle of
-all their words; a null doc_id is never a representative, rows with it belong to the class of their equal texts
-(null if there are none); rows that repeat a doc_id are one document; an empty table gives an empty result.
+Cases: null texts and texts without words are duplicates of nothing (their class is their own doc_id); texts under 5
+words are one shingle of all their words; texts are compared whatever their doc_id, so different texts under one
+doc_id, or under null, are judged one by one; a class is named by its least doc_id, null if none of its rows has
+one; an empty table gives an empty result; other columns pass through `near_deduplicated` and are ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import small_batches, written
+from tallyframe.llm.common import BLANK_CLASS, small_batches, written
 from tallyframe.llm.components import components
 from tallyframe.llm.dartminhash import bands, signatures
 from tallyframe.llm.hashing import distinct_shingles, stretches
@@ -35,8 +38,13 @@ from tallyframe.llm.packing import packed_documents, unpacked
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
-CHUNK = 250_000
+CHUNK, TEXTS = 250_000, 4_000
 BITS = 4_096
+WORD = f"[^{BLANK_CLASS[1:]}"
+
+
+def _digest(text: str):
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
 def _weights(times: np.ndarray, weighted: bool) -> np.ndarray:
@@ -57,21 +65,26 @@ def signed(docs: DataFrame, weighted: bool = False, text: str = "text") -> DataF
                 part = batch.slice(a, b - a)
                 yield pa.record_batch([part.column("doc_id"), part.column("digest"), pa.array(sizes, pa.int64()), cells], names=["doc_id", "digest", "n_shingles", "bands"])
 
-    keyed = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("digest"), F.col(text).alias("text"))
+    keyed = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), _digest(text).alias("digest"), F.col(text).alias("text"))
     return keyed.mapInArrow(sign, "doc_id long, digest binary, n_shingles long, bands array<bigint>")
 
 
-def candidate_edges(buckets: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect the ids of every bucket(bucket, id) of two or more: each id to the least of the least
-    ids of its buckets, and those to each other. About one edge an id, however many buckets it is in."""
+def bucket_heads(buckets: DataFrame) -> DataFrame:
+    """(id, heads): the least ids of the buckets(bucket, id) of two or more that an id is in; at most BANDS of them."""
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("bucket", "least")
     shared = written(shared, "buckets")  # read again, it leaves Spark free to split hot buckets in the join
-    heads = buckets.join(shared, "bucket").groupBy("id").agg(F.collect_set("least").alias("heads"))  # at most BANDS of them
+    return written(buckets.join(shared, "bucket").groupBy("id").agg(F.collect_set("least").alias("heads")), "heads")
+
+
+def candidate_edges(heads: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the ids of every bucket: each id to the least of its heads, and those to each other.
+    About one edge an id, however many buckets it is in."""
     return heads.select(F.array_min("heads").alias("a"), F.explode(F.array_union("heads", F.array("id"))).alias("b")).distinct()
 
 
 def shingle_sets(docs: DataFrame, members: DataFrame, text: str = "text") -> DataFrame:
-    """members(id, cluster, chunk) with the shingle set (shingles, times) of their text in docs(doc_id, text)."""
+    """members(id, digest, doc_id, bands, ...) with the shingle set (shingles, times) of their text in docs(doc_id, text)."""
+    names = [c for c in members.columns if c not in ("digest", "doc_id")]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,11 +93,12 @@ def shingle_sets(docs: DataFrame, members: DataFrame, text: str = "text") -> Dat
                 element, row, times = distinct_shingles(data, offsets, SHINGLE)
                 ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=b - a)))).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (element.view(np.int64), times.astype(np.int32))]
-                yield pa.record_batch([*(batch.column(n).slice(a, b - a) for n in ("id", "cluster", "chunk")), *lists], names=["id", "cluster", "chunk", "shingles", "times"])
+                yield pa.record_batch([*(batch.column(n).slice(a, b - a) for n in names), *lists], names=[*names, "shingles", "times"])
 
-    rows = packed_documents(docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")))
-    rows = rows.join(members, "id").dropDuplicates(["id"])
-    return rows.mapInArrow(gather, "id long, cluster long, chunk long, shingles array<bigint>, times array<int>")
+    rows = packed_documents(docs.select(F.col("doc_id").cast("long").alias("_doc"), _digest(text).alias("_digest"), F.col(text).alias("text")))
+    rows = rows.join(members, (F.col("_digest") == F.col("digest")) & F.col("_doc").eqNullSafe(F.col("doc_id"))).dropDuplicates(["id"])
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema if f.name in names)
+    return rows.select(*names, "text", "n_bytes").mapInArrow(gather, f"{types}, shingles array<bigint>, times array<int>")
 
 
 class Sets:
@@ -92,6 +106,7 @@ class Sets:
 
     def __init__(self, batch: pa.RecordBatch | pa.Table, weighted: bool):
         self.ids = batch["id"].to_numpy()
+        self.bands = np.stack([x.values.to_numpy() for x in batch["bands"]]) if len(self.ids) else np.zeros((0, BANDS), np.int64)
         self.shingles = [x.values.to_numpy() for x in batch["shingles"]]
         self.weights = [_weights(x.values.to_numpy(), weighted) for x in batch["times"]]
         self.mass = np.array([w.sum() for w in self.weights])
@@ -100,13 +115,13 @@ class Sets:
         bit = (np.concatenate(self.shingles).view(np.uint64) >> np.uint64(52)) if len(row) else np.zeros(0, np.uint64)
         np.bitwise_or.at(self.maps, (row, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
 
-    def bounds(self, other: Sets, i: int) -> np.ndarray:
-        """Upper bounds of the similarity of other's text i to each of these: a bit that one map lacks is a shingle,
+    def bounds(self, some: np.ndarray, other: Sets, i: int) -> np.ndarray:
+        """Upper bounds of the similarity of other's text i to `some` of these: a bit that one map lacks is a shingle,
         of weight 1 or more, that its text lacks."""
-        theirs = other.maps[i]
-        lacking = np.bitwise_count(self.maps & ~theirs).sum(1), np.bitwise_count(theirs & ~self.maps).sum(1)
-        both = np.minimum(self.mass - lacking[0], other.mass[i] - lacking[1])
-        return both / np.maximum(self.mass + other.mass[i] - both, 1e-9)
+        own, theirs = self.maps[some], other.maps[i]
+        lacking = np.bitwise_count(own & ~theirs).sum(1), np.bitwise_count(theirs & ~own).sum(1)
+        both = np.minimum(self.mass[some] - lacking[0], other.mass[i] - lacking[1])
+        return both / np.maximum(self.mass[some] + other.mass[i] - both, 1e-9)
 
     def similarity(self, other: Sets, i: int, j: int) -> float:
         _, left, right = np.intersect1d(self.shingles[j], other.shingles[i], assume_unique=True, return_indices=True)
@@ -114,57 +129,98 @@ class Sets:
         return both / (self.mass[j] + other.mass[i] - both)
 
 
-class Forest:
-    """Union-find over the components that one task sees."""
+class Components:
+    """Components of the members of a chunk (`of`, as numbers), and of other texts that were linked to them, by name."""
 
-    def __init__(self):
-        self.up: dict = {}
+    def __init__(self, names: list):
+        self.number: dict = {}
+        self.of = np.array([self.number.setdefault(n, len(self.number)) for n in names], np.int64)
+        self.up = list(range(len(self.number)))
 
-    def root(self, x):
-        path = []
-        while (y := self.up.get(x, x)) != x:
-            path.append(x)
-            x = y
-        for p in path:
-            self.up[p] = x
+    def find(self, name) -> int:
+        """The number of a component, -1 if no member and no text linked to one is in it."""
+        x = self.number.get(name, -1)
+        while x >= 0 and self.up[x] != x:
+            x = self.number[name] = self.up[x]
         return x
 
-    def join(self, x, y) -> None:
-        self.up[self.root(x)] = self.root(y)
+    def join(self, name, a: int) -> int:
+        """Puts the component of this name and number a together; the number of both."""
+        b = self.find(name)
+        if b < 0:
+            self.number[name] = b = a
+        self.up[a] = b
+        self.of[self.of == a] = b
+        return b
+
+
+class Buckets:
+    """The members of a chunk by bucket."""
+
+    def __init__(self, bands: np.ndarray):
+        flat = bands.ravel()
+        order = np.argsort(flat, kind="stable")
+        self.values, self.members = flat[order], order // BANDS
+
+    def of(self, bands: np.ndarray) -> np.ndarray:
+        """Members that share a bucket with a text of these bands."""
+        low, high = np.searchsorted(self.values, bands), np.searchsorted(self.values, bands, side="right")
+        parts = [self.members[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True) if a < b]
+        return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+
+    def groups(self) -> list[np.ndarray]:
+        """Members of each bucket of two or more."""
+        cuts = np.flatnonzero(np.concatenate(([True], self.values[1:] != self.values[:-1], [True])))
+        return [self.members[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b - a > 1]
+
+
+def inner_links(sets: Sets, threshold: float) -> list[tuple]:
+    """Links that connect the texts of a chunk: bucket by bucket, until the bucket is one component or all its pairs are compared."""
+    label_of, out = np.arange(len(sets.ids)), []
+    for group in Buckets(sets.bands).groups():
+        for k, i in enumerate(group[:-1].tolist()):
+            label = label_of[group]
+            if (label == label[0]).all():
+                break
+            rest = group[k + 1 :][label[k + 1 :] != label[k]]
+            bounds = sets.bounds(rest, sets, i)
+            for j in rest[np.argsort(-bounds, kind="stable")[: np.count_nonzero(bounds >= threshold - 1e-9)]].tolist():
+                if label_of[j] != label_of[i] and sets.similarity(sets, i, j) >= threshold - 1e-9:
+                    label_of[label_of == label_of[j]] = label_of[i]
+                    out.append((int(sets.ids[j]), int(sets.ids[i])))
+    return out
 
 
-def links_between(members: Sets, labels: list, asked: Sets, asked_labels: list, forest: Forest, threshold: float, later: bool) -> list[tuple]:
-    """Links that connect asked texts with members of other components; likeliest first, none within a component.
-    later: asked are the members themselves, and a text is compared with those after it."""
+def asked_links(members: Sets, buckets: Buckets, own: Components, asked: Sets, names: list, threshold: float) -> list[tuple]:
+    """Links that connect asked texts with members of other components that share a bucket with them."""
     out = []
     for i in range(len(asked.ids)):
-        bounds = members.bounds(asked, i)
-        near = np.flatnonzero(bounds >= threshold - 1e-9)
-        near = near[near > i] if later else near
-        for j in near[np.argsort(-bounds[near], kind="stable")].tolist():
-            if forest.root(labels[j]) != forest.root(asked_labels[i]) and members.similarity(asked, i, j) >= threshold - 1e-9:
-                forest.join(labels[j], asked_labels[i])
+        mine = own.find(names[i])
+        near = buckets.of(asked.bands[i])
+        near = near[own.of[near] != mine]
+        bounds = members.bounds(near, asked, i)
+        for j in near[np.argsort(-bounds, kind="stable")[: np.count_nonzero(bounds >= threshold - 1e-9)]].tolist():
+            if own.of[j] != mine and members.similarity(asked, i, j) >= threshold - 1e-9:
+                mine = own.join(names[i], int(own.of[j]))
                 out.append((int(members.ids[j]), int(asked.ids[i])))
     return out
 
 
 def chunk_links(rows: DataFrame, weighted: bool, threshold: float) -> DataFrame:
-    """Links (a, b) inside each chunk of rows(cluster, chunk, asked, id, component, shingles, times).
+    """Links (a, b) inside each chunk of rows(cluster, chunk, asked, id, component, bands, shingles, times).
 
     Rows with asked = 1 are compared with the chunk's rows with asked = 0; a chunk without any is compared with itself.
-    Members of a chunk are held in memory, at most about CHUNK shingles; asked texts stream past them.
+    Members of a chunk are held in memory, at most about CHUNK shingles or TEXTS texts; asked texts stream past them.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, members, names, forest = None, [], None, [], Forest()
+        key, held, members, buckets, names = None, [], None, None, None
 
         def result(links):
             return pa.record_batch([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         def inner():
-            own = Sets(pa.concat_tables(held), weighted)
-            label = own.ids.tolist()
-            return result(links_between(own, label, own, label, Forest(), threshold, True))
+            return result(inner_links(Sets(pa.concat_tables(held), weighted), threshold))
 
         for batch in batches:
             keys = np.stack([batch.column(n).to_numpy() for n in ("cluster", "chunk", "asked")])
@@ -175,15 +231,15 @@ def chunk_links(rows: DataFrame, weighted: bool, threshold: float) -> DataFrame:
                 if (cluster, chunk) != key:
                     if held and members is None:
                         yield inner()
-                    key, held, members, forest = (cluster, chunk), [], None, Forest()
+                    key, held, members = (cluster, chunk), [], None
                 if asked == 0:
                     held.append(part)
                 elif held:
                     if members is None:
                         table = pa.concat_tables(held)
-                        members, names = Sets(table, weighted), table["component"].to_pylist()
-                    found = links_between(members, names, Sets(part, weighted), part["component"].to_pylist(), forest, threshold, False)
-                    yield result(found)
+                        members, names = Sets(table, weighted), Components(table["component"].to_pylist())
+                        buckets = Buckets(members.bands)
+                    yield result(asked_links(members, buckets, names, Sets(part, weighted), part["component"].to_pylist(), threshold))
         if held and members is None:
             yield inner()
 
@@ -191,51 +247,89 @@ def chunk_links(rows: DataFrame, weighted: bool, threshold: float) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+ROWS_OF_LINKS = ("cluster", "chunk", "asked", "id", "component", "bands", "shingles", "times")
+
+
+def _first_rows(sets: DataFrame) -> DataFrame:
+    """Every text in one chunk. Clusters of several chunks are dealt by head, and the head goes to all chunks of its group."""
+    whole = sets.filter("chunks = 1").withColumn("first", F.lit(0).cast("long"))
+    wide = sets.filter("chunks > 1")
+    groups = wide.groupBy("head").agg(_chunks().alias("parts"))
+    dealt = wide.join(groups, "head").withColumn("first", F.xxhash64("head", F.pmod(F.xxhash64("id"), F.col("parts"))))
+    heads = wide.drop("head").join(groups.withColumnRenamed("head", "id"), "id").withColumn("head", F.col("id"))
+    heads = heads.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    heads = heads.withColumn("first", F.xxhash64("head", "part")).filter((F.col("parts") > 1) | (F.col("own_head") != F.col("id")))
+    heads = heads.filter((F.col("own_head") != F.col("id")) | (F.pmod(F.xxhash64("id"), F.col("parts")) != F.col("part")))
+    rows = [x.withColumns({"asked": F.lit(0), "component": F.col("id"), "chunk": F.col("first")}).select(*ROWS_OF_LINKS) for x in (whole, dealt, heads)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def _chunks():
+    """Number of chunks of a group of texts."""
+    return F.greatest(F.ceil(F.sum("n") / CHUNK), F.ceil(F.count("*") / TEXTS)).cast("long")
+
+
 def _open_rows(sets: DataFrame, labels: DataFrame) -> DataFrame | None:
-    """The rows of clusters of several chunks that are not connected yet: all texts once, and those outside the
-    main component once more for every chunk."""
-    many = sets.groupBy("cluster").agg((F.max("chunk") + 1).alias("chunks")).filter("chunks > 1")
-    named = sets.select("id", "cluster").join(many, "cluster").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    named = written(named, "open")
-    if named.isEmpty():
+    """What is left to compare in clusters of several chunks: the texts of open buckets once, and those of them outside
+    the main component once more for every chunk that holds texts of the same open buckets."""
+    many = sets.filter("chunks > 1").select("id", "cluster", "chunks", "bands")
+    named = many.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = named.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    cells = named.select("cluster", "id", "component", "chunk", F.explode("bands").alias("bucket"))
+    mixed = cells.groupBy("cluster", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("cluster", "bucket")
+    cells = written(cells.join(mixed, ["cluster", "bucket"]), "open-buckets")
+    if cells.isEmpty():
         return None
     sizes = named.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    rows = named.join(main, "cluster").select("id", "component", "main", "chunks")
-    full = sets.join(rows, "id")
-    columns = ["cluster", "chunk", "asked", "id", "component", "shingles", "times"]
-    own = full.withColumn("asked", F.lit(0)).select(columns)
-    asked = full.filter("component <> main").withColumn("asked", F.lit(1)).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(columns)
-    return own.unionByName(asked)
+    main = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    outside = cells.join(main, "cluster").filter("component <> main").select("cluster", "bucket", "id", "component")
+    places = cells.select("cluster", "bucket", "chunk").distinct()
+    asked = outside.join(places, ["cluster", "bucket"]).select("id", "component", "chunk").distinct().withColumn("asked", F.lit(1))
+    own = cells.select("id", "component", "chunk").distinct().withColumn("asked", F.lit(0))
+    return sets.join(own.unionByName(asked), "id").select(*ROWS_OF_LINKS)
 
 
 def near_deduplicated(docs: DataFrame, weighted: bool = False, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """docs without the rows whose class holds a smaller doc_id. Rows without words stay, rows with a null doc_id cannot be
-    named and stay, and of rows that repeat a kept doc_id all stay."""
-    dropped = near_classes(docs, weighted, threshold, text).filter("class_id <> doc_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(dropped, "doc_id", "left_anti")
-    return named.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    """docs with one document of each class: that with the least doc_id (the least digest among equal ids, and a text without
+    any id where no text of the class has one). Rows without words stay; rows equal in doc_id and text are one document, so they
+    stay or go together; of equal texts without an id one row stays."""
+    _, named = _text_classes(docs, weighted, threshold, text)
+    kept = named.filter("first").select(F.col("digest").alias("_kept"), F.col("doc_id").alias("_of"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), _digest(text).alias("_digest"), F.col("doc_id").cast("long").alias("_id"), F.col(text).rlike(WORD).alias("_worded"))
+    judged = rows.join(kept, (F.col("_digest") == F.col("_kept")) & F.col("_id").eqNullSafe(F.col("_of")), "left").filter("_kept is not null or not coalesce(_worded, false)")
+    nameless = "_id is null and coalesce(_worded, false)"
+    out = judged.filter(f"not ({nameless})").select("_doc").unionByName(judged.filter(nameless).groupBy("_digest").agg(F.first("_doc").alias("_doc")).select("_doc"))
+    return out.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def near_classes(docs: DataFrame, weighted: bool = False, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """(doc_id, class_id) for every row of docs(doc_id, text); class_id is the least doc_id of its class."""
+    rows, named = _text_classes(docs, weighted, threshold, text)
+    alone = rows.filter("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"))
+    worded = rows.filter("n_shingles > 0").select("doc_id", "digest")
+    return worded.join(named.select("digest", "class_id"), "digest").select("doc_id", "class_id").unionByName(alone)
+
+
+def _text_classes(docs: DataFrame, weighted: bool, threshold: float, text: str) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and (digest, doc_id, class_id, first) of every text with words: its least doc_id, its class, and
+    whether it is the first text of the class."""
     rows = written(signed(docs, weighted, text), "signed")
-    worded = rows.filter("n_shingles > 0")
-    texts = written(worded.filter("doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("one")).select("digest", "one.*"), "texts")
-    edges = candidate_edges(texts.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id")))
-    clusters = components(edges).toDF("id", "cluster")
-    sized = texts.groupBy(F.col("doc_id").alias("id")).agg(F.max("n_shingles").alias("n")).join(clusters, "id")
-    total = sized.groupBy("cluster").agg(F.ceil(F.sum("n") / CHUNK).alias("chunks"))
-    members = sized.join(total, "cluster").select("id", "cluster", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"))
-    sets = written(shingle_sets(docs, members, text), "shingle-sets")
-    own = sets.withColumns({"asked": F.lit(0), "component": F.col("id")})
-    links = written(chunk_links(own, weighted, threshold), "links")
+    texts = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("n_shingles", "bands")).alias("one"))
+    texts = written(texts.select(F.monotonically_increasing_id().alias("id"), "digest", "doc_id", F.col("one.n_shingles").alias("n"), "one.bands"), "texts")
+    heads = bucket_heads(texts.select(F.explode("bands").alias("bucket"), "id"))
+    clusters = components(candidate_edges(heads)).toDF("id", "cluster")
+    members = texts.join(clusters, "id").join(heads.select("id", F.array_min("heads").alias("head")), "id").withColumn("own_head", F.col("head"))
+    sized = members.groupBy("cluster").agg(_chunks().alias("chunks"))
+    sets = written(shingle_sets(docs, members.join(sized, "cluster"), text), "shingle-sets")
+    links = written(chunk_links(_first_rows(sets), weighted, threshold), "links")
     labels = components(links)
     rest = _open_rows(sets, labels)
     if rest is not None:
         links = links.unionByName(written(chunk_links(rest, weighted, threshold), "links"))
         labels = components(links)
-    named = texts.select("digest", F.col("doc_id").alias("node")).join(labels, "node", "left")
-    named = named.select("digest", F.coalesce("component", "node").alias("class_id"))
-    alone = rows.filter("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"))
-    return worded.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", "class_id").unionByName(alone)
+    named = texts.select("id", "digest", "doc_id").join(labels.toDF("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = written(named, "text-classes")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    classes = named.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.min(order).alias("least"))
+    named = named.join(classes, "component").select("digest", "doc_id", "class_id", (F.col("digest") == F.col("least.digest")).alias("first"))
+    return rows, named

@@ -18,6 +18,11 @@ def op2_dartminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def near_dedup_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by weighted similarity: a shingle weighs as often as it occurs in its text."""
+    return near_dedup.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), weighted=True)
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes under repeated 200-byte strings removed from every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -43,6 +48,7 @@ FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY ALL HAVING count(*) >= 0
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing, "op2_dartminhash_near_dedup": op2_dartminhash_near_dedup,
+    "near_dedup_weighted": near_dedup_weighted,
     "op5_suffix_array_dedup": op5_suffix_array_dedup, "op8_decontamination": op8_decontamination,
 }
 ORACLES = {"op8_decontamination": ORACLE_8}

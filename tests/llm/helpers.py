@@ -45,6 +45,29 @@ def near_classes(rows, threshold=0.8):
     return {d: root(d) for d in up}
 
 
+def weighted_classes(rows, threshold=0.8):
+    """near_classes by weighted similarity: shingles count as often as they occur."""
+    sets = {}
+    for d, t in rows:
+        w = plain_words(t)
+        sets[d] = Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else Counter()
+    up = {d: d for d in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = (sets[a] & sets[b]).total()
+            if both and both >= threshold * (sets[a].total() + sets[b].total() - both) - 1e-9:
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    return {d: root(d) for d in up}
+
+
 def repeated_bytes(rows, length=200):
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) by counting every window."""
     raw = [(d, (t or "").encode()) for d, t in rows]

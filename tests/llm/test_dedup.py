@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from tallyframe.llm import near_dedup, substring_dedup
-from tests.llm.helpers import SF, documents, hostile, near_classes, repeated_bytes
+from tests.llm.helpers import SF, documents, hostile, near_classes, repeated_bytes, weighted_classes
 
 DIGEST = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
 
@@ -92,6 +92,25 @@ def test_classes_equal_brute_force(spark, monkeypatch, chunk):
     assert near(spark, rows) == sorted(near_classes(rows).items(), key=repr)
 
 
+def test_large_groups_in_small_chunks_equal_brute_force(spark, monkeypatch):
+    """Two groups whose buckets mix, dealt by head into chunks of few texts."""
+    monkeypatch.setattr(near_dedup, "TEXTS", 7)
+    r = random.Random(11)
+    rows = variants(n=50, seed=8)
+    half = rows[0][1].split()[:45]
+    rows += [(2000 + i, " ".join([*half, *(f"k{r.randint(0, 3 + i)}" for _ in range(30 - i))])) for i in range(25)]
+    assert near(spark, rows) == sorted(near_classes(rows).items(), key=repr)
+
+
+def test_texts_of_one_id_or_none_are_judged_one_by_one(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    near_b = b.replace("b30", "other")
+    assert near(spark, [(1, a), (1, b), (2, near_b)]) == [(1, 1), (1, 1), (2, 1)]
+    rows = [(1, a), (1, b), (2, near_b), (None, a), (None, "n " + a), (None, "only " * 3), (None, "only " * 3), (None, None)]
+    kept = [(x["doc_id"], x["text"]) for x in near_dedup.near_deduplicated(documents(spark, rows)).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, a), (1, b), (None, "only " * 3), (None, None)], key=repr)
+
+
 def test_classes_on_test_data(spark):
     rows = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
     assert near(spark, rows) == sorted(near_classes(rows).items(), key=repr)
@@ -120,3 +139,8 @@ def test_weighted_classes_count_repeats(spark):
     b = " ".join(["a b c d e"] * 10 + [f"x{i}" for i in range(10)])
     assert {c for _, c in near(spark, [(1, a), (2, b)])} == {1}
     assert {c for _, c in near(spark, [(1, a), (2, b)], weighted=True)} == {1, 2}
+
+
+def test_weighted_classes_equal_brute_force(spark):
+    rows = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall() + [(10_000 + d, t) for d, t in variants(n=20)]
+    assert near(spark, rows, weighted=True) == sorted(weighted_classes(rows).items(), key=repr)
