@@ -319,8 +319,10 @@ def _text_classes(docs: DataFrame, weighted: bool, threshold: float, text: str)
     heads = bucket_heads(texts.select(F.explode("bands").alias("bucket"), "id"))
     clusters = components(candidate_edges(heads)).toDF("id", "cluster")
     members = texts.join(clusters, "id").join(heads.select("id", F.array_min("heads").alias("head")), "id").withColumn("own_head", F.col("head"))
-    sized = members.groupBy("cluster").agg(_chunks().alias("chunks"))
-    sets = written(shingle_sets(docs, members.join(sized, "cluster"), text), "shingle-sets")
+    # few clusters have several chunks; read again, their table is small enough to leave the members where they are
+    many = written(members.groupBy("cluster").agg(_chunks().alias("chunks")).filter("chunks > 1"), "wide-clusters")
+    members = members.join(many, "cluster", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
+    sets = written(shingle_sets(docs, members, text), "shingle-sets")
     links = written(chunk_links(_first_rows(sets), weighted, threshold), "links")
     labels = components(links)
     rest = _open_rows(sets, labels)

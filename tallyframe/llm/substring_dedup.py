@@ -3,20 +3,24 @@
 1. Every window of LENGTH bytes has an anchor (its least GRAM-gram). The windows of one anchor are a run,
    and the bytes under a run are its context. Equal windows meet under equal anchor grams. Equal runs of one
    text are one row.
-2. Grams that occur once are dropped. Runs with equal contexts are counted; where a context occurs twice
-   all of its windows are repeated.
-3. The distinct contexts of a gram are cut into 16-byte symbols, to the right of the anchor and, reversed,
-   to its left. Suffix sorting by linear grouping (gsaca) orders them both ways; common prefixes of neighbours
-   then tell which windows are equal to one in another context.
-4. Grams with more than GROUP distinct contexts do not go to one task: their windows are hashed and counted
-   one by one, which is exact as well.
+2. Grams that occur once are dropped. Equal contexts of the others become one string with its number of copies,
+   so that a passage in a third of all texts is sorted once.
+3. These strings are cut into 16-byte symbols, to the right of the anchor and, reversed, to its left. Suffix sorting
+   by linear grouping (gsaca) orders the strings of a gram both ways; common prefixes of neighbours then give the
+   classes of equal windows, and a window is repeated if the copies in its class are two or more. Whatever is removed
+   was found here, but for the rest in step 4. Spans of a string with several copies go to all of its runs.
+4. Grams with more than GROUP strings do not go to one task: their windows are dealt by longer grams first. A
+   range of RANGE distances from the anchor has LENGTH - RANGE + 1 bytes in common, by which its windows are grouped and
+   sorted as above. Where even those are shared by more than GROUP strings, windows are dealt by all of
+   their bytes (by hash) and counted.
 
 Matches never cross documents; strings are judged on the input. Documents are known by doc_id and a digest of
 their text (128 bits), so different texts under one doc_id, or under null, are kept apart.
 
 Cases: null and empty texts and texts under LENGTH bytes have nothing to remove; equal rows are repeats of
 each other, and each loses what repeats; texts of any length are handled in whole; an empty table gives an
-empty result; other columns pass through `deduplicated` and are ignored by `repeated_spans`.
+empty result; other columns pass through `deduplicated`, but for columns named as those it adds, and are ignored by
+`repeated_spans`.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from tallyframe.llm.gsaca import suffix_array
 from tallyframe.llm.hashing import prefix_hash, stretch_hash, stretches
 from tallyframe.llm.packing import packed_documents, unpacked
 
-LENGTH, GRAM, GROUP, SYMBOL = 200, 50, 4_000, 16
+LENGTH, GRAM, GROUP, RANGE, SYMBOL = 200, 50, 4_000, 19, 16
 #: Distinct contexts that are suffix-sorted together (whole grams at a time).
 BLOCK = 1_000
 #: A document's key: its doc_id and the two halves of its text's digest.
@@ -46,10 +50,12 @@ RUNS = pa.schema(
     [("gram", pa.int64()), ("context", pa.int64()), *KEYS, ("place", pa.int64()), ("copies", pa.int64()), ("spans", pa.list_(pa.int64()))]
 )
 BYTES = pa.schema(
-    [("gram", pa.int64()), ("context", pa.int64()), ("copies", pa.int64()), *KEYS, ("place", pa.int64()), ("raw", pa.binary())]
+    [("cell", pa.int64()), ("gram", pa.int64()), ("context", pa.int64()), ("copies", pa.int64()), *KEYS, ("place", pa.int64()), ("raw", pa.binary())]
 )
-SPANS = pa.schema([*KEYS, ("span", pa.int64())])
-WINDOWS = pa.schema([("window", pa.int64()), *KEYS, ("start", pa.int64()), ("copies", pa.int64())])
+SPANS = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("copies", pa.int64()), *KEYS, ("span", pa.int64())])
+WINDOWS = pa.schema([("window", pa.int64()), *SPANS])
+SPANS_TYPE = f"gram long, context long, copies long, {KEY_TYPE}, span long"
+ADDED = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 NO_ID = -(1 << 63)
 SIZE_BITS = 31  # of a packed span
 
@@ -110,7 +116,7 @@ def _context_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             text = unpacked(blob, size)
             for w in wanted:
                 low, width, _ = unpack(w["place"])
-                for name, value in zip(BYTES.names, (w["gram"], w["context"], w["copies"], *key, w["place"], text[low : low + width + LENGTH]), strict=True):
+                for name, value in zip(BYTES.names, (w["gram"], w["gram"], w["context"], w["copies"], *key, w["place"], text[low : low + width + LENGTH]), strict=True):
                     rows[name].append(value)
         yield pa.record_batch(rows, schema=BYTES)
 
@@ -150,9 +156,9 @@ def _reach(raw: list[bytes], group: np.ndarray, longest: int) -> tuple[np.ndarra
     return sorted_, np.concatenate(([-1], shared))
 
 
-def repeated_starts(raw: list[bytes], group: np.ndarray, width: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    """(string, start) of the windows of LENGTH bytes that another string of the same group holds at the same
-    distance from its anchor. String i has windows at 0..width[i] and its anchor at offset[i]."""
+def repeated_starts(raw: list[bytes], group: np.ndarray, width: np.ndarray, offset: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """(string, start) of the windows of LENGTH bytes that have two or more copies among the strings of their group, at the same
+    distance from their anchors. String i has windows at 0..width[i], its anchor at offset[i], and stands for copies[i] strings."""
     m = len(raw)
     right, right_shared = _reach([x[o:] for x, o in zip(raw, offset, strict=True)], group, LENGTH)
     most = int(offset.max(initial=0))
@@ -161,7 +167,7 @@ def repeated_starts(raw: list[bytes], group: np.ndarray, width: np.ndarray, offs
     found = []
     for d in range(most + 1):
         live = np.flatnonzero((offset >= d) & (offset - width <= d))
-        if len(live) < 2:
+        if not len(live):
             continue
         left_class[left] = np.cumsum(left_shared < d)
         right_class[right] = np.cumsum(right_shared < LENGTH - d)
@@ -169,13 +175,13 @@ def repeated_starts(raw: list[bytes], group: np.ndarray, width: np.ndarray, offs
         order = np.argsort(both, kind="stable")
         same = both[order[1:]] == both[order[:-1]]
         twin = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        hit = live[order[twin]]
+        hit = live[order[twin | (copies[live[order]] > 1)]]
         found.append(np.column_stack((hit, offset[hit] - d)))
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
 def _spans_of(starts: np.ndarray, place: np.ndarray, key: list[np.ndarray]) -> pa.RecordBatch:
-    """Maximal runs of repeated starts as spans of their documents."""
+    """Maximal runs of repeated starts as spans of their documents; key: the columns of SPANS but the last."""
     starts = starts[np.lexsort((starts[:, 1], starts[:, 0]))]
     string, at = starts[:, 0], starts[:, 1]
     fresh = np.ones(len(starts), bool)
@@ -192,26 +198,25 @@ def span(start, size):
 
 
 def _sorted_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come ordered by gram; whole grams are gathered into blocks."""
+    """Rows come ordered by cell; whole cells are gathered into blocks."""
     held: list[pa.Table] = []
     count = 0
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        place, gram, copies, *key = (table[c].to_numpy() for c in ("place", "gram", "copies", *KEY))
+        cell, place, *key = (table[c].to_numpy() for c in ("cell", "place", *SPANS.names[:-1]))
         _, width, offset = unpack(place)
-        group = np.cumsum(np.concatenate(([0], gram[1:] != gram[:-1])))
-        starts = repeated_starts(table["raw"].to_pylist(), group, width, offset)
-        return _spans_of(starts[copies[starts[:, 0]] == 1], place, key)
+        group = np.cumsum(np.concatenate(([0], cell[1:] != cell[:-1])))
+        return _spans_of(repeated_starts(table["raw"].to_pylist(), group, width, offset, key[2]), place, key)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        gram = batch.column("gram").to_numpy()
-        ends = np.append(np.flatnonzero(gram[1:] != gram[:-1]) + 1, len(gram))
+        cell = batch.column("cell").to_numpy()
+        ends = np.append(np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell))
         a = 0
         for b in ends:
-            # a full block is closed where the next gram begins
-            begins = not held or held[-1]["gram"][-1].as_py() != int(gram[a])
+            # a full block is closed where the next cell begins
+            begins = not held or held[-1]["cell"][-1].as_py() != int(cell[a])
             if begins and count >= BLOCK:
                 yield solve(pa.concat_tables(held))
                 held, count = [], 0
@@ -222,16 +227,59 @@ def _sorted_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield solve(pa.concat_tables(held))
 
 
+def _by_longer_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings cut to the windows of RANGE distances from the anchor, with the hash of the bytes these share as their cell."""
+    for batch in batches:
+        rows: dict[str, list] = {n: [] for n in BYTES.names}
+        for gram, context, copies, *key, place, raw in zip(*(batch.column(n).to_pylist() for n in BYTES.names[1:]), strict=True):
+            low, width, offset = unpack(place)
+            prefix = prefix_hash(np.frombuffer(raw, np.uint8))
+            for near in range(0, LENGTH - GRAM + 1, RANGE):
+                far = min(near + RANGE - 1, LENGTH - GRAM)
+                first, last = max(offset - far, 0), min(offset - near, width)  # starts of the range's windows
+                if first > last:
+                    continue
+                core = stretch_hash(prefix, np.array([offset - near]), np.array([offset - far + LENGTH])) + np.uint64(near)
+                cut = (int(core.view(np.int64)[0]), gram, context, copies, *key, pack(low + first, last - first, offset - first), raw[first : last + LENGTH])
+                for name, value in zip(BYTES.names, cut, strict=True):
+                    rows[name].append(value)
+        yield pa.record_batch(rows, schema=BYTES)
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All windows of contexts, hashed."""
+    """All windows of strings, hashed."""
     for batch in batches:
         for i in range(batch.num_rows):
             raw = np.frombuffer(batch.column("raw")[i].as_buffer(), np.uint8)
             low, width, _ = unpack(batch.column("place")[i].as_py())
             at = np.arange(width + 1)
-            n = len(at)
-            columns = [stretch_hash(prefix_hash(raw), at, at + LENGTH).view(np.int64), *(np.full(n, batch.column(k)[i].as_py()) for k in KEY), low + at, np.full(n, batch.column("copies")[i].as_py())]
-            yield pa.record_batch(columns, schema=WINDOWS)
+            same = [np.full(len(at), batch.column(k)[i].as_py()) for k in SPANS.names[:-1]]
+            yield pa.record_batch([stretch_hash(prefix_hash(raw), at, at + LENGTH).view(np.int64), *same, span(low + at, LENGTH)], schema=WINDOWS)
+
+
+def _sorted_cells(raw: DataFrame) -> DataFrame:
+    return raw.repartition("cell").sortWithinPartitions("cell").mapInArrow(_sorted_spans, SPANS_TYPE)
+
+
+def _wide_cells(raw: DataFrame) -> DataFrame:
+    return written(raw.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("cell"), "wide-cells")
+
+
+def _found(raw: DataFrame) -> DataFrame:
+    """Repeated spans of the strings raw(BYTES), in the text of the run that stands for each string."""
+    wide = _wide_cells(raw)
+    found = _sorted_cells(raw.join(wide, "cell", "left_anti"))
+    if wide.isEmpty():
+        return found
+    names = ", ".join(f"{f.name} {'binary' if f.name == 'raw' else 'long'}" for f in BYTES)
+    longer = written(raw.join(wide, "cell", "left_semi").select(*BYTES.names).mapInArrow(_by_longer_grams, names), "longer-grams")
+    wide = _wide_cells(longer)
+    found = found.unionByName(_sorted_cells(longer.join(wide, "cell", "left_anti")))
+    if wide.isEmpty():
+        return found
+    windows = longer.join(wide, "cell", "left_semi").select(*BYTES.names).mapInArrow(_windows, f"window long, {SPANS_TYPE}")
+    twice = windows.groupBy("window").agg(F.sum("copies").alias("n")).filter("n > 1").select("window")
+    return found.unionByName(windows.join(twice, "window").drop("window"))
 
 
 def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -242,26 +290,18 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     repeated = written(repeated, "repeated-grams")  # read again, it leaves Spark free to split hot grams in the join
     runs = keyed.mapInArrow(_runs, f"gram long, context long, {KEY_TYPE}, place long, copies long, spans array<bigint>")
     runs = written(runs.join(repeated, "gram"), "runs")
-    contexts = runs.groupBy("gram", "context").agg(F.sum("copies").alias("copies"), F.min(F.struct(*KEY, "place")).alias("one"))
-    contexts = written(contexts.select("gram", "context", "copies", "one.*"), "contexts")
-    low = F.shiftright("place", 16)
-    size = F.shiftright("place", 8).bitwiseAND(F.lit(0xFF)) + LENGTH
+    strings = runs.groupBy("gram", "context").agg(F.sum("copies").alias("copies"), F.min(F.struct(*KEY, "place")).alias("one"))
+    wanted = strings.groupBy(*[F.col(f"one.{k}").alias(k) for k in KEY]).agg(F.collect_list(F.struct("gram", "context", "copies", "one.place")).alias("wanted"))
+    raw = packed_documents(keyed).join(wanted, KEY).select(*KEY, "text", "n_bytes", "wanted")
+    raw = raw.mapInArrow(_context_bytes, f"cell long, gram long, context long, copies long, {KEY_TYPE}, place long, raw binary")
+    found = written(_found(written(raw, "context-bytes")), "found-spans")
+
+    # a string with copies is repeated as a whole, and so are all runs that it stands for
+    low, size = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(0xFF)) + LENGTH
     own = F.array(F.shiftleft(low, SIZE_BITS).bitwiseOR(size))
-    whole = runs.join(contexts.filter("copies > 1").select("gram", "context"), ["gram", "context"])
+    whole = runs.join(written(found.filter("copies > 1").select("gram", "context").distinct(), "found-strings"), ["gram", "context"])
     whole = whole.select(*KEY, F.explode(F.concat(own, "spans")).alias("span"))
-
-    per_gram = contexts.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
-    open_ = contexts.join(per_gram, "gram")
-    wanted = open_.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "context", "copies", "place")).alias("wanted"))
-    raw = packed_documents(keyed).join(wanted, KEY).select(*KEY, "text", "n_bytes", "wanted")
-    raw = raw.mapInArrow(_context_bytes, f"gram long, context long, copies long, {KEY_TYPE}, place long, raw binary")
-    wide = per_gram.filter(F.col("n") > GROUP).select("gram")
-    raw = written(raw, "context-bytes")
-    sorted_ = raw.join(wide, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_spans, f"{KEY_TYPE}, span long")
-    windows = raw.join(wide, "gram", "left_semi").mapInArrow(_windows, f"window long, {KEY_TYPE}, start long, copies long")
-    twice = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
-    counted = windows.filter("copies = 1").join(twice, "window").select(*KEY, F.shiftleft("start", SIZE_BITS).bitwiseOR(F.lit(LENGTH)).alias("span"))
-    return whole.unionByName(sorted_).unionByName(counted)
+    return whole.unionByName(found.filter("copies = 1").select(*KEY, "span"))
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -294,9 +334,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, kept_sha256 and kept_text (null only where the text was null)."""
-    others = [c for c in docs.columns if c != text]
-    aside = docs.select(F.struct(*[F.col(c) for c in others], F.col(text).isNull().alias("_null")).alias("_row"), "doc_id", text)
+    """docs with the columns ADDED (columns of these names are replaced); kept_text is null only where the text was null."""
+    others = [c for c in docs.columns if c != text and c not in ADDED]
+    aside = docs.select(F.struct(*[F.col(f"`{c}`") for c in others], F.col(text).isNull().alias("_null")).alias("_row"), "doc_id", text)
     spans = repeated_spans(docs, text).groupBy(*KEY).agg(F.collect_set("span").alias("spans"))
     texts = packed_documents(_keyed(aside, text, "_row"))
     rows = texts.join(spans, KEY, "left")

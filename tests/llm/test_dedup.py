@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tallyframe.llm import near_dedup, substring_dedup
 from tests.llm.helpers import SF, documents, hostile, near_classes, repeated_bytes, weighted_classes
@@ -60,6 +61,35 @@ def test_wide_grams_are_counted_by_window(spark, monkeypatch):
     check_repeats(spark, passages(seed=4))
 
 
+@pytest.mark.parametrize("group", [3, 8])
+def test_wide_grams_are_sorted_by_longer_grams(spark, monkeypatch, group):
+    """A common passage among different neighbours, cut and not cut, so that grams are wide and their longer grams in part."""
+    monkeypatch.setattr(substring_dedup, "GROUP", group)
+    r = random.Random(9)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(260))
+    rows = [(i, "".join(r.choice("xyz ") for _ in range(180)) + passage[r.randint(0, 90) :][: r.randint(120, 260)] + "".join(r.choice("xyz ") for _ in range(180))) for i in range(24)]
+    check_repeats(spark, rows + passages(seed=6, n=12))
+
+
+def test_nothing_is_removed_that_suffix_sorting_did_not_find(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "_sorted_cells", lambda raw: spark.createDataFrame([], substring_dedup.SPANS_TYPE))
+    assert substring_dedup.deduplicated(documents(spark, passages(n=20))).filter("n_removed > 0").count() == 0
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_many_rows_of_one_id_or_none(spark, doc_id):
+    r = random.Random(2)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(400))
+    check_repeats(spark, [(doc_id, f"{i} " * (1 + i % 30) + passage[r.randint(0, 150) :] if i % 3 else f"alone {i} " * 3) for i in range(2_000)])
+
+
+def test_columns_of_added_names_are_replaced(spark):
+    df = documents(spark, passages(n=5))
+    for name in substring_dedup.ADDED:
+        df = df.withColumn(name, F.lit("x"))
+    assert substring_dedup.deduplicated(df).select(DIGEST).collect() and len(set(substring_dedup.deduplicated(df).columns)) == len(substring_dedup.deduplicated(df).columns)
+
+
 def test_repeats_of_an_empty_table(spark):
     assert substring_dedup.deduplicated(documents(spark, [])).count() == 0
 
