@@ -24,7 +24,8 @@ SPELLINGS = {
     "capitalisations": "capitalizations", "catalogue": "catalog", "categorise": "categorize", "centre": "center",
     "emphasised": "emphasized", "favour": "favor", "favourite": "favorite", "fulfil": "fulfill",
     "fulfilment": "fulfillment", "initialise": "initialize", "judgement": "judgment", "labelling": "labeling",
-    "labour": "labor", "licence": "license", "licenced": "licensed", "maximise": "maximize", "modelled": "modeled",
+    "labour": "labor", "licence": "license", "licenced": "licensed", "licences": "licenses", "sublicence": "sublicense", "sublicenced": "sublicensed",
+    "sublicences": "sublicenses", "maximise": "maximize", "modelled": "modeled",
     "modelling": "modeling", "offence": "offense", "optimise": "optimize", "organisation": "organization",
     "organise": "organize", "practise": "practice", "programme": "program", "realise": "realize",
     "recognise": "recognize", "signalling": "signaling", "utilisation": "utilization", "whilst": "while",
@@ -102,7 +103,14 @@ TWO_WORDS = {
 }
 TWO_WORDS_AT_ALL = "\\b(?:sub licen|non commercial|per cent|copyright owner)"
 TERMS_END = "END OF TERMS AND CONDITIONS"
-COPYRIGHT_LINE = "(?m)^[ \\t#*/;-]*(copyright|\\(c\\)|©|all rights reserved)[^\\n]*$"
+# A line is a copyright line if a year, a sign, a placeholder or "by" follows, if it ends in a kind of holder, or if a single word
+# follows; other lines that begin with the word belong to a clause ("copyright notice and this permission notice appear").
+_HOLDER_KINDS = "inc|llc|ltd|gmbh|corp|corporation|company|authors|contributors|developers|maintainers|foundation|project|team|others"
+_FOLLOWS = "[ \\t:,]*(?:\\(c\\)|©|&copy;|[0-9]{4}|<|\\[|\\{|by )"
+COPYRIGHT_LINE = (
+    f"(?m)^[ \\t#*/;-]*(?:copyrights?(?:{_FOLLOWS}[^\\n]*|[^\\n]* (?:{_HOLDER_KINDS})[.]?|[ \\t]+[^ \\t\\n.,;:]+)[ \\t]*$"
+    "|\\(c\\)[ \\t]*(?:[0-9]{4}|<|\\[|copyright)[^\\n]*$|\\(c\\)(?:[ \\t]+[^ \\t\\n]+){1,4}[ \\t]*$|©[^\\n]*$|all rights reserved[^\\n]*$)"
+)
 NOT_WORD = "[^\\p{L}\\p{N}]+"
 NOT_WORD_OR_END = "[^\\p{L}\\p{N}\\n]+"
 #: Known tables up to so many rows are broadcast (32 hex digits and a name each); larger ones are shuffled.

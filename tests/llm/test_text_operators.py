@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
 
 import duckdb
 import pytest
@@ -100,6 +101,35 @@ def test_the_full_table_knows_whole_licences_headers_and_two_word_spellings(spar
     assert plain == {i: r["text_digest"] for i, r in got.items()} and plain[20] != plain[22]
 
 
+def wrapped(text, width):
+    """Paragraphs filled to a width as editors do, but for those with copyright lines; British spellings and odd case."""
+    blocks = []
+    for block in re.split(r"\n[ \t]*\n", text):
+        keep = re.search(r"(?m)^\W*(copyright|\(c\)|all rights)", block.lower())
+        blocks.append(block if keep else textwrap.fill(" ".join(block.split()), width, break_long_words=False, break_on_hyphens=False))
+    return re.sub(r"\b(sub)?license([sd]?)\b", r"\1licence\2", "\n\n".join(blocks)).replace("MERCHANTABILITY", "Merchantability")
+
+
+@pytest.mark.parametrize("width", [72, 60])
+def test_every_known_licence_is_found_in_its_usual_line_breaks(spark, width):
+    full, notices = licenses.full_licenses(spark), licenses.full_notices(spark)
+    known = [tuple(r) for r in full.collect()]
+    one_line = [("ISC", " ".join(licenses.LICENSES["ISC"].partition("\n\n")[2].partition("\n\n")[2].split()))]
+    rows = [(i, "Copyright (C) 1999, 2004 Somebody <a@b.c>\n" * (i % 2) + wrapped(t, width)) for i, (_, t) in enumerate(known)]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(documents(spark, rows), full.unionByName(spark.createDataFrame(one_line, full.schema)), notices).collect()}
+    same = {r["digest"]: r["license"] for r in licenses.known_digests(full).collect()}
+    assert set(same.values()) == {n for n, _ in known}
+    assert [(i, name) for i, (name, _) in enumerate(known) if got[i] != name] == []
+
+
+def test_lines_of_a_clause_that_begin_with_copyright_stay(spark):
+    clause = "Copyright notice and this permission notice appear in all copies.\n"
+    lines = ["Copyright (c) <year>", "Copyright 2020 X", "copyright by Y", "# (C) Z", "© W", "Copyright Foo Bar, Inc.", "All rights reserved.", "(c) 2001 V and many others by name"]
+    rows = [(0, clause), *((i, f"{x}\n{clause}") for i, x in enumerate(lines, 1)), (20, "(c) You must retain, in the source form, all notices\n" + clause)]
+    got = {r["doc_id"]: r["text_digest"] for r in licenses.scan(documents(spark, rows)).collect()}
+    assert got[0] is not None and {got[i] for i in range(len(lines) + 1)} == {got[0]} and got[20] != got[0]
+
+
 MESSAGES = [
     (1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (1, 1, "assistant", "a<\\|b <\\\\| <| |> tail<"), (1, 1, "assistant", "tie"), (2, 0, "odd\\role\n<|im_end|>", None),
     (2, None, None, "\n\n"), (None, 0, "assistant", "x" * 5000), (3, 0, "user", "same"), (3, 0, "user", "same"),
