@@ -39,8 +39,10 @@ FORMATTED = (
 )
 DIGEST = (
     "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, "
-    "n_parts long"
+    "n_parts long, n_attachments long, n_placeholders long, expanded_tokens long"
 )
+READ = ("conv_id", "formatted", "loss", "attachments", "expanded_tokens")
+PLACEHOLDERS = re.compile(r"<\|(?:image|audio|document)\|>")
 _OPEN, _SHUT = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
 
@@ -160,23 +162,29 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def close():
         turns, loss = state["turns"], state["loss"]
-        rows.append((key, state["n"], turns.hexdigest(), state["loss_n"], loss.hexdigest(), state["chars"], state["parts"]))
+        rows.append((key, state["n"], turns.hexdigest(), state["loss_n"], loss.hexdigest(), state["chars"], state["parts"], state["attached"], state["placeholders"], state["tokens"]))
 
     for batch in batches:
-        for conv, formatted, spans in zip(batch["conv_id"], batch["formatted"], batch["loss"], strict=True):
+        for conv, formatted, spans, attached, tokens in zip(*(batch[c] for c in READ), strict=True):
             conv = None if _null(conv) else int(conv)
             if not started or conv != key:
                 if started:
                     close()
                 key, started = conv, True
-                state = {"n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_n": 0, "chars": 0, "parts": 0}
+                state = {"n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_n": 0, "chars": 0, "parts": 0, "attached": 0, "placeholders": 0, "tokens": 0}
             state["chars"] += len(formatted)
             state["parts"] += 1
+            if any(not formatted.startswith(f"<|{a['kind']}|>", a["at"]) for a in attached):
+                raise ValueError(f"conversation {conv}: an attachment's place does not hold its placeholder")
+            state["attached"] += len(attached)
+            state["tokens"] += int(tokens)
             at = 0
             while at < len(formatted):
                 line = formatted.index("\n", at)
                 stop = formatted.index(END, line + 1)
-                role, text = unescape_role(formatted[at + len(START) : line]), unescape(formatted[line + 1 : stop])
+                role, body = unescape_role(formatted[at + len(START) : line]), formatted[line + 1 : stop]
+                text = unescape(body)
+                state["placeholders"] += len(PLACEHOLDERS.findall(body))
                 state["turns"].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 state["n"] += 1
                 at = stop + len(END) + 1
@@ -217,5 +225,6 @@ def format_conversations(messages: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """One row per conversation, parsed from format_conversations' output: counts and digests."""
-    return formatted.select("conv_id", "formatted", "loss").mapInPandas(_read, DIGEST)
+    """One row per conversation, parsed from format_conversations' output: counts and digests. Placeholders are counted in the
+    text, attachments and their expanded tokens come from the references; every reference must point at its placeholder."""
+    return formatted.select(*READ).mapInPandas(_read, DIGEST)

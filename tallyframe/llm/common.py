@@ -17,17 +17,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local_dirs: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir). A local one stands in for it where none is set and
+    the session runs in one process; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+    return _local_dirs[app]
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_intermediates(spark: SparkSession) -> int:
+    """Deletes what the operators wrote to the shared folder in this application (archives without a folder of their own
+    included) and returns the number of folders; results not yet computed can no longer be."""
+    from pyarrow import fs
+
+    gone = 0
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        store, name = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        if store.get_file_info(name).type != fs.FileType.NotFound:
+            store.delete_dir(name)
+            gone += 1
+    return gone
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -44,7 +69,8 @@ BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, with the session's Arrow batches held to BATCH_BYTES (a smaller setting stays as it is)."""
+    """df, with the session's Arrow batches held to BATCH_BYTES (a smaller setting stays as it is). The setting has to
+    outlive this call, as Spark reads it when a plan runs."""
     conf = df.sparkSession.conf
     now = conf.get(BATCH_SETTING).removesuffix("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:

@@ -62,6 +62,20 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(hostile)))
 
 
+def chat_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations with typed parts: the second half of a text stands behind an image, a sound or a document."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text, n = F.coalesce("text", F.lit("")), F.coalesce("turn", F.lit(0)).cast("int")
+    kind = F.element_at(F.array(*map(F.lit, ("image", "audio", "document"))), n % 3 + 1)
+    part = lambda kind, text, ref: F.struct(kind.alias("type"), text.alias("text"), ref.alias("ref"), (100 + n).alias("width"), (50 * n).alias("height"), (n / 8).alias("seconds"), n.alias("pages"))
+    none, half = F.lit(None).cast("string"), F.floor(F.length(text) / 2).cast("int")
+    parts = F.array(
+        part(F.lit("text"), F.substring(text, F.lit(1), half), none), part(kind, none, F.concat(F.lit("file-"), n)),
+        part(none, F.substring(text, half + 1, F.length(text)), none),
+    ).cast(chat.PARTS_TYPE)
+    return chat.read_back(chat.format_conversations(rows.withColumn("parts", parts)))
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
     """Token counts of every whole document."""
     if vocabulary_path is None:
@@ -93,7 +107,23 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(length(escaped) + length(role) + length('<|im_start|><|im_end|>') + 2)::BIGINT AS formatted_chars,
-  1::BIGINT AS n_parts
+  1::BIGINT AS n_parts, 0::BIGINT AS n_attachments, 0::BIGINT AS n_placeholders, 0::BIGINT AS expanded_tokens
+FROM e GROUP BY conv_id
+"""
+
+ORACLE_TYPED = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, coalesce(turn, 0) AS n FROM conversations),
+k AS (SELECT *, ['image', 'audio', 'document'][1 + n % 3] AS kind, length(text) // 2 AS half FROM c),
+b AS (SELECT *, '<|' || kind || '|>' AS mark, substr(text, 1, half) AS a, substr(text, half + 1) AS z,
+  CASE kind WHEN 'image' THEN ceil((100 + n) / 28.0) * ceil(CASE WHEN n = 0 THEN 28 ELSE 50 * n END / 28.0) WHEN 'audio' THEN greatest(1, ceil(n / 8.0 * 25))
+    ELSE greatest(1, n) * 256 END AS tokens FROM k),
+e AS (SELECT *, a || mark || z AS body, regexp_replace(a, '<(\\*)\|', '<\\\1|', 'g') || mark || regexp_replace(z, '<(\\*)\|', '<\\\1|', 'g') AS formatted FROM b)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || body || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(body)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(body, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(formatted) + length(role) + length('<|im_start|><|im_end|>') + 2)::BIGINT AS formatted_chars,
+  1::BIGINT AS n_parts, count(*)::BIGINT AS n_attachments, count(*)::BIGINT AS n_placeholders, sum(tokens)::BIGINT AS expanded_tokens
 FROM e GROUP BY conv_id
 """
 
@@ -151,6 +181,6 @@ SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda
 
 QUERIES = {
     "op3_license_scan": op3_license_scan, "op4_quality_rules": op4_quality_rules, "op10_quality_classifier": op10_quality_classifier,
-    "op6_chat_format": op6_chat_format, "op7_token_count": op7_token_count, "op9_warc": op9_warc,
+    "op6_chat_format": op6_chat_format, "chat_typed_parts": chat_typed_parts, "op7_token_count": op7_token_count, "op9_warc": op9_warc,
 }
-ORACLES = {"op3_license_scan": ORACLE_3, "op4_quality_rules": ORACLE_4, "op6_chat_format": ORACLE_6, "op9_warc": ORACLE_9}
+ORACLES = {"op3_license_scan": ORACLE_3, "op4_quality_rules": ORACLE_4, "op6_chat_format": ORACLE_6, "chat_typed_parts": ORACLE_TYPED, "op9_warc": ORACLE_9}

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 import textwrap
@@ -165,6 +166,18 @@ def test_chat_parts(spark):
     assert got["expanded_tokens"] == 822
 
 
+def test_typed_parts_read_back(spark):
+    text = ("text", "a <|audio|> b", None, None, None, None, None)
+    rows = [(1, 0, "user", None, [text, ("audio", None, "x", None, None, 0.5, None)]), (1, 1, "assistant", "t", None), (2, 0, "user", "u", [])]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, text string, parts {chat.PARTS_TYPE}")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(df)).collect()}
+    assert (got[1]["n_attachments"], got[1]["n_placeholders"], got[1]["expanded_tokens"], got[1]["loss_chars"]) == (1, 1, 13, 1)
+    assert (got[2]["n_attachments"], got[2]["n_placeholders"], got[2]["expanded_tokens"]) == (0, 0, 0)
+    moved = chat.format_conversations(df).withColumn("attachments", F.expr("transform(attachments, a -> named_struct('kind', a.kind, 'ref', a.ref, 'at', a.at + 1, 'tokens', a.tokens))"))
+    with pytest.raises(Exception, match="placeholder"):
+        chat.read_back(moved).collect()
+
+
 PAGES = [(5, "http://a/ü b", "same"), (3, None, "same"), (9, "u", None), (8, "u", ""), (7, "v", "<p>é\r\n\r\nWARC/1.1</p>" * 500), (None, "w", "same"), (1, "x", "tiny"), (1, "x", "tiny")]
 
 
@@ -211,6 +224,42 @@ def test_classifier_on_held_out_labels(spark):
     assert sum(r["predicted"] == r["quality"] for r in rows) / len(rows) > 0.95
 
 
+def added_one_by_one(model, row):
+    """A score by plain sums: the table entry of each feature's bin, then those of the pairs."""
+    def bin_of(k):
+        return sum(1 for e in model.edges[k] if e <= row[k])
+
+    raw = model.intercept + sum(table[bin_of(k)] for k, table in enumerate(model.tables))
+    raw += sum(cells[bin_of(i)][bin_of(j)] for (i, j), cells in zip(model.pairs, model.pair_tables, strict=True))
+    return 1 / (1 + math.exp(-raw))
+
+
+def test_scores_are_sums_of_table_entries(spark):
+    """op10's rows against lookups added one by one, with the hold-out and the cut of the contract."""
+    import zlib
+
+    from tallyframe.llm import queries_text
+
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    model = queries_text.quality_model(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    assert model.pairs
+    got = {r["doc_id"]: r for r in queries_text.op10_quality_classifier(spark, SF).collect()}
+    assert len(got) == len(docs)
+    for doc_id, text in docs:
+        want = added_one_by_one(model, gam.text_features(text))
+        assert got[doc_id]["score"] == pytest.approx(want, abs=1e-9)
+        assert got[doc_id]["predicted"] == int(got[doc_id]["score"] >= 0.3) and got[doc_id]["held_out"] == (zlib.crc32(str(doc_id).encode()) % 5 == 0)
+
+
+def test_shared_folder_and_intermediates(spark):
+    from tallyframe.llm import common
+
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    common.written(spark.range(3), "kept-for-now")
+    assert common.remove_intermediates(spark) >= 1 and common.remove_intermediates(spark) == 0
+    assert spark.conf.get("spark.checkpoint.dir", None) == before
+
+
 def test_classifier_cases(spark):
     df = documents(spark, hostile())
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, label int")
