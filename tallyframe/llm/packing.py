@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from tallyframe.llm.common import small_batches
 
@@ -22,8 +23,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def packed_documents(keyed: DataFrame) -> DataFrame:
-    schema = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in keyed.schema)
-    return small_batches(keyed).mapInArrow(_packed, f"{schema}, n_bytes long")
+    fields = [StructField(f.name, BinaryType() if f.name == "text" else f.dataType) for f in keyed.schema]
+    return small_batches(keyed).mapInArrow(_packed, StructType([*fields, StructField("n_bytes", LongType())]))
 
 
 def unpacked(blob: bytes, size: int) -> bytes:

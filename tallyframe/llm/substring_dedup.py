@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tallyframe.llm.anchors import window_anchors
 from tallyframe.llm.common import small_batches, written
@@ -340,9 +341,8 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     spans = repeated_spans(docs, text).groupBy(*KEY).agg(F.collect_set("span").alias("spans"))
     texts = packed_documents(_keyed(aside, text, "_row"))
     rows = texts.join(spans, KEY, "left")
-    row_type = rows.schema["_row"].dataType.simpleString()
-    out = rows.select("_row", "text", "n_bytes", "spans").mapInArrow(
-        _cut, f"_row {row_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    )
+    types = [LongType(), LongType(), LongType(), StringType(), StringType()]
+    cut = StructType([rows.schema["_row"], *(StructField(n, t) for n, t in zip(ADDED, types, strict=True))])
+    out = rows.select("_row", "text", "n_bytes", "spans").mapInArrow(_cut, cut)
     text_out = F.when(~F.col("_row._null"), F.col("kept_text")).alias("kept_text")
     return out.select(*[F.col(f"_row.`{c}`") for c in others], "n_bytes", "n_removed", "n_spans", "kept_sha256", text_out)

@@ -43,6 +43,50 @@ def test_taken_words_meet_targets(spark, sf):
     assert off < 0.03
 
 
+def level_targets(sizes):
+    """Targets by bisection of the level at which weights meet 150 % of all sizes."""
+    names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    low, high = 0.0, 10.0 * sum(sizes.values()) + 1
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * sizes[s], level * weight[s]) for s in names) < 1.5 * sum(sizes.values()) else (low, level)
+    return {s: min(2 * sizes[s], high * weight[s]) for s in names}
+
+
+def test_every_source_meets_its_target(spark):
+    """Targets against a second computation, and what each source takes against its own target and passes."""
+    docs = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet")
+    text = {(r["doc_id"], r["source"]): len(plain_words(r["text"])) for r in docs.collect()}
+    sizes: dict = {}
+    for (_, s), n in text.items():
+        sizes[s] = sizes.get(s, 0) + n
+    want, took = level_targets(sizes), {}
+    for r in mixing.taken(docs).join(docs.select("doc_id", "source"), "doc_id").collect():
+        s, n = r["source"], text[r["doc_id"], r["source"]]
+        assert (r["size"], r["source_size"]) == (n, sizes[s]) and r["target"] == pytest.approx(want[s])
+        passes = int(want[s] // sizes[s])
+        assert r["taken"] in (passes * n, (passes + 1) * n) and r["taken"] <= 2 * n
+        took[s] = took.get(s, 0) + r["taken"]
+    for s, n in took.items():
+        assert n <= want[s] + 1e-6 and want[s] - n <= max(0.02 * want[s], min(x for (_, o), x in text.items() if o == s and x))
+
+
+@pytest.mark.parametrize("shards", [1, 7, 300])
+def test_ranks_are_dealt_as_the_whole_tree_does(spark, monkeypatch, shards):
+    monkeypatch.setattr(mixing, "NODES", 5)
+    quotas = np.array([1000, 37, 0, 5])
+    rows = [tuple(r) for r in mixing.dealt_ranks(spark, quotas, shards, 3).collect()]
+    assert sorted((k, r) for k, r, _ in rows) == [(k, r) for k, n in enumerate(quotas) for r in range(1, n + 1)]
+    counts = np.zeros((shards, 4), np.int64)
+    for k, _, shard in rows:
+        counts[shard, k] += 1
+    assert (counts == mixing.split(quotas, shards, 3)).all()
+    for k in range(4):  # consecutive in the permutation
+        of = [s for _, s in sorted((r, s) for kk, r, s in rows if kk == k)]
+        assert of == sorted(of)
+
+
 def test_mix_of_hostile_documents(spark):
     df = documents(spark, hostile() * 2)
     taken = mixing.taken(df, shards=4)
