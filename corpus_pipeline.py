@@ -61,7 +61,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts contain none; null and repeated doc_ids are judged row by row; a null or blank item is in nothing; an
     empty table, or an empty benchmark, gives all rows it has; other columns pass through.
     """
-    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+    return unpacked(decontaminate.clean_documents(aside(docs), table(spark, sf_dir, "benchmark")), docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
