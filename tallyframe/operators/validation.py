@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import TYPE_CHECKING, Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,6 +86,21 @@ def _checks(data: SurveyData) -> list[tuple[str, str, str, Column, Column]]:
     return out
 
 
+def label_offenders(data: SurveyData) -> DataFrame:
+    """(variable, value, n): every value that its variable gives no label, list items one by one, with the rows that hold it."""
+    parts = []
+    for name, v in data.variables.items():
+        if name not in data.frame.columns or v.scale not in ("nominal", "ordinal") or not v.labels:
+            continue
+        listed = isinstance(data.type_of(name), T.ArrayType)
+        one = F.explode(F.array_distinct(quoted(name))) if listed else quoted(name)
+        values = data.frame.select(one.alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("n"))
+        known = [c for c in (*v.labels, *v.missing_values) if c is not None]
+        parts.append(values.filter(~F.col("value").isin(known)).select(F.lit(name).alias("variable"), F.col("value").cast("string").alias("value"), "n"))
+    empty = data.frame.sparkSession.createDataFrame([], "variable string, value string, n long")
+    return reduce(DataFrame.unionByName, parts) if parts else empty
+
+
 def validate_frame(data: SurveyData) -> list[Issue]:
     """Issues in order of variables: columns, then values, then metadata."""
     issues, frame = [], data.frame

@@ -71,6 +71,16 @@ def parsed(responses: DataFrame, questionnaire: Questionnaire, payload: str = "p
     return rows.select(*head, *[c.alias(n) for n, c in columns.items()])
 
 
+def sheet_frame(rows: DataFrame, header: Sequence[str], cells: str = "cells") -> DataFrame:
+    """Rows of a sheet, whose cells are an array of texts, as a column a heading. Short rows are padded with nulls and empty
+    cells are null; a column becomes numeric only if all of its texts are numbers, so no text is lost."""
+    shown = [F.nullif(F.get(quoted(cells), F.lit(i)), F.lit("")).alias(h) for i, h in enumerate(header)]
+    table = rows.select(shown)
+    odd = table.agg(*[F.count_if(quoted(h).isNotNull() & quoted(h).try_cast("double").isNull()).alias(f"n{i}") for i, h in enumerate(header)]).first()
+    some = table.agg(*[F.count(quoted(h)).alias(f"n{i}") for i, h in enumerate(header)]).first()
+    return table.select([quoted(h).cast("double").alias(h) if not odd[i] and some[i] else quoted(h) for i, h in enumerate(header)])
+
+
 def quota_table(spark: SparkSession, quotas: Sequence[Quota]) -> DataFrame:
     return spark.createDataFrame([(q.variable, str(q.target_value), q.limit) for q in quotas], "variable string, value string, target long")
 
