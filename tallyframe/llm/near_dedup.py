@@ -281,7 +281,8 @@ def _open_rows(sets: DataFrame, labels: DataFrame) -> DataFrame | None:
     if cells.isEmpty():
         return None
     sizes = named.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    # a row a cluster of several chunks: read again, small enough to leave the cells where they are
+    main = written(sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main")), "main-components")
     outside = cells.join(main, "cluster").filter("component <> main").select("cluster", "bucket", "id", "component")
     places = cells.select("cluster", "bucket", "chunk").distinct()
     asked = outside.join(places, ["cluster", "bucket"]).select("id", "component", "chunk").distinct().withColumn("asked", F.lit(1))
