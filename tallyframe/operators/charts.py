@@ -14,6 +14,10 @@ if TYPE_CHECKING:
     from tallyframe.operators.dataset import SurveyData
 
 
+#: Rows that a drawing may have.
+DRAWN_ROWS = 10_000
+
+
 class Chart:
     """Chart data with a title; `data` is the tidy frame."""
 
@@ -30,7 +34,9 @@ class Chart:
         matplotlib.use("Agg")
         from matplotlib import pyplot
 
-        frame = self.data.limit(10_000).toPandas()
+        frame = self.data.limit(DRAWN_ROWS + 1).toPandas()
+        if len(frame) > DRAWN_ROWS:
+            raise ValueError(f"a drawing takes at most {DRAWN_ROWS} rows; group the data, or use .data for all of them")
         figure, axes = pyplot.subplots()
         self.draw(axes, frame)
         axes.set_title(self.title)
@@ -39,8 +45,33 @@ class Chart:
         return path
 
     def draw(self, axes, frame) -> None:
-        x, y = frame.columns[0], frame.columns[-1]
-        (axes.scatter if self.kind == "scatter" else axes.bar)(frame[x].astype(str) if self.kind != "scatter" else frame[x], frame[y])
+        """One bar a row, named by its label."""
+        name = "label" if "label" in frame.columns else frame.columns[0]
+        axes.bar(frame[name].astype(str), frame[frame.columns[-1]])
+
+
+class BoxChart(Chart):
+    kind = "box"
+
+    def draw(self, axes, frame) -> None:
+        """A box from quartile to quartile, its median, and whiskers to the last values within reach."""
+        boxes = [{"label": str(r.group), "whislo": r.lower, "q1": r.q1, "med": r.median, "q3": r.q3, "whishi": r.upper, "fliers": []} for r in frame.itertuples(index=False)]
+        axes.bxp(boxes, showfliers=False)
+
+
+class HeatChart(Chart):
+    kind = "heat"
+
+    def draw(self, axes, frame) -> None:
+        """A cell a pair of names, with its value written in."""
+        across, down = frame.columns[1], frame.columns[0]
+        cells = frame.pivot_table(index=down, columns=across, values="value", sort=False)
+        axes.imshow(cells.to_numpy(dtype=float), aspect="auto")
+        axes.set_xticks(range(cells.shape[1]), [str(c) for c in cells.columns])
+        axes.set_yticks(range(cells.shape[0]), [str(c) for c in cells.index])
+        for i, row in enumerate(cells.to_numpy(dtype=float)):
+            for j, value in enumerate(row):
+                axes.text(j, i, f"{value:.2f}", ha="center", va="center")
 
 
 class ScatterChart(Chart):
@@ -50,6 +81,16 @@ class ScatterChart(Chart):
         super().__init__(title, data)
         self.trend = trend
 
+    def draw(self, axes, frame) -> None:
+        x, y = frame[frame.columns[0]], frame[frame.columns[1]]
+        for name, part in frame.groupby("hue", dropna=False) if "hue" in frame.columns else [(None, frame)]:
+            axes.scatter(part[frame.columns[0]], part[frame.columns[1]], label=None if name is None else str(name))
+        if self.trend and self.trend["slope"] is not None and len(x):
+            ends = [x.min(), x.max()]
+            axes.plot(ends, [self.trend["intercept"] + self.trend["slope"] * e for e in ends])
+        axes.set_xlabel(x.name)
+        axes.set_ylabel(y.name)
+
 
 class PlotAccessor:
     def __init__(self, data: SurveyData):
@@ -76,7 +117,7 @@ class PlotAccessor:
         inside = rows.join(quartiles, "g").groupBy("g", "q", "n").agg(F.min(F.when(F.col("x") >= low, F.col("x"))).alias("lower"), F.max(F.when(F.col("x") <= high, F.col("x"))).alias("upper"), F.count_if((F.col("x") < low) | (F.col("x") > high)).alias("outliers"))
         label = F.col("g").cast("string") if by is None else label_of(F.col("g"), d.labels_of(by))
         out = inside.orderBy("g").select(label.alias("group"), "lower", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "upper", "outliers", "n")
-        return Chart(d.label_of(column), out)
+        return BoxChart(d.label_of(column), out)
 
     def heatmap(self, columns: list[str], by: str | None = None) -> Chart:
         """Group means (variable, group, value), or without `by` Spearman correlations (variable, other, value)."""
@@ -85,11 +126,11 @@ class PlotAccessor:
             items = F.array(*[F.struct(F.lit(d.label_of(c)).alias("variable"), d.analysis._number(c).alias("x")) for c in columns])
             long = d.frame.select(quoted(by).alias("g"), F.inline(items)).dropna()
             means = long.groupBy("variable", "g").agg(F.avg("x").alias("value"))
-            return Chart(f"Means by {d.label_of(by)}", means.orderBy("variable", "g").select("variable", label_of(F.col("g"), d.labels_of(by)).alias("group"), "value"))
+            return HeatChart(f"Means by {d.label_of(by)}", means.orderBy("variable", "g").select("variable", label_of(F.col("g"), d.labels_of(by)).alias("group"), "value"))
         names = [f"c{i}" for i in range(len(columns))]
         rows = ranked(d.frame.select([d.analysis._number(c).alias(n) for c, n in zip(columns, names, strict=True)]), names)
         pairs = [F.struct(F.lit(d.label_of(a)).alias("variable"), F.lit(d.label_of(b)).alias("other"), F.corr(x, y).alias("value")) for a, x in zip(columns, names, strict=True) for b, y in zip(columns, names, strict=True)]
-        return Chart("Spearman correlations", rows.agg(F.array(*pairs).alias("p")).select(F.inline("p")))
+        return HeatChart("Spearman correlations", rows.agg(F.array(*pairs).alias("p")).select(F.inline("p")))
 
     def scatter(self, x: str, y: str, hue: str | None = None, points: int = 5_000, seed: int = 1) -> ScatterChart:
         """A random sample of points for drawing; the trend, without hue, is fitted to all rows."""
@@ -100,5 +141,6 @@ class PlotAccessor:
             got = rows.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count("*").alias("n")).first()
             trend = got.asDict()
         n = rows.count()
-        sample = rows if n <= points else rows.sample(fraction=min(1.0, 1.2 * points / n), seed=seed).limit(points)
+        # the points of least hash: no part of the data is favoured, and a rerun draws the same ones
+        sample = rows if n <= points else rows.withColumn("_h", F.xxhash64(F.lit(seed), *rows.columns, F.monotonically_increasing_id())).orderBy("_h").limit(points).drop("_h")
         return ScatterChart(f"{d.label_of(y)} against {d.label_of(x)}", sample, trend)

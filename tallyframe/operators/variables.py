@@ -68,6 +68,8 @@ class Variable:
 
     def __post_init__(self):
         put = lambda k, v: object.__setattr__(self, k, v)
+        if not isinstance(self.name, str) or not self.name.strip():
+            raise ValueError("a variable needs a name")
         put("scale", _one_of("scale", self.scale, SCALES))
         put("dtype", _one_of("dtype", self.dtype, DTYPES))
         put("role", _one_of("role", self.role, ROLES))

@@ -184,6 +184,7 @@ class LintWarning:
     code: str
     where: str
     message: str
+    severity: str = "warning"
 
 
 @dataclass
@@ -244,11 +245,12 @@ class Questionnaire:
             raise ValueError("; ".join(w.message for w in warnings))
 
     def graph(self) -> dict[str, set[str]]:
-        """Page to pages that may come next: its targets and, unless it says where it leads or ends, the following one."""
+        """Page to pages that may come next: its targets and, unless it has a default, the following one. A page that ends the
+        survey for some respondents is followed too, as its condition may let others pass."""
         out: dict[str, set[str]] = {}
         for p, after in zip(self.pages, [*self.pages[1:], None], strict=True):
             out[p.name] = set(p.targets())
-            if not p.is_terminal and not p.default_next and after is not None:
+            if not p.default_next and after is not None:
                 out[p.name].add(after.name)
         return out
 
@@ -269,28 +271,33 @@ class Questionnaire:
         return bool(left)
 
     def lint(self, level: str = "basic") -> list[LintWarning]:
-        out = []
-        if not self.questions():
-            out.append(LintWarning("EMPTY_QUESTIONNAIRE", self.title, "the questionnaire has no questions"))
+        """Warnings in order of pages; `strict` adds those on questions and variables and makes empty pages errors."""
+        if level not in ("basic", "strict"):
+            raise ValueError("level is basic or strict")
+        if not self.pages and not self.blocks:
+            return [LintWarning("EMPTY_QUESTIONNAIRE", self.title, "the questionnaire has neither pages nor blocks")]
+        out, graph = [], self.graph()
         for p, after in zip(self.pages, [*self.pages[1:], None], strict=True):
-            if p.kind == "content" and not p.questions():
-                out.append(LintWarning("EMPTY_PAGE", p.name, f"{p.name} has no questions"))
+            if not p.items:
+                out.append(LintWarning("EMPTY_PAGE", p.name, f"{p.name} holds nothing", "error" if level == "strict" else "warning"))
             if after is not None and p.default_next == after.name:
                 out.append(LintWarning("REDUNDANT_NAVIGATION", p.name, f"{p.name} leads to the next page anyway"))
-            if p.next_if and not p.default_next and after is None and not p.is_terminal:
-                out.append(LintWarning("MISSING_NAVIGATION", p.name, f"{p.name} has conditions but no default"))
+            if after is not None and not graph[p.name]:
+                out.append(LintWarning("MISSING_NAVIGATION", p.name, f"{p.name} leads nowhere"))
+        return out + (self._strict_warnings() if level == "strict" else [])
+
+    def _strict_warnings(self) -> list[LintWarning]:
+        out = []
+        for q in self.questions():
+            if q.required and q.show_if is not None:
+                out.append(LintWarning("REQUIRED_CONDITIONAL", q.id, f"{q.id} is required and conditional"))
+            for v in q.variables():
+                if q.scales and v.scale and v.scale not in q.scales:
+                    out.append(LintWarning("INCOMPATIBLE_QUESTION_SCALE", q.id, f"{q.id}: {v.name} is {v.scale}"))
+                if v.scale in ("nominal", "ordinal") and not v.labels and not getattr(q, "choices", None) and isinstance(q, (SingleChoice, MultiChoice)):
+                    out.append(LintWarning("CATEGORICAL_WITHOUT_LABELS", q.id, f"{v.name} has no labels"))
         unused = set(self.variables or ()) - set(self.variable_names())
-        out += [LintWarning("UNUSED_VARIABLE", v, f"{v} belongs to no question") for v in sorted(unused)]
-        if level == "strict":
-            for q in self.questions():
-                if q.required and (q.show_if is not None or q.hide_if is not None):
-                    out.append(LintWarning("REQUIRED_CONDITIONAL", q.id, f"{q.id} is required and conditional"))
-                for v in q.variables():
-                    if q.scales and v.scale and v.scale not in q.scales:
-                        out.append(LintWarning("INCOMPATIBLE_QUESTION_SCALE", q.id, f"{q.id}: {v.name} is {v.scale}"))
-                    if v.scale in ("nominal", "ordinal") and not v.labels and not getattr(q, "choices", None) and isinstance(q, (SingleChoice, MultiChoice)):
-                        out.append(LintWarning("CATEGORICAL_WITHOUT_LABELS", q.id, f"{v.name} has no labels"))
-        return out
+        return out + [LintWarning("UNUSED_VARIABLE", v, f"{v} belongs to no question") for v in sorted(unused)]
 
     def simulate(self, spark, n: int = 100, seed: int = 42):
         from tallyframe.sources.simulate import simulate
