@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import label_of, quoted
-from tallyframe.operators.ranks import ranked
+from tallyframe.operators.ranks import quantiles, ranked, weighted_corr
 
 if TYPE_CHECKING:
     from tallyframe.operators.dataset import SurveyData
@@ -112,7 +112,7 @@ class PlotAccessor:
         d = self.data
         group = F.lit("all") if by is None else quoted(by)
         rows = d.frame.select(group.alias("g"), d.analysis._number(column).alias("x")).dropna()
-        quartiles = rows.groupBy("g").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("*").alias("n"))
+        quartiles = quantiles(rows, "x", "g", (0.25, 0.5, 0.75)).join(rows.groupBy("g").agg(F.count("*").alias("n")), "g")
         low, high = F.col("q")[0] - 1.5 * (F.col("q")[2] - F.col("q")[0]), F.col("q")[2] + 1.5 * (F.col("q")[2] - F.col("q")[0])
         inside = rows.join(quartiles, "g").groupBy("g", "q", "n").agg(F.min(F.when(F.col("x") >= low, F.col("x"))).alias("lower"), F.max(F.when(F.col("x") <= high, F.col("x"))).alias("upper"), F.count_if((F.col("x") < low) | (F.col("x") > high)).alias("outliers"))
         label = F.col("g").cast("string") if by is None else label_of(F.col("g"), d.labels_of(by))
@@ -129,7 +129,7 @@ class PlotAccessor:
             return HeatChart(f"Means by {d.label_of(by)}", means.orderBy("variable", "g").select("variable", label_of(F.col("g"), d.labels_of(by)).alias("group"), "value"))
         names = [f"c{i}" for i in range(len(columns))]
         rows = ranked(d.frame.select([d.analysis._number(c).alias(n) for c, n in zip(columns, names, strict=True)]), names)
-        pairs = [F.struct(F.lit(d.label_of(a)).alias("variable"), F.lit(d.label_of(b)).alias("other"), F.corr(x, y).alias("value")) for a, x in zip(columns, names, strict=True) for b, y in zip(columns, names, strict=True)]
+        pairs = [F.struct(F.lit(d.label_of(a)).alias("variable"), F.lit(d.label_of(b)).alias("other"), weighted_corr(x, y).alias("value")) for a, x in zip(columns, names, strict=True) for b, y in zip(columns, names, strict=True)]
         return HeatChart("Spearman correlations", rows.agg(F.array(*pairs).alias("p")).select(F.inline("p")))
 
     def scatter(self, x: str, y: str, hue: str | None = None, points: int = 5_000, seed: int = 1) -> ScatterChart:

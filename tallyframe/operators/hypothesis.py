@@ -38,13 +38,13 @@ def phi(test: dict) -> float:
     return math.sqrt(test["chi2"] / test["n"]) if test["n"] else 0.0
 
 
-def kruskal_wallis(groups: list, n: float, ties: float) -> tuple[float, float]:
-    """H with tie correction and its probability, from (group, count, rank sum)."""
-    h = 12 / (n * (n + 1)) * sum(r * r / m for _, m, r in groups) - 3 * (n + 1)
+def kruskal_wallis(squares: float, k: int, n: float, ties: float) -> tuple[float, float]:
+    """H with tie correction and its probability, from the groups' sum of squared rank sums by count and their number."""
+    h = 12 / (n * (n + 1)) * squares - 3 * (n + 1)
     correction = 1 - ties / (n**3 - n) if n > 1 else 0.0
     if correction <= 0:
         return float("nan"), float("nan")
-    return h / correction, chi2_tail(h / correction, len(groups) - 1)
+    return h / correction, chi2_tail(h / correction, k - 1)
 
 
 def mann_whitney(groups: list, n: float, ties: float) -> tuple[float, float]:
@@ -70,12 +70,9 @@ def pooled_t(a: tuple, b: tuple) -> tuple[float, float]:
     return t, t_two_sided(t, df)
 
 
-def one_way_anova(groups: list) -> tuple[float, float]:
-    """F and its probability from (count, mean, sample variance) of each group."""
-    n, k = sum(g[0] for g in groups), len(groups)
-    grand = sum(g[0] * g[1] for g in groups) / n
-    between = sum(g[0] * (g[1] - grand) ** 2 for g in groups) / (k - 1)
-    within = sum((g[0] - 1) * (g[2] or 0.0) for g in groups) / (n - k) if n > k else 0.0
+def one_way_anova(between: float, within: float, n: int, k: int) -> tuple[float, float]:
+    """F and its probability from the sums of squares between and within k groups of n values in all."""
+    between, within = between / (k - 1), within / (n - k) if n > k else 0.0
     f = between / within if within else (math.inf if between else float("nan"))
     return f, f_tail(f, k - 1, n - k)
 

@@ -1,12 +1,14 @@
 """Mid-ranks without a global sort in one task: values are first counted, and ranks follow from running counts.
 
 Up to FEW distinct values (survey codes have a handful) are ranked by one window over the counts. More are dealt by
-range; each range's total is added to those after it on the driver's small list of totals (one number a range),
-so no window ever spans all values.
+range; each range's total is added to those after it (a row a range and group), so no window ever spans all values.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,23 +20,61 @@ def value_counts(rows: DataFrame, value: str, *by: str) -> DataFrame:
     return rows.groupBy(value, *by).agg(F.count("*").cast("double").alias("n"))
 
 
-def mid_ranks(rows: DataFrame, value: str) -> DataFrame:
-    """(value, n, midrank) of the non-null values of a numeric column."""
-    counts = value_counts(rows.filter(F.col(value).isNotNull()), value)
-    half = F.col("n") - (F.col("n") + 1) / 2
+def edges_below(value: Column, edges: list, first: int = 0) -> Column:
+    """Number of ordered edges below a value, by halves: a handful of comparisons a row, in generated code."""
+    if not edges:
+        return F.lit(first)
+    middle = len(edges) // 2
+    return F.when(value > F.lit(edges[middle]), edges_below(value, edges[middle + 1 :], first + middle + 1)).otherwise(edges_below(value, edges[:middle], first))
+
+
+def running_counts(counts: DataFrame, value: str, *by: str) -> tuple[DataFrame, bool]:
+    """counts(value, n, by...) with `before` and `upto`, the running sums of n in order of value within each group, and
+    whether there are FEW rows. counts are kept (memory and disk, recomputed where an executor is lost)."""
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
     if counts.limit(FEW + 1).count() <= FEW:
-        return counts.select(value, "n", (F.sum("n").over(Window.orderBy(value)) - half).alias("midrank"))
+        upto = F.sum("n").over(Window.partitionBy(*by).orderBy(value))
+        return counts.withColumns({"upto": upto, "before": upto - F.col("n")}), True
     edges = counts.agg(F.percentile_approx(value, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(1000)).alias("e")).first()["e"]
-    edges = sorted(set(edges))
-    dealt = counts.withColumn("part", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(value))))
-    totals = {r["part"]: r["t"] for r in dealt.groupBy("part").agg(F.sum("n").alias("t")).collect()}  # at most RANGES rows
-    offsets, before = [], 0.0
-    for i in range(len(edges) + 1):
-        offsets.append(before)
-        before += totals.get(i, 0.0)
-    running = F.sum("n").over(Window.partitionBy("part").orderBy(value))
-    start = F.element_at(F.array(*map(F.lit, offsets)), F.col("part") + 1)
-    return dealt.select(value, "n", (start + running - half).alias("midrank"))
+    dealt = counts.withColumn("part", edges_below(F.col(value), sorted(set(edges))))
+    # a row a group and range: what stands before a range comes from the ranges' totals
+    sums = dealt.groupBy(*by, "part").agg(F.sum("n").alias("t"))
+    sums = sums.withColumn("start", F.sum("t").over(Window.partitionBy(*by).orderBy("part")) - F.col("t")).drop("t")
+    upto = F.col("start") + F.sum("n").over(Window.partitionBy(*by, "part").orderBy(value))
+    out = dealt.join(sums, [*by, "part"]).withColumn("upto", upto)
+    return out.withColumn("before", F.col("upto") - F.col("n")).drop("start", "part"), False
+
+
+def mid_ranks_of(counts: DataFrame, value: str) -> DataFrame:
+    """(value, n, midrank) of counts(value, n); few of them (FEW rows of 24 bytes) are marked for broadcasting."""
+    running, few = running_counts(counts, value)
+    ranks = running.select(value, "n", (F.col("before") + (F.col("n") + 1) / 2).alias("midrank"))
+    return F.broadcast(ranks) if few else ranks
+
+
+def mid_ranks(rows: DataFrame, value: str) -> DataFrame:
+    """(value, n, midrank) of the non-null values of a numeric column."""
+    return mid_ranks_of(value_counts(rows.filter(F.col(value).isNotNull()), value), value)
+
+
+def quantiles(rows: DataFrame, value: str, by: str, shares: Sequence[float]) -> DataFrame:
+    """(by, q): exact, interpolated quantiles of the non-null values in each group, q an array in order of shares.
+
+    Selected by rank from running counts, so no task holds the values of a group.
+    """
+    counts = value_counts(rows.filter(F.col(value).isNotNull()), value, by)
+    running, _ = running_counts(counts, value, by)
+    totals = counts.groupBy(by).agg((F.sum("n") - 1).alias("last"))
+    ranked = running.join(totals.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")))
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col(value)))
+    ends = [x for p in shares for x in (at(F.floor(F.col("last") * p)), at(F.ceil(F.col("last") * p)))]
+    found = ranked.groupBy(by, "last").agg(*[e.cast("double").alias(f"e{i}") for i, e in enumerate(ends)])
+
+    def between(i: int, p: float) -> Column:
+        place, low, high = F.col("last") * p, F.col(f"e{2 * i}"), F.col(f"e{2 * i + 1}")
+        return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    return found.select(by, F.array(*[between(i, p) for i, p in enumerate(shares)]).alias("q"))
 
 
 def tie_term() -> Column:
@@ -42,20 +82,31 @@ def tie_term() -> Column:
     return F.sum(F.pow("n", F.lit(3)) - F.col("n"))
 
 
-def group_rank_sums(rows: DataFrame, value: str, group: str) -> tuple[list, float, float]:
-    """([(group, count, rank sum)] by group, number of rows, tie term) for numeric values in groups."""
+def group_rank_sums(rows: DataFrame, value: str, group: str) -> tuple[DataFrame, float, float]:
+    """(group, count, rank sum) as a DataFrame (g, n, r), number of rows, tie term, for numeric values in groups."""
     rows = rows.select(F.col(value).alias("v"), F.col(group).alias("g")).filter("v is not null and g is not null")
-    ranks = mid_ranks(rows, "v")
+    joint = value_counts(rows, "v", "g").withColumnRenamed("n", "m").persist(StorageLevel.MEMORY_AND_DISK)
+    ranks = mid_ranks_of(joint.groupBy("v").agg(F.sum("m").alias("n")), "v")
     ties = ranks.agg(tie_term().alias("t"), F.sum("n").alias("n")).first()
-    per = value_counts(rows, "v", "g").withColumnRenamed("n", "m").join(ranks, "v").groupBy("g").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("midrank")).alias("r"))
-    groups = sorted(((r["g"], r["n"], r["r"]) for r in per.collect()), key=lambda r: r[0])  # a row a group
-    return groups, float(ties["n"] or 0), float(ties["t"] or 0)
+    per = joint.join(ranks, "v").groupBy("g").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("midrank")).alias("r"))
+    return per, float(ties["n"] or 0), float(ties["t"] or 0)
 
 
 def ranked(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of rows (complete rows only), each value replaced by its mid-rank."""
-    out = rows.dropna(subset=columns)
+    """The columns of rows (complete rows only), each value replaced by its mid-rank. Equal rows are counted first: the
+    result has a row a combination, and its number in `n`."""
+    out = value_counts(rows.dropna(subset=columns), *columns).persist(StorageLevel.MEMORY_AND_DISK)
     base = out
     for c in columns:
-        out = out.join(mid_ranks(base.select(c), c).select(c, F.col("midrank").alias(f"_r_{c}")), c)
-    return out.select([F.col(f"_r_{c}").alias(c) for c in columns])
+        ranks = mid_ranks_of(base.groupBy(c).agg(F.sum("n").alias("n")), c)
+        out = out.join(ranks.select(c, F.col("midrank").alias(f"_r_{c}")), c)
+    return out.select("n", *[F.col(f"_r_{c}").alias(c) for c in columns])
+
+
+def weighted_corr(x: str, y: str, n: str = "n") -> Column:
+    """Pearson's correlation of x and y over rows that stand for n each; null where one of them does not vary."""
+    a, b, w = F.col(x), F.col(y), F.col(n)
+    sw, sa, sb = F.sum(w), F.sum(w * a), F.sum(w * b)
+    cov = F.sum(w * a * b) - sa * sb / sw
+    va, vb = F.sum(w * a * a) - sa * sa / sw, F.sum(w * b * b) - sb * sb / sw
+    return cov / F.sqrt(F.nullif(va, F.lit(0.0)) * F.nullif(vb, F.lit(0.0)))

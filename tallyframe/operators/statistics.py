@@ -9,13 +9,14 @@ from __future__ import annotations
 import math
 from typing import TYPE_CHECKING, Any
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import label_of, number, quoted
 from tallyframe.functions.distributions import normal_quantile
 from tallyframe.operators import hypothesis
-from tallyframe.operators.ranks import group_rank_sums, mid_ranks
+from tallyframe.operators.ranks import group_rank_sums, mid_ranks_of, quantiles
 
 if TYPE_CHECKING:
     from tallyframe.operators.dataset import SurveyData
@@ -47,8 +48,9 @@ class DataAnalysis:
 
     def median(self, column: str) -> float:
         """Exact, interpolated; 0.0 for no values."""
-        got = self.data.frame.select(F.median(self._number(column))).first()[0]
-        return 0.0 if got is None else float(got)
+        rows = self.data.frame.select(self._number(column).alias("x"), F.lit(0).alias("all"))
+        got = quantiles(rows, "x", "all", (0.5,)).first()
+        return 0.0 if got is None else float(got["q"][0])
 
     def grouped_mean(self, column: str, by: str, weighted: bool = False, labels: bool = False) -> DataFrame:
         """group, mean, n[, label] in order of group; rows null in either are dropped; n is the count or the sum of weights."""
@@ -184,13 +186,15 @@ class DataAnalysis:
 
     def kruskal(self, column: str, group: str) -> dict:
         groups, n, ties = self._rank_groups(column, group)
-        if len(groups) < 2:
+        sums = groups.agg(F.count("*").alias("k"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("rr")).first()
+        if sums["k"] < 2:
             raise ValueError("Kruskal-Wallis needs two groups or more")
-        h, p = hypothesis.kruskal_wallis(groups, n, ties)
-        return {"statistic": h, "p_value": p, "groups": len(groups)}
+        h, p = hypothesis.kruskal_wallis(sums["rr"], sums["k"], n, ties)
+        return {"statistic": h, "p_value": p, "groups": sums["k"]}
 
     def mannwhitney(self, column: str, group: str) -> dict:
         groups, n, ties = self._rank_groups(column, group)
+        groups = sorted(map(tuple, groups.limit(3).collect()))
         if len(groups) != 2:
             raise ValueError("Mann-Whitney needs exactly two groups")
         u, p = hypothesis.mann_whitney(groups, n, ties)
@@ -199,8 +203,8 @@ class DataAnalysis:
     def spearman(self, x: str, y: str) -> dict:
         """Correlation of mid-ranks over complete rows; joint counts, not rows, are joined with ranks."""
         rows = self.data.frame.select(self._number(x).alias("x"), self._number(y).alias("y")).dropna()
-        joint = rows.groupBy("x", "y").agg(F.count("*").cast("double").alias("m"))
-        rx, ry = (mid_ranks(rows, c).select(c, F.col("midrank").alias(f"r{c}")) for c in ("x", "y"))
+        joint = rows.groupBy("x", "y").agg(F.count("*").cast("double").alias("m")).persist(StorageLevel.MEMORY_AND_DISK)
+        rx, ry = (mid_ranks_of(joint.groupBy(c).agg(F.sum("m").alias("n")), c).select(c, F.col("midrank").alias(f"r{c}")) for c in ("x", "y"))
         m = lambda e: F.sum(F.col("m") * e)
         a, b = F.col("rx"), F.col("ry")
         got = joint.join(rx, "x").join(ry, "y").agg(F.sum("m").alias("n"), m(a).alias("a"), m(b).alias("b"), m(a * a).alias("aa"), m(b * b).alias("bb"), m(a * b).alias("ab")).first()
@@ -211,22 +215,28 @@ class DataAnalysis:
         rho = (got["ab"] - got["a"] * got["b"] / n) / math.sqrt(va * vb) if va > 0 and vb > 0 else float("nan")
         return {"rho": rho, "p_value": hypothesis.spearman_p(rho, n) if rho == rho else float("nan"), "n": n}
 
-    def group_moments(self, column: str, by: str) -> list[tuple]:
-        """(group, count, mean, sample variance) in order of group."""
+    def _moments(self, column: str, by: str) -> DataFrame:
+        """g, n, m, v: count, mean and sample variance of each group."""
         rows = self.data.frame.select(quoted(by).alias("g"), self._number(column).alias("x")).dropna()
-        got = rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.var_samp("x").alias("v")).collect()  # a row a group
-        return sorted(((r["g"], r["n"], r["m"], r["v"]) for r in got), key=lambda r: r[0])
+        return rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.var_samp("x").alias("v"))
+
+    def some_moments(self, column: str, by: str, most: int) -> list[tuple]:
+        """(group, count, mean, sample variance) in order of group; of more than `most` groups, any `most`."""
+        return sorted(map(tuple, self._moments(column, by).limit(most).collect()), key=lambda r: r[0])
 
     def ttest(self, column: str, group: str) -> dict:
-        moments = self.group_moments(column, group)
+        moments = self.some_moments(column, group, 3)
         if len(moments) != 2:
             raise ValueError("a t-test needs exactly two groups")
         t, p = hypothesis.pooled_t(moments[0][1:], moments[1][1:])
         return {"statistic": t, "p_value": p, "group_a": moments[0][0], "group_b": moments[1][0]}
 
     def anova(self, column: str, group: str) -> dict:
-        moments = self.group_moments(column, group)
-        if len(moments) < 2:
+        """Sums over the groups are taken in Spark, whatever their number."""
+        per = self._moments(column, group).persist(StorageLevel.MEMORY_AND_DISK)
+        whole = per.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("x"), F.sum((F.col("n") - 1) * F.coalesce("v", F.lit(0.0))).alias("within")).first()
+        if whole["k"] < 2:
             raise ValueError("an analysis of variance needs two groups or more")
-        f, p = hypothesis.one_way_anova([m[1:] for m in moments])
-        return {"statistic": f, "p_value": p, "groups": len(moments)}
+        between = per.agg(F.sum(F.col("n") * F.pow(F.col("m") - whole["x"] / whole["n"], F.lit(2)))).first()[0]
+        f, p = hypothesis.one_way_anova(between, whole["within"], whole["n"], whole["k"])
+        return {"statistic": f, "p_value": p, "groups": whole["k"]}

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from tallyframe.functions.columns import half_even, label_of, quoted
 from tallyframe.operators import hypothesis
+from tallyframe.operators.ranks import quantiles
 
 if TYPE_CHECKING:
     from tallyframe.operators.dataset import SurveyData
@@ -174,7 +175,8 @@ class GroupMeanTable(SurveyTable):
     def to_df(self) -> DataFrame:
         x = self.data.analysis._number(self.column)
         rows = self.data.frame.select(quoted(self.by).alias("g"), x.alias("x")).dropna()
-        stats = rows.groupBy("g").agg(half_even(F.avg("x"), 3).alias("Mean"), half_even(F.stddev_samp("x"), 3).alias("SD"), half_even(F.median("x"), 3).alias("Median"), F.count("*").alias("n"))
+        stats = rows.groupBy("g").agg(half_even(F.avg("x"), 3).alias("Mean"), half_even(F.stddev_samp("x"), 3).alias("SD"), F.count("*").alias("n"))
+        stats = stats.join(quantiles(rows, "x", "g", (0.5,)).select("g", half_even(F.col("q")[0], 3).alias("Median")), "g")
         return stats.orderBy("g").select(label_of(F.col("g"), self.data.labels_of(self.by)).alias(self.data.label_of(self.by)), "Mean", "SD", "Median", "n")
 
     @cached_property
@@ -182,18 +184,15 @@ class GroupMeanTable(SurveyTable):
         if not self.test:
             return {}
         analysis, ranked = self.data.analysis, self.data.scale_of(self.column) in (None, "ordinal")
-        moments = analysis.group_moments(self.column, self.by)
-        if len(moments) < 2:
+        groups = len(analysis.some_moments(self.column, self.by, 3))
+        if groups < 2:
             return {"note": "fewer than two groups, no test"}
-        if ranked:
-            got = analysis.mannwhitney(self.column, self.by) if len(moments) == 2 else analysis.kruskal(self.column, self.by)
-            name = "Mann-Whitney U" if len(moments) == 2 else "Kruskal-Wallis H"
-            return {"Test": name, "statistic": round(got["statistic"], 3), "p": round(got["p_value"], 4)}
-        if len(moments) == 2:
-            t, p = hypothesis.pooled_t(moments[0][1:], moments[1][1:])
-            return {"Test": "t-test", "statistic": round(t, 3), "p": round(p, 4)}
-        f, p = hypothesis.one_way_anova([m[1:] for m in moments])
-        return {"Test": "ANOVA F", "statistic": round(f, 3), "p": round(p, 4)}
+        name, test = {
+            (True, True): ("Mann-Whitney U", analysis.mannwhitney), (True, False): ("Kruskal-Wallis H", analysis.kruskal),
+            (False, True): ("t-test", analysis.ttest), (False, False): ("ANOVA F", analysis.anova),
+        }[ranked, groups == 2]
+        got = test(self.column, self.by)
+        return {"Test": name, "statistic": round(got["statistic"], 3), "p": round(got["p_value"], 4)}
 
 
 class ReportAccessor:
