@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade, in Spark's own functions only.
 
 Each rule is a Column that is true for texts to reject. On a sample of bounded size every rule is timed
-and its rejection share counted; rules are then applied in the order of rejections per second, inside one
-CASE, so that a later rule is only evaluated for rows that the earlier ones let through. The order depends
-on timing; whether a row is kept does not.
+(each row REPEATS times, less the time of a job without a rule). Then the rule with the most rejections per
+second among the rows still left is taken first, the next one is judged on the rows that it lets through,
+and so on. The rules stand in one CASE in that order, so that a later rule is only evaluated for rows that
+the earlier ones let through. The order depends on timing; whether a row is kept does not.
 
 Cases: null, empty and blank texts have no words (and fail any rule on a least number of words); rules see
 whole texts; a document of any length is one row, so repeated rows, ties and empty tables need no care, and
@@ -12,9 +13,11 @@ other columns pass through.
 
 from __future__ import annotations
 
+import random
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +26,8 @@ from tallyframe.llm.common import words_of, written
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
+#: Copies of a sampled row in a timing, so that work outweighs the start of a job; files that a sample is taken from.
+REPEATS, SAMPLE_FILES = 20, 64
 BASE = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
@@ -100,18 +105,6 @@ class Rule:
     rejects: Column
 
 
-@dataclass(frozen=True)
-class Estimate:
-    name: str
-    seconds: float
-    rejected: int
-    rows: int
-
-    @property
-    def worth(self) -> float:
-        return (self.rejected + 0.5) / max(self.seconds, 1e-6)
-
-
 def default_rules(text: str = "text") -> list[Rule]:
     """Rules on the shape of a text, over the counts of with_base where those serve."""
     t, n = F.col(text), F.greatest(F.col("n_words"), F.lit(1))
@@ -125,27 +118,54 @@ def default_rules(text: str = "text") -> list[Rule]:
     ]
 
 
-def estimate(sample: DataFrame, rules: Sequence[Rule]) -> list[Estimate]:
-    """Seconds and rejections of each rule over the sample; the better of two runs counts."""
-    found = []
-    for rule in rules:
-        took = []
-        for _ in range(2):
-            began = time.perf_counter()
-            rows, rejected = sample.agg(F.count("*"), F.count_if(F.coalesce(rule.rejects, F.lit(False)))).first()
-            took.append(time.perf_counter() - began)
-        found.append(Estimate(rule.name, min(took), rejected, rows))
-    return found
-
-
-def ordered_rules(df: DataFrame, rules: Sequence[Rule], sample_rows: int = 2_000, seed: int = 7, prepare: Callable = lambda x: x) -> list[Rule]:
-    """Rules by rejections per cost, as measured on about sample_rows random rows of df, to which `prepare`
-    adds the columns that the rules need."""
+def some_files(scan: DataFrame, most: int = SAMPLE_FILES, seed: int = 7) -> DataFrame:
+    """A scan of files cut to `most` random ones, so that a sample does not read a whole table. For estimates only."""
+    names = sorted({f.rsplit("/", 1)[-1] for f in scan.inputFiles()})
+    if len(names) <= most:
+        return scan
+    some = random.Random(seed).sample(names, most)  # by name: paths are spelled differently in inputFiles and in _metadata
+    return scan.filter(F.col("_metadata.file_name").isin(some + [unquote(f) for f in some]))
+
+
+def seconds_of(sample: DataFrame, rule: Column | None, repeats: int = REPEATS) -> float:
+    """Seconds of a rule (None: of no rule) over `repeats` copies of every sampled row; the better of two runs counts."""
+    copies = sample.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    job = copies.agg(F.count("_copy") if rule is None else F.count_if(F.coalesce(rule, F.lit(False))))
+    took = []
+    for _ in range(2):
+        began = time.perf_counter()
+        job.collect()  # one row
+        took.append(time.perf_counter() - began)
+    return min(took)
+
+
+def best_order(seconds: dict[str, float], patterns: Sequence[tuple[frozenset, int]]) -> list[str]:
+    """Rule names, each time the one with the most rejections per second among the rows that those before let through.
+    patterns: the names of the rules that reject a row, and the number of such rows. Ties go by name."""
+    order, left = [], sorted(seconds)
+    while left:
+        open_rows = [(names, n) for names, n in patterns if not names & set(order)]
+        worth = {r: (sum(n for names, n in open_rows if r in names) + 0.5) / max(seconds[r], 1e-6) for r in left}
+        left.sort(key=lambda r: (-worth[r], r))
+        order.append(left.pop(0))
+    return order
+
+
+def ordered_rules(
+    df: DataFrame, rules: Sequence[Rule], sample_rows: int = 2_000, seed: int = 7, prepare: Callable = lambda x: x, before: Column | None = None
+) -> list[Rule]:
+    """Rules in the order of the cascade, as measured on about sample_rows random rows of df, to which `prepare` adds the
+    columns that the rules need; rows where `before` holds never reach a rule and are left out."""
     share = min(1.0, sample_rows / max(df.count(), 1))
-    sample = written(df.sample(fraction=share, seed=seed).repartition(4), "rule-sample")
-    sample = written(prepare(sample), "rule-sample")
-    worth = {e.name: e.worth for e in estimate(sample, rules)}
-    return sorted(rules, key=lambda r: (-worth[r.name], r.name))
+    sample = prepare(df.sample(fraction=share, seed=seed).repartition(4))
+    sample = written(sample if before is None else sample.filter(~F.coalesce(before, F.lit(False))), "rule-sample")
+    idle = seconds_of(sample, None)
+    seconds = {r.name: seconds_of(sample, r.rejects) - idle for r in rules}
+    flags = [F.coalesce(r.rejects, F.lit(False)).alias(f"r{i}") for i, r in enumerate(rules)]
+    found = sample.select(*flags).groupBy(*[f"r{i}" for i in range(len(rules))]).count().collect()  # at most a row a sampled row
+    patterns = [(frozenset(r.name for r, hit in zip(rules, row, strict=False) if hit), row["count"]) for row in found]
+    place = {name: i for i, name in enumerate(best_order(seconds, patterns))}
+    return sorted(rules, key=lambda r: place[r.name])
 
 
 def first_failure(rules: Sequence[Rule]) -> Column:

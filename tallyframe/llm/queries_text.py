@@ -25,9 +25,8 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and the cascade's verdict."""
     docs = quality_rules.with_base(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    sample_of = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rules = quality_rules.default_rules()
-    rules = quality_rules.ordered_rules(sample_of, rules, prepare=quality_rules.with_base)
+    sample_of = quality_rules.some_files(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    rules = quality_rules.ordered_rules(sample_of, quality_rules.default_rules(), prepare=quality_rules.with_base, before=F.col("base_failed"))
     judged = quality_rules.apply_cascade(docs, rules, before=F.col("base_failed"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

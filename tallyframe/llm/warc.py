@@ -36,6 +36,8 @@ RECORD = (
     "payload binary"
 )
 FILE_BYTES, STRETCH, GAP, READ_BYTES = 1 << 30, 64 << 20, 64 << 10, 8 << 20
+#: Most groups of equal payloads that are broadcast (some 20 MB), and tasks that share the pages of one group beyond that.
+BROADCAST_GROUPS, SALTS = 200_000, 32
 DATE = "1970-01-01T00:00:00Z"  # archives of a rerun are equal, byte for byte
 
 
@@ -83,8 +85,10 @@ def _int(value):
 def with_revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """pages(page_id, url, html) with refers_to: the page whose equal payload is stored, null for responses.
 
-    Equal payloads are found by SHA-1 and length, counted with partial aggregation; only groups of two or
-    more are joined back, and html of revisits goes no further.
+    Equal payloads are found by SHA-1 and counted with partial aggregation. The groups of two or more are written to the
+    shared folder and counted: up to BROADCAST_GROUPS of them (some 100 bytes each) are broadcast, so no html is shuffled;
+    more are joined under SALTS keys a group, so that the pages of one payload are dealt over as many tasks. html of
+    revisits goes no further.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     keyed = small_batches(pages).select("page_id", "url", payload.alias("html"), F.sha1(payload.cast("binary")).alias("sha"))
@@ -95,8 +99,15 @@ def with_revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
         .filter("copies > 1 and first_id is not null")
         .select("sha", "first_id")
     )
+    groups = written(groups, "warc-groups")
+    if groups.count() <= BROADCAST_GROUPS:
+        joined = keyed.join(F.broadcast(groups), "sha", "left")
+    else:
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+        salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = keyed.withColumn("salt", salt).join(salted, ["sha", "salt"], "left").drop("salt")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    return keyed.join(groups, "sha", "left").select(
+    return joined.select(
         "page_id", "url", "sha", F.octet_length("html").cast("long").alias("size"), refers.alias("refers_to"),
         F.when(refers.isNull(), F.col("html")).alias("html"),
     )

@@ -74,6 +74,23 @@ def test_cascade_order_and_verdict(spark):
     assert quality_rules.ordered_rules(df.limit(0), rules)
 
 
+def test_cascade_judges_a_rule_on_what_the_others_let_through():
+    """b rejects most of all, but nearly nothing that a, three times as cheap, lets through."""
+    patterns = [(frozenset("ab"), 90), (frozenset("b"), 5), (frozenset("c"), 30), (frozenset(), 100)]
+    assert quality_rules.best_order({"a": 1.0, "b": 3.0, "c": 3.0}, patterns) == ["a", "c", "b"]
+    assert quality_rules.best_order({"b": 0.0, "a": -1.0}, []) == ["a", "b"]
+    assert quality_rules.best_order({}, patterns) == []
+
+
+def test_sample_reads_some_files_only(spark, tmp_path):
+    path = f"file://{tmp_path}/many files"
+    spark.range(100).withColumn("text", F.lit("x")).repartition(10).write.parquet(path)
+    scan = spark.read.parquet(path)
+    some = quality_rules.some_files(scan, 3)
+    assert 0 < some.count() < 100 and len({r[0] for r in some.select("_metadata.file_path").collect()}) == 3
+    assert quality_rules.some_files(scan, 10).count() == 100 and quality_rules.some_files(documents(spark, hostile())).count() == len(hostile())
+
+
 def test_licences(spark):
     mit = licenses.LICENSES["MIT"]
     odd = mit.replace("Copyright (c) <year> <copyright holders>", "COPYRIGHT 2020 Somebody\n(c) Else").replace(", ", " ,\n ").upper()
@@ -181,8 +198,10 @@ def test_typed_parts_read_back(spark):
 PAGES = [(5, "http://a/ü b", "same"), (3, None, "same"), (9, "u", None), (8, "u", ""), (7, "v", "<p>é\r\n\r\nWARC/1.1</p>" * 500), (None, "w", "same"), (1, "x", "tiny"), (1, "x", "tiny")]
 
 
-@pytest.mark.parametrize("least", [0, 100])
-def test_warc_round_trip(spark, least):
+@pytest.mark.parametrize("least, broadcast", [(0, 200_000), (100, 200_000), (0, 0)])
+def test_warc_round_trip(spark, monkeypatch, least, broadcast):
+    """Groups of equal payloads are broadcast, or joined under salted keys."""
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", broadcast)
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("sha", F.lit("x"))
     index = warc.write_archives(df, min_revisit_bytes=least)
     got = warc.read_records(index).collect()
