@@ -14,8 +14,6 @@ def chi_square(cells: dict) -> dict:
     of_row = {r: sum(cells.get((r, c), 0) for c in columns) for r in rows}
     of_column = {c: sum(cells.get((r, c), 0) for r in rows) for c in columns}
     df = (len(rows) - 1) * (len(columns) - 1)
-    if total == 0 or df == 0:
-        return {"chi2": 0.0, "p_value": 1.0, "dof": max(df, 0), "n": total, "shape": (len(rows), len(columns))}
     x = 0.0
     for r in rows:
         for c in columns:
@@ -24,7 +22,15 @@ def chi_square(cells: dict) -> dict:
             if df == 1:
                 gap -= min(0.5, gap)
             x += gap * gap / expected
-    return {"chi2": x, "p_value": chi2_tail(x, df), "dof": df, "n": total, "shape": (len(rows), len(columns))}
+    return independence_test(x, total, len(rows), len(columns))
+
+
+def independence_test(x: float, total: int, rows: int, columns: int) -> dict:
+    """The test of a table from its chi-square; a table without cells, or with one row or column, shows no dependence."""
+    df = max(0, (rows - 1) * (columns - 1))
+    if total == 0 or df == 0:
+        x = 0.0
+    return {"chi2": x, "p_value": chi2_tail(x, df), "dof": df, "n": total, "shape": (rows, columns)}
 
 
 def cramers_v(test: dict) -> float:

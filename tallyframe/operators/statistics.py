@@ -23,6 +23,8 @@ if TYPE_CHECKING:
 
 #: Most distinct column values of a cross table, which becomes that many columns.
 MOST_COLUMNS = 1_000
+#: Most cells of a chi-square test that go to the driver.
+DRIVER_CELLS = 100_000
 
 
 class DataAnalysis:
@@ -127,18 +129,29 @@ class DataAnalysis:
             totals = [F.lit(sum(got) if how == "all" else x) for x in got]
         return table.select("r", *[F.when(t > 0, c / t).otherwise(F.lit(0.0)).alias(n) for n, c, t in zip(names, cells, totals, strict=True)])
 
-    def contingency(self, row: str, col: str, nulls: bool = True) -> dict:
-        """{(row, column): count}; a bounded table, since each side may have at most MOST_COLUMNS values."""
-        counts = self.data.frame.groupBy(quoted(row).alias("r"), quoted(col).alias("c")).count()
-        if not nulls:
-            counts = counts.dropna(subset=["r", "c"])
-        got = counts.limit(MOST_COLUMNS**2 // 10 + 1).collect()
-        if len(got) > MOST_COLUMNS**2 // 10:
-            raise ValueError("the table has too many cells for a test")
-        return {(r["r"], r["c"]): r["count"] for r in got}
+    def _cell_counts(self, row: str, col: str, nulls: bool) -> DataFrame:
+        counts = self.data.frame.groupBy(quoted(row).alias("r"), quoted(col).alias("c")).agg(F.count("*").alias("n"))
+        return counts if nulls else counts.dropna(subset=["r", "c"])
+
+    def independence(self, row: str, col: str, nulls: bool = True) -> dict:
+        """Chi-square test of two variables (see hypothesis.chi_square). Up to DRIVER_CELLS occupied cells are finished on the
+        driver; beyond that the sums are taken in Spark, where an empty cell adds its expected count and no row."""
+        counts = self._cell_counts(row, col, nulls).persist(StorageLevel.MEMORY_AND_DISK)
+        got = counts.limit(DRIVER_CELLS + 1).collect()
+        if len(got) <= DRIVER_CELLS:
+            counts.unpersist()
+            return hypothesis.chi_square({(r["r"], r["c"]): r["n"] for r in got})
+        side = lambda name: counts.groupBy(F.col(name).alias(f"_{name}")).agg(F.sum("n").cast("double").alias(f"of_{name}"))
+        of_row, of_column = side("r"), side("c")
+        total, rows, columns = counts.agg(F.sum("n")).first()[0], of_row.count(), of_column.count()
+        met = counts.join(of_row, F.col("r").eqNullSafe(F.col("_r"))).join(of_column, F.col("c").eqNullSafe(F.col("_c")))
+        expected = F.col("of_r") * F.col("of_c") / float(total)
+        sums = met.select("n", expected.alias("e")).agg(F.sum(F.pow(F.col("n") - F.col("e"), F.lit(2)) / F.col("e")).alias("x"), F.sum("e").alias("e")).first()
+        counts.unpersist()
+        return hypothesis.independence_test(sums["x"] + max(0.0, total - sums["e"]), total, rows, columns)
 
     def _tests(self, row: str, col: str, chi2: bool, cramers_v: bool, phi: bool) -> dict[str, Any]:
-        test = hypothesis.chi_square(self.contingency(row, col))
+        test = self.independence(row, col)
         out: dict[str, Any] = {}
         if chi2:
             out |= {"chi2": test["chi2"], "p_value": test["p_value"], "dof": test["dof"]}
@@ -149,7 +162,7 @@ class DataAnalysis:
         return out
 
     def chi2(self, row: str, col: str) -> dict:
-        test = hypothesis.chi_square(self.contingency(row, col, nulls=False))
+        test = self.independence(row, col, nulls=False)
         return {"chi2": test["chi2"], "dof": test["dof"], "p": test["p_value"], "cramers_v": hypothesis.cramers_v(test), "n": test["n"]}
 
     def proportion_ci(self, column: str, value: Any, confidence: float = 0.95, weighted: bool = False) -> dict:

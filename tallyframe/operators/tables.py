@@ -130,11 +130,11 @@ class CrossTable(SurveyTable):
         self.row, self.col, self.pct, self.test = row, col, pct, test
 
     @cached_property
-    def _cells(self) -> dict:
-        return self.data.analysis.contingency(self.row, self.col, nulls=False)
+    def _complete(self) -> SurveyData:
+        return self.data.with_frame(self.data.frame.filter(quoted(self.row).isNotNull() & quoted(self.col).isNotNull()))
 
     def to_df(self) -> DataFrame:
-        values = sorted({c for _, c in self._cells})
+        values = self._complete.analysis._pivot_values(self.col, nulls=False)
         labels = self.data.labels_of(self.col)
         names = [str(labels.get(v, v)) for v in values]
         rows = self.data.frame.select(quoted(self.row).alias("r"), quoted(self.col).alias("c")).dropna()
@@ -158,9 +158,11 @@ class CrossTable(SurveyTable):
 
     @cached_property
     def stats(self) -> dict:
-        if not self.test or len({r for r, _ in self._cells}) < 2 or len({c for _, c in self._cells}) < 2:
+        if not self.test:
+            return {}
+        t = self.data.analysis.independence(self.row, self.col, nulls=False)
+        if min(t["shape"]) < 2:
             return {}
-        t = hypothesis.chi_square(self._cells)
         return {"χ²": round(t["chi2"], 3), "df": t["dof"], "p": round(t["p_value"], 4), "Cramér's V": round(hypothesis.cramers_v(t), 3), "N": t["n"]}
 
 

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from math import prod
+from operator import mul
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tallyframe.functions.columns import answered, mapped, quoted
 
-#: Most cells that margins may span; the cell table is the only thing that raking iterates over.
-MOST_CELLS = 100_000
+#: Most cells of raking that go to the driver.
+DRIVER_CELLS = 100_000
 
 
 def _shares(targets: dict) -> dict:
@@ -34,36 +37,48 @@ def cell_weights(df: DataFrame, column: str, targets: dict, into: str = "weight"
 
 
 def rake_weights(df: DataFrame, margins: dict[str, dict], into: str = "weight", rounds: int = 100, tolerance: float = 1e-9) -> DataFrame:
-    """Iterative proportional fitting to several margins; the mean weight is 1.
+    """Iterative proportional fitting to several margins; the mean weight is 1. Rows with a value that is null or has no target
+    get a null weight and do not count.
 
-    Rows are collapsed to cells once; only the cell table, checked to be small, is iterated over, and joined back.
+    A weight is the product of one factor a margin value, so only these factors (as many as targets) are fitted. Rows are
+    counted by cell once; up to DRIVER_CELLS cells are summed on the driver, more in Spark, a job a margin and round.
     """
     names = list(margins)
     shares = {m: _shares(t) for m, t in margins.items()}
+    factor: dict[str, dict] = {m: {} for m in names}
     usable = df
     for m in names:
         usable = usable.filter(quoted(m).isin(list(shares[m])))
-    cells = usable.groupBy([quoted(m) for m in names]).agg(F.count("*").alias("_n")).limit(MOST_CELLS + 1).collect()
-    if len(cells) > MOST_CELLS:
-        raise ValueError(f"the margins span more than {MOST_CELLS} cells")
-    total = sum(c["_n"] for c in cells)
-    weight = [1.0] * len(cells)
+    cells = usable.groupBy([quoted(m).alias(f"_m{i}") for i, m in enumerate(names)]).agg(F.count("*").alias("_n")).persist(StorageLevel.MEMORY_AND_DISK)
+    few = [(tuple(c[:-1]), c["_n"]) for c in cells.limit(DRIVER_CELLS + 1).collect()]
+
+    def weight(columns: list[Column]) -> Column:
+        known = [mapped(c, {v: factor[m].get(v, 1.0) for v in shares[m] if v is not None}).cast("double") for m, c in zip(names, columns, strict=True)]
+        return reduce(mul, known, F.lit(1.0))
+
+    def sums(i: int) -> dict:
+        """Weight now on each value of margin i."""
+        if len(few) > DRIVER_CELLS:
+            weighted = F.sum(F.col("_n") * weight([F.col(f"_m{k}") for k in range(len(names))]))
+            return dict(map(tuple, cells.groupBy(f"_m{i}").agg(weighted).collect()))  # at most a row a target
+        now: dict = {}
+        for key, n in few:
+            now[key[i]] = now.get(key[i], 0.0) + n * prod(factor[m].get(v, 1.0) for m, v in zip(names, key, strict=True))
+        return now
+
+    total = cells.agg(F.sum("_n")).first()[0] if len(few) > DRIVER_CELLS else sum(n for _, n in few)
     for _ in range(rounds):
         moved = 0.0
-        for m in names:
-            now: dict = {}
-            for c, w in zip(cells, weight, strict=True):
-                now[c[m]] = now.get(c[m], 0.0) + c["_n"] * w
+        for i, m in enumerate(names):
+            now = sums(i)
             there = sum(shares[m][v] for v in now)
-            factor = {v: shares[m][v] / there * total / x if x else 0.0 for v, x in now.items()}
-            moved = max([moved, *(abs(f - 1) for f in factor.values())])
-            weight = [w * factor[c[m]] for c, w in zip(cells, weight, strict=True)]
+            step = {v: shares[m][v] / there * total / x if x else 0.0 for v, x in now.items()}
+            factor[m] = {v: factor[m].get(v, 1.0) * f for v, f in step.items()}
+            moved = max([moved, *(abs(f - 1) for f in step.values())])
         if moved < tolerance:
             break
-    schema = T.StructType([T.StructField(f"_m{i}", df.schema[m].dataType) for i, m in enumerate(names)] + [T.StructField(into, T.DoubleType())])
-    table = df.sparkSession.createDataFrame([(*(c[m] for m in names), w) for c, w in zip(cells, weight, strict=True)], schema)
-    on = [quoted(m) == F.col(f"_m{i}") for i, m in enumerate(names)]
-    return df.join(F.broadcast(table), on, "left").drop(*[f"_m{i}" for i in range(len(names))])  # at most MOST_CELLS rows
+    cells.unpersist()
+    return df.withColumn(into, weight([quoted(m) for m in names]))
 
 
 def dedup_responses(df: DataFrame, respondent: str, time: str, tie: str | None = None) -> DataFrame:

@@ -37,15 +37,24 @@ def admitted_stream(stream: DataFrame, quotas: Sequence[Quota]) -> DataFrame:
     """_response_id, cell, admitted for responses under a quota, in order of arrival (by time, then id, in a batch).
 
     State is one count a quota cell, so it does not grow with the stream; a retry that the watermark has let
-    through would count again, as it would in any store without a key.
+    through would count again, as it would in any store without a key. A task holds the rows of a cell that still have a
+    place (at most its limit) and one batch; all others leave at once.
     """
 
     def admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        taken = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["_submitted_at", "_response_id"])
-        room = max(0, int(rows["limit"].iloc[0]) - taken)
-        state.update((taken + min(room, len(rows)),))
-        yield pd.DataFrame({"_response_id": rows["_response_id"], "cell": key[0], "admitted": [i < room for i in range(len(rows))]})
+        def told(rows: pd.DataFrame, admitted: bool) -> pd.DataFrame:
+            return pd.DataFrame({"_response_id": rows["_response_id"], "cell": key[0], "admitted": admitted})
+
+        taken, first = state.get[0] if state.exists else 0, None
+        for batch in batches:
+            room = max(0, int(batch["limit"].iloc[0]) - taken)
+            met = (batch if first is None else pd.concat([first, batch])).sort_values(["_submitted_at", "_response_id"])
+            first = met.iloc[:room]
+            if len(met) > room:
+                yield told(met.iloc[room:], False)
+        state.update((taken + len(first),))
+        if len(first):
+            yield told(first, True)
 
     cells = stream.withColumns({"cell": _cell(quotas, lambda i, q: i).cast("int"), "limit": _cell(quotas, lambda i, q: q.limit).cast("long")})
     rows = cells.filter("cell is not null").select("_response_id", "_submitted_at", "cell", "limit")

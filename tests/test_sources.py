@@ -126,6 +126,25 @@ def test_streaming_ingestion_and_admission(spark, tmp_path):
     assert len(got) == 6 and sum(got.values()) == 4
 
 
+def test_streamed_admission_takes_the_earliest_of_many_batches(spark, tmp_path):
+    """40 rows of a cell come in batches of 3; the places go to the least (time, id), none is told twice."""
+    rows = [(f"r{i:02}", (i * 7) % 40 // 2, 1 if i else 2) for i in range(40)]
+    folder, setting = str(tmp_path / "typed"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    typed = spark.createDataFrame(rows, "_response_id string, _submitted_at long, v int").coalesce(1)
+    typed.write.parquet(folder)
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "3")
+    try:
+        stream = ingest.admitted_stream(spark.readStream.schema(typed.schema).parquet(folder), [Quota("v", 1, 10), Quota("v", 2, 0)])
+        query = stream.writeStream.format("memory").queryName("admission_batches").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    finally:
+        spark.conf.set(setting, before)
+    got = sorted((r["_response_id"], r["admitted"]) for r in spark.table("admission_batches").collect())
+    first = {r[0] for r in sorted(rows[1:], key=lambda r: (r[1], r[0]))[:10]}
+    assert got == [(r[0], r[0] in first) for r in rows]
+
+
 def test_files_round_trip(spark, tmp_path):
     variables = VariableMap([Variable("a", "nominal", "A", {1: "one"}, (MissingValue(9, "gone"),), dtype="int"), Variable("b", "ratio", dtype="float")])
     data = SurveyData(spark.createDataFrame([(1, 2.5), (9, None)], "a long, b double"), variables)

@@ -3,7 +3,8 @@ import random
 
 import pytest
 
-from tallyframe.operators import hypothesis, ranks
+from tallyframe.functions.distributions import chi2_tail
+from tallyframe.operators import hypothesis, ranks, statistics, weights
 from tallyframe.operators.dataset import SurveyData
 from tallyframe.operators.variables import Variable, VariableMap
 from tallyframe.operators.weights import cell_weights, dedup_responses, partial_flag, rake_weights
@@ -142,6 +143,43 @@ def test_weighting(spark):
     assert {r[0]: r[1] for r in raked.groupBy("g").agg({"weight": "sum"}).collect()} == {"m": pytest.approx(50), "f": pytest.approx(50)}
 
 
+@pytest.mark.parametrize("most", [100_000, 1])
+def test_raking_on_the_driver_and_in_spark(spark, monkeypatch, most):
+    """Plain proportional fitting; values without a row, without a target and null ones."""
+    monkeypatch.setattr(weights, "DRIVER_CELLS", most)
+    cells = {("m", 1): 30, ("m", 2): 30, ("f", 1): 10, ("f", 2): 30, ("x", 1): 5}
+    df = spark.createDataFrame([k for k, n in cells.items() for _ in range(n)] + [(None, 1)], "g string, r int")
+    got = {(r["g"], r["r"]): r["weight"] for r in rake_weights(df, {"g": {"m": 1, "f": 1, None: 2}, "r": {1: 3, 2: 1, 9: 4}}).distinct().collect()}
+    want = {k: 1.0 for k in cells if k[0] != "x"}
+    for _ in range(200):
+        for i, share in ((0, {"m": 0.5, "f": 0.5}), (1, {1: 0.75, 2: 0.25})):
+            now = {v: sum(w * cells[k] for k, w in want.items() if k[i] == v) for v in share}
+            want = {k: w * share[k[i]] * 100 / now[k[i]] for k, w in want.items()}
+    assert got == {**{k: pytest.approx(w) for k, w in want.items()}, ("x", 1): None, (None, 1): None}
+    assert rake_weights(df.limit(0), {"g": {"m": 1}}).count() == 0
+
+
+def test_chi_square_beyond_the_driver(spark, monkeypatch):
+    draw = random.Random(3)
+    pairs = [(draw.choice([None, *range(9)]), draw.choice("abcd")) for _ in range(60)] + [(1, None)] * 20
+    data = SurveyData(spark.createDataFrame(pairs, "a int, b string"), VariableMap([Variable("a"), Variable("b")]))
+    small = [data.analysis.independence("a", "b", nulls) for nulls in (True, False)]
+    monkeypatch.setattr(statistics, "DRIVER_CELLS", 3)
+    for nulls, want in zip((True, False), small, strict=True):
+        got = data.analysis.independence("a", "b", nulls)
+        assert got["shape"] == want["shape"] and got["n"] == want["n"] and got["dof"] == want["dof"]
+        assert got["chi2"] == pytest.approx(want["chi2"]) and got["p_value"] == pytest.approx(want["p_value"])
+    one = SurveyData(spark.createDataFrame([(i, "x") for i in range(9)], "a int, b string"), VariableMap([Variable("a"), Variable("b")]))
+    assert one.analysis.independence("a", "b")["chi2"] == 0 and one.analysis.independence("a", "b")["p_value"] == 1
+    assert data.report.crosstab("a", "b").stats["N"] == small[1]["n"]
+
+
+def test_chi_square_tail_of_many_degrees():
+    for x in (0.9985e6, 1e6, 1.0015e6):
+        assert chi2_tail(x, 1_000_001) == pytest.approx(chi2_tail(x, 1_000_000), abs=2e-3)
+    assert chi2_tail(3e9, 3e9) == pytest.approx(0.5, abs=1e-4)
+
+
 def test_hygiene(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, " "), ("b", 1, None), (None, 5, "y")], "who string, at long, answer string")
     assert sorted(map(str, rows(dedup_responses(df, "who", "at").select("who", "at")))) == sorted(["('a', 2)", "('b', 1)", "(None, 5)"])
