@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import queries_dedup, queries_text
+from tallyframe.llm import queries_audit, queries_dedup, queries_text
 
-MODULES = (queries_text, queries_dedup)
+MODULES = (queries_text, queries_dedup, queries_audit)
 
 
 def queries() -> dict:
