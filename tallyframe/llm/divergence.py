@@ -21,11 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import small_batches, written
+from tallyframe.llm.hashing import slice_hashes
 
 MIN_DOCUMENTS, ADDED, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Cells of a block, sources of a slice, and entries that a task gathers before it hands its matrices on.
@@ -39,44 +39,6 @@ TERM[0x41:0x5B] = TERM[0x61:0x7B] = TERM[0x80:] = True
 SMALL = np.arange(256, dtype=np.uint8)
 SMALL[0x41:0x5B] += 0x20
 
-_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
-
-
-def _turn(x: np.ndarray, n: int) -> np.ndarray:
-    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
-
-
-def _hash_of_equal_lengths(rows: np.ndarray) -> np.ndarray:
-    """xxhash (64 bits, seed 0) of the rows of a matrix of fewer than 32 columns."""
-    n, length = rows.shape
-    h = np.full(n, _P5 + np.uint64(length), np.uint64)
-    at = 0
-    for _ in range(length // 8):
-        lane = np.ascontiguousarray(rows[:, at : at + 8]).view("<u8")[:, 0]
-        h = _turn(h ^ (_turn(lane * _P2, 31) * _P1), 27) * _P1 + _P4
-        at += 8
-    if length - at >= 4:
-        lane = np.ascontiguousarray(rows[:, at : at + 4]).view("<u4")[:, 0].astype(np.uint64)
-        h = _turn(h ^ (lane * _P1), 23) * _P2 + _P3
-        at += 4
-    for k in range(at, length):
-        h = _turn(h ^ (rows[:, k].astype(np.uint64) * _P5), 11) * _P1
-    h = (h ^ (h >> np.uint64(33))) * _P2
-    h = (h ^ (h >> np.uint64(29))) * _P3
-    return h ^ (h >> np.uint64(32))
-
-
-def slice_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """xxhash of every slice data[start:stop]; slices of one length are hashed together."""
-    out, length = np.zeros(len(start), np.uint64), stop - start
-    for n in np.unique(length[length < 32]):
-        own = np.flatnonzero(length == n)
-        out[own] = _hash_of_equal_lengths(data[start[own, None] + np.arange(n)])
-    for i in np.flatnonzero(length >= 32):
-        out[i] = xxhash.xxh64_intdigest(data[start[i] : stop[i]].tobytes())
-    return out
-
-
 def _flat(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The places of all bytes of the slices, one slice after the other."""
     ends = np.cumsum(length)

@@ -191,13 +191,15 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
 def fit_quality(documents: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> AdditiveModel:
     """A model fitted to documents(doc_id, text) joined with labels(doc_id, label).
 
-    At most max_rows labelled rows are used, so their ids may be broadcast and their features collected:
-    some 20 bytes and 150 bytes a row, whatever the size of the corpus.
+    At most max_rows labelled ids, and of their rows (an id may be repeated) at most max_rows, are used, so the ids may be
+    broadcast and the features collected: some 20 bytes and 150 bytes a row, whatever the size of the corpus. Each of several
+    rows of a labelled id has its label.
     """
     labels = labels.filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = with_features(rows).select("features", "label", F.xxhash64("doc_id", "text").alias("k")).toPandas().sort_values("k")
+    shaped = with_features(rows).select("features", "label", F.xxhash64("doc_id", "text").alias("k"))
+    got = shaped.orderBy("k", "label", "features").limit(max_rows).toPandas()
     x = np.array(got["features"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
     return AdditiveModel().fit(x, got["label"].to_numpy(dtype=np.float64))
 

@@ -1,7 +1,8 @@
 """Hashes of words, shingles and byte windows, computed over the buffers of whole Arrow columns.
 
-Texts are UTF-8 bytes laid end to end. A prefix sum of bytes times powers of an odd number gives the
-polynomial hash of any stretch in O(1); results are mixed to 64 bits.
+Texts are UTF-8 bytes laid end to end. Words are hashed by xxhash. A prefix sum of bytes times powers of an odd number gives
+the polynomial hash of any stretch in O(1), mixed to 64 bits; it serves stretches of a few hundred bytes only, as longer ones
+can be made to collide.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
@@ -50,6 +52,44 @@ def stretch_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.
     return mix((prefix[stop] - prefix[start]) * down[start] + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+
+
+def _turn(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def _hash_of_equal_lengths(rows: np.ndarray) -> np.ndarray:
+    """xxhash (64 bits, seed 0) of the rows of a matrix of fewer than 32 columns."""
+    n, length = rows.shape
+    h = np.full(n, _P5 + np.uint64(length), np.uint64)
+    at = 0
+    for _ in range(length // 8):
+        lane = np.ascontiguousarray(rows[:, at : at + 8]).view("<u8")[:, 0]
+        h = _turn(h ^ (_turn(lane * _P2, 31) * _P1), 27) * _P1 + _P4
+        at += 8
+    if length - at >= 4:
+        lane = np.ascontiguousarray(rows[:, at : at + 4]).view("<u4")[:, 0].astype(np.uint64)
+        h = _turn(h ^ (lane * _P1), 23) * _P2 + _P3
+        at += 4
+    for k in range(at, length):
+        h = _turn(h ^ (rows[:, k].astype(np.uint64) * _P5), 11) * _P1
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def slice_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """xxhash of every slice data[start:stop]; slices of one length are hashed together."""
+    out, length = np.zeros(len(start), np.uint64), stop - start
+    for n in np.unique(length[length < 32]):
+        own = np.flatnonzero(length == n)
+        out[own] = _hash_of_equal_lengths(data[start[own, None] + np.arange(n)])
+    for i in np.flatnonzero(length >= 32):
+        out[i] = xxhash.xxh64_intdigest(data[start[i] : stop[i]].tobytes())
+    return out
+
+
 def stretches(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, row offsets into bytes) of a string column, about STRETCH_BYTES at a time; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -65,10 +105,10 @@ def stretches(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         a = b
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of every word; words are runs of anything but ASCII blanks, cut at row ends."""
+def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, row) of every word; words are runs of anything but ASCII blanks, cut at row ends."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = (data != 0x20) & ((data < 0x09) | (data > 0x0D))
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
@@ -76,7 +116,25 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start = np.flatnonzero(inside & (~before | cut[:-1]))
     after = np.concatenate((inside[1:], [False]))
     stop = np.flatnonzero(inside & (~after | cut[1:])) + 1
-    return stretch_hash(prefix_hash(data), start, stop), np.searchsorted(offsets, start, side="right") - 1
+    return start, stop, np.searchsorted(offsets, start, side="right") - 1
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every word."""
+    start, stop, row = word_places(data, offsets)
+    return slice_hashes(data, start, stop), row
+
+
+def word_windows(word: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first word) of every run of `size` words of one row."""
+    n = len(word) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    out, step = word[:n], np.uint64(0xA24BAED4963EE407)
+    for k in range(1, size):
+        out = mix(out * step + word[k : n + k])
+    at = np.flatnonzero(row[:n] == row[size - 1 :])
+    return out[at], at
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -84,15 +142,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.n
     word, row = words(data, offsets)
     per_row = np.bincount(row, minlength=len(offsets) - 1) if len(row) else np.zeros(len(offsets) - 1, np.int64)
     step = np.uint64(0xA24BAED4963EE407)
-    out = np.zeros(0, np.uint64)
-    own = np.zeros(0, np.int64)
-    if len(word) >= size:
-        n = len(word) - size + 1
-        out = word[:n]
-        for k in range(1, size):
-            out = mix(out * step + word[k : n + k])
-        whole = row[:n] == row[size - 1 :]
-        out, own = out[whole], row[:n][whole]
+    out, at = word_windows(word, row, size)
+    own = row[at]
     first = np.concatenate(([0], np.cumsum(per_row)))[:-1]
     short, short_rows = [], np.flatnonzero((per_row > 0) & (per_row < size))
     for r in short_rows:

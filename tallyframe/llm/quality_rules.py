@@ -1,10 +1,12 @@
 """Quality rules as a short-circuit cascade, in Spark's own functions only.
 
-Each rule is a Column that is true for texts to reject. On a sample of bounded size every rule is timed
-(each row REPEATS times, less the time of a job without a rule). Then the rule with the most rejections per
-second among the rows still left is taken first, the next one is judged on the rows that it lets through,
-and so on. The rules stand in one CASE in that order, so that a later rule is only evaluated for rows that
-the earlier ones let through. The order depends on timing; whether a row is kept does not.
+Each rule is a Column that is true for texts to reject. On a sample of bounded size every rule is timed: jobs over
+copies of each row, in turn with jobs that read the same columns and judge nothing, with more copies until the
+difference stands out from the spread of equal jobs. What cannot be told apart from nothing, and all below LEAST_COST
+a row, counts as equally cheap, and costs are rounded to powers of four, so that noise does not make the order. Then the
+rule with the most rejections per cost among the rows still left is taken first, the next one is judged on the rows that
+it lets through, and so on. The rules stand in one CASE in that order, so that a later rule is only evaluated for rows
+that the earlier ones let through. The order depends on timing; whether a row is kept does not.
 
 Cases: null, empty and blank texts have no words (and fail any rule on a least number of words); rules see
 whole texts; a document of any length is one row, so repeated rows, ties and empty tables need no care, and
@@ -13,6 +15,7 @@ other columns pass through.
 
 from __future__ import annotations
 
+import math
 import random
 import time
 from collections.abc import Callable, Sequence
@@ -26,8 +29,9 @@ from tallyframe.llm.common import words_of, written
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
-#: Copies of a sampled row in a timing, so that work outweighs the start of a job; files that a sample is taken from.
-REPEATS, SAMPLE_FILES = 20, 64
+#: Copies of a sampled row in the timings, tried in turn; seconds a row that a rule counts as at least; files that a sample is
+#: taken from.
+REPEATS, LEAST_COST, SAMPLE_FILES = (16, 96), 1e-6, 64
 BASE = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
@@ -85,6 +89,11 @@ def covered_by_repeats(hashes: Column) -> Column:
     return let(hashes, covered)
 
 
+def stutters(words: Column) -> Column:
+    """Words equal to the word before them."""
+    return let(words, lambda w: F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))))
+
+
 def with_base(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the columns BASE (columns of these names are replaced)."""
     split = df.withColumns({"_words": words_of(F.col(text)), "_lines": worded_lines(F.col(text))})
@@ -115,6 +124,8 @@ def default_rules(text: str = "text") -> list[Rule]:
         Rule("repeated_lines", 10 * F.col("n_dup_lines") > 5 * F.col("n_lines")),
         Rule("exclamations", 2 * (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))) > n),
         Rule("upper_case", 2 * letters("Lu") > letters("L")),
+        Rule("bars", 5 * (F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit("")))) > n),
+        Rule("stutter", 4 * stutters(words_of(t)) > n),
     ]
 
 
@@ -127,25 +138,40 @@ def some_files(scan: DataFrame, most: int = SAMPLE_FILES, seed: int = 7) -> Data
     return scan.filter(F.col("_metadata.file_name").isin(some + [unquote(f) for f in some]))
 
 
-def seconds_of(sample: DataFrame, rule: Column | None, repeats: int = REPEATS) -> float:
-    """Seconds of a rule (None: of no rule) over `repeats` copies of every sampled row; the better of two runs counts."""
-    copies = sample.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    job = copies.agg(F.count("_copy") if rule is None else F.count_if(F.coalesce(rule, F.lit(False))))
-    took = []
-    for _ in range(2):
-        began = time.perf_counter()
-        job.collect()  # one row
-        took.append(time.perf_counter() - began)
-    return min(took)
-
-
-def best_order(seconds: dict[str, float], patterns: Sequence[tuple[frozenset, int]]) -> list[str]:
-    """Rule names, each time the one with the most rejections per second among the rows that those before let through.
+def row_costs(sample: DataFrame, rules: Sequence[Rule], rows: int) -> dict[str, float]:
+    """Seconds a row of every rule, LEAST_COST or a power of four times it."""
+    nothing = F.lit(True)
+    for c in sample.columns:  # the idle job reads what the rules read
+        nothing = nothing & F.col(f"`{c}`").isNotNull()
+    out: dict[str, float] = {}
+    for copies in REPEATS:
+        copied = sample.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+
+        def seconds(test: Column, copied=copied) -> float:
+            began = time.perf_counter()
+            copied.agg(F.count_if(F.coalesce(test, F.lit(False)))).collect()  # one row
+            return time.perf_counter() - began
+
+        seconds(nothing)
+        idle = [seconds(nothing)]
+        for rule in [r for r in rules if r.name not in out]:
+            seconds(rule.rejects)  # compiles it
+            took = [seconds(rule.rejects), seconds(rule.rejects)]
+            idle.append(seconds(nothing))
+            more, spread = min(took) - min(idle[-2:]), max(abs(took[0] - took[1]), abs(idle[-1] - idle[-2]))
+            if more > 4 * spread or copies == REPEATS[-1]:
+                cost = max((more if more > spread else 0.0) / max(rows * copies, 1), LEAST_COST)
+                out[rule.name] = LEAST_COST * 4.0 ** round(math.log(cost / LEAST_COST, 4))
+    return out
+
+
+def best_order(costs: dict[str, float], patterns: Sequence[tuple[frozenset, int]]) -> list[str]:
+    """Rule names, each time the one with the most rejections per cost among the rows that those before let through.
     patterns: the names of the rules that reject a row, and the number of such rows. Ties go by name."""
-    order, left = [], sorted(seconds)
+    order, left = [], sorted(costs)
     while left:
         open_rows = [(names, n) for names, n in patterns if not names & set(order)]
-        worth = {r: (sum(n for names, n in open_rows if r in names) + 0.5) / max(seconds[r], 1e-6) for r in left}
+        worth = {r: (sum(n for names, n in open_rows if r in names) + 0.5) / max(costs[r], LEAST_COST) for r in left}
         left.sort(key=lambda r: (-worth[r], r))
         order.append(left.pop(0))
     return order
@@ -159,12 +185,11 @@ def ordered_rules(
     share = min(1.0, sample_rows / max(df.count(), 1))
     sample = prepare(df.sample(fraction=share, seed=seed).repartition(4))
     sample = written(sample if before is None else sample.filter(~F.coalesce(before, F.lit(False))), "rule-sample")
-    idle = seconds_of(sample, None)
-    seconds = {r.name: seconds_of(sample, r.rejects) - idle for r in rules}
+    costs = row_costs(sample, rules, sample.count())
     flags = [F.coalesce(r.rejects, F.lit(False)).alias(f"r{i}") for i, r in enumerate(rules)]
     found = sample.select(*flags).groupBy(*[f"r{i}" for i in range(len(rules))]).count().collect()  # at most a row a sampled row
     patterns = [(frozenset(r.name for r, hit in zip(rules, row, strict=False) if hit), row["count"]) for row in found]
-    place = {name: i for i, name in enumerate(best_order(seconds, patterns))}
+    place = {name: i for i, name in enumerate(best_order(costs, patterns))}
     return sorted(rules, key=lambda r: place[r.name])
 
 

@@ -35,15 +35,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_8 = r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM documents),
-d AS (SELECT DISTINCT doc_id, array_to_string(words[i:i+4], ' ') AS s FROM
-  (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
-v AS (SELECT item_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM benchmark),
-b AS (SELECT DISTINCT item_id, array_to_string(words[i:i+4], ' ') AS s FROM
-  (SELECT item_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM v WHERE len(words) > 0)),
-n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id)
-SELECT doc_id, item_id, n_shingles, count(*) AS n_shared
-FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY ALL HAVING count(*) >= 0.8 * n_shingles
+WITH v AS (SELECT item_id, words, least(5, len(words)) AS k FROM (SELECT item_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM benchmark) WHERE len(words) > 0),
+b AS (SELECT DISTINCT item_id, k, array_to_string(words[i:i+k-1], ' ') AS s FROM (SELECT item_id, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM v)),
+n AS (SELECT item_id, k, count(*) AS n_shingles FROM b GROUP BY ALL),
+w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM documents),
+d AS (SELECT DISTINCT r, doc_id, k, array_to_string(words[i:i+k-1], ' ') AS s FROM
+  (SELECT r, doc_id, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, (SELECT DISTINCT k FROM v) WHERE len(words) >= k)),
+f AS (SELECT r, doc_id, item_id, n_shingles, count(*) AS n FROM d JOIN b USING (k, s) JOIN n USING (item_id, k) GROUP BY ALL HAVING count(*) >= 0.8 * n_shingles)
+SELECT doc_id, item_id, n_shingles, max(n) AS n_shared FROM f GROUP BY ALL
 """
 
 QUERIES = {

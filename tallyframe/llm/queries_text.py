@@ -136,11 +136,12 @@ r AS (SELECT k, count(DISTINCT i + o) AS n FROM
 b AS (SELECT doc_id, text, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines,
-  coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r USING (k)),
+  coalesce(n, 0)::BIGINT AS n_repeat_words, len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS n_stutters FROM w LEFT JOIN r USING (k)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, greatest(n_words, 1) AS n FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > word_chars OR word_chars < 2 * n OR word_chars > 15 * n
     OR 10 * n_dup_lines > 5 * n_lines OR 2 * (length(text) - length(replace(text, '!', ''))) > n
+    OR 5 * (length(text) - length(replace(text, '|', ''))) > n OR 4 * n_stutters > n
     OR 2 * length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) > length(regexp_replace(text, '[^\p{L}]', '', 'g'))) AS kept
 FROM f
 """

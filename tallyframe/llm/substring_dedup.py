@@ -7,12 +7,13 @@
    so that a passage in a third of all texts is sorted once.
 3. These strings are cut into 16-byte symbols, to the right of the anchor and, reversed, to its left. Suffix sorting
    by linear grouping (gsaca) orders the strings of a gram both ways; common prefixes of neighbours then give the
-   classes of equal windows, and a window is repeated if the copies in its class are two or more. Whatever is removed
-   was found here, but for the rest in step 4. Spans of a string with several copies go to all of its runs.
+   classes of equal windows, and a window is repeated if its class holds two strings or more. A string that stands for
+   several contexts is sorted as two, so its repeats are found by comparison as all others are. Whatever is removed
+   was found here. Spans of a string with several copies go to all of its runs.
 4. Grams with more than GROUP strings do not go to one task: their windows are dealt by longer grams first. A
    range of RANGE distances from the anchor has LENGTH - RANGE + 1 bytes in common, by which its windows are grouped and
-   sorted as above. Where even those are shared by more than GROUP strings, windows are dealt by all of
-   their bytes (by hash) and counted.
+   sorted as above. Where even those are shared by more than GROUP strings, windows are dealt by all of their
+   bytes: of the windows of one hash the least and the greatest are sorted, and stand for the others.
 
 Matches never cross documents; strings are judged on the input. Documents are known by doc_id and a digest of
 their text (128 bits), so different texts under one doc_id, or under null, are kept apart.
@@ -54,7 +55,6 @@ BYTES = pa.schema(
     [("cell", pa.int64()), ("gram", pa.int64()), ("context", pa.int64()), ("copies", pa.int64()), *KEYS, ("place", pa.int64()), ("raw", pa.binary())]
 )
 SPANS = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("copies", pa.int64()), *KEYS, ("span", pa.int64())])
-WINDOWS = pa.schema([("window", pa.int64()), *SPANS])
 SPANS_TYPE = f"gram long, context long, copies long, {KEY_TYPE}, span long"
 ADDED = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 NO_ID = -(1 << 63)
@@ -158,8 +158,15 @@ def _reach(raw: list[bytes], group: np.ndarray, longest: int) -> tuple[np.ndarra
 
 
 def repeated_starts(raw: list[bytes], group: np.ndarray, width: np.ndarray, offset: np.ndarray, copies: np.ndarray) -> np.ndarray:
-    """(string, start) of the windows of LENGTH bytes that have two or more copies among the strings of their group, at the same
-    distance from their anchors. String i has windows at 0..width[i], its anchor at offset[i], and stands for copies[i] strings."""
+    """(string, start) of the windows of LENGTH bytes that occur twice or more among the strings of their group, at the same
+    distance from their anchors. String i has windows at 0..width[i], its anchor at offset[i], and stands for copies[i] strings;
+    for two or more, two of it are sorted."""
+    own = np.concatenate((np.arange(len(raw)), np.flatnonzero(copies > 1)))
+    starts = _twin_starts([raw[i] for i in own], group[own], width[own], offset[own])
+    return np.unique(np.column_stack((own[starts[:, 0]], starts[:, 1])), axis=0) if len(starts) else starts
+
+
+def _twin_starts(raw: list[bytes], group: np.ndarray, width: np.ndarray, offset: np.ndarray) -> np.ndarray:
     m = len(raw)
     right, right_shared = _reach([x[o:] for x, o in zip(raw, offset, strict=True)], group, LENGTH)
     most = int(offset.max(initial=0))
@@ -176,7 +183,7 @@ def repeated_starts(raw: list[bytes], group: np.ndarray, width: np.ndarray, offs
         order = np.argsort(both, kind="stable")
         same = both[order[1:]] == both[order[:-1]]
         twin = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        hit = live[order[twin | (copies[live[order]] > 1)]]
+        hit = live[order[twin]]
         found.append(np.column_stack((hit, offset[hit] - d)))
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
@@ -248,14 +255,27 @@ def _by_longer_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All windows of strings, hashed."""
+    """All windows of strings, each a string of its own, with its hash as its cell."""
     for batch in batches:
         for i in range(batch.num_rows):
-            raw = np.frombuffer(batch.column("raw")[i].as_buffer(), np.uint8)
+            text = batch.column("raw")[i].as_py()
             low, width, _ = unpack(batch.column("place")[i].as_py())
             at = np.arange(width + 1)
+            cell = stretch_hash(prefix_hash(np.frombuffer(text, np.uint8)), at, at + LENGTH).view(np.int64)
             same = [np.full(len(at), batch.column(k)[i].as_py()) for k in SPANS.names[:-1]]
-            yield pa.record_batch([stretch_hash(prefix_hash(raw), at, at + LENGTH).view(np.int64), *same, span(low + at, LENGTH)], schema=WINDOWS)
+            yield pa.record_batch([cell, *same, pack(low + at, 0, 0), pa.array([text[k : k + LENGTH] for k in at.tolist()], pa.binary())], schema=BYTES)
+
+
+def _repeated_windows(windows: DataFrame) -> DataFrame:
+    """Spans of the windows(BYTES) whose bytes occur twice or more. Of a cell, the least and the greatest window are sorted (one with
+    several copies stands for two); where they are equal, so are all."""
+    ends = windows.groupBy("cell").agg(F.sum("copies").alias("n"), F.min("raw").alias("a"), F.max("raw").alias("b")).filter("n > 1")
+    pair = ends.select("cell", F.explode(F.array("a", "b")).alias("raw"))
+    zero = F.lit(0).cast("long")
+    rows = pair.select("cell", *[zero.alias(k) for k in ("gram", "context")], F.lit(1).cast("long").alias("copies"), F.col("cell").alias(KEY[0]), *[zero.alias(k) for k in KEY[1:]], zero.alias("place"), "raw")
+    found = _sorted_cells(rows).select(F.col(KEY[0]).alias("cell")).distinct()
+    packed = F.shiftleft(F.shiftright("place", 16), SIZE_BITS).bitwiseOR(F.lit(LENGTH)).alias("span")
+    return windows.join(found, "cell").select(*SPANS.names[:-1], packed)
 
 
 def _sorted_cells(raw: DataFrame) -> DataFrame:
@@ -278,9 +298,8 @@ def _found(raw: DataFrame) -> DataFrame:
     found = found.unionByName(_sorted_cells(longer.join(wide, "cell", "left_anti")))
     if wide.isEmpty():
         return found
-    windows = longer.join(wide, "cell", "left_semi").select(*BYTES.names).mapInArrow(_windows, f"window long, {SPANS_TYPE}")
-    twice = windows.groupBy("window").agg(F.sum("copies").alias("n")).filter("n > 1").select("window")
-    return found.unionByName(windows.join(twice, "window").drop("window"))
+    windows = longer.join(wide, "cell", "left_semi").select(*BYTES.names).mapInArrow(_windows, names)
+    return found.unionByName(_repeated_windows(written(windows, "wide-windows")))
 
 
 def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -85,14 +85,17 @@ def repeated_bytes(rows, length=200):
 
 
 def contained(docs, items, threshold=0.8):
-    out = set()
+    """{(doc_id, item_id, shingles, shared)}: the most that a row of a doc_id shares; short items are one run of their words."""
+    best = {}
     for i, t in items:
         own = shingle_set(t)
+        size = len(min(own, default=()))
         for d, text in docs:
-            n = len(own & shingle_set(text))
+            w = plain_words(text)
+            n = len(own & {tuple(w[k : k + size]) for k in range(len(w) - size + 1)}) if own else 0
             if own and n >= threshold * len(own) - 1e-9:
-                out.add((d, i, len(own), n))
-    return out
+                best[d, i, len(own)] = max(best.get((d, i, len(own)), 0), n)
+    return {(*key, n) for key, n in best.items()}
 
 
 def documents(spark, rows, extra=True):

@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def test_texts_of_one_or_no_id_keep_their_own_spans(spark):
         check_repeats(spark, [(doc_id, a), (doc_id, b), (None, a[:90]), (8, "tail " * 20 + passage[:250])])
 
 
-def test_wide_grams_are_counted_by_window(spark, monkeypatch):
+def test_wide_grams_are_dealt_by_window(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "GROUP", 3)
     check_repeats(spark, passages(seed=4))
 
@@ -71,9 +72,37 @@ def test_wide_grams_are_sorted_by_longer_grams(spark, monkeypatch, group):
     check_repeats(spark, rows + passages(seed=6, n=12))
 
 
-def test_nothing_is_removed_that_suffix_sorting_did_not_find(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "_sorted_cells", lambda raw: spark.createDataFrame([], substring_dedup.SPANS_TYPE))
-    assert substring_dedup.deduplicated(documents(spark, passages(n=20))).filter("n_removed > 0").count() == 0
+@pytest.mark.parametrize("group", [4_000, 3, 8])
+def test_nothing_is_removed_that_suffix_sorting_did_not_find(spark, monkeypatch, group):
+    """With the comparison of neighbours in the sorted order switched off, also for exact copies and wide grams."""
+    monkeypatch.setattr(substring_dedup, "GROUP", group)
+    reach = substring_dedup._reach
+
+    def blind(raw, groups, longest):
+        order, shared = reach(raw, groups, longest)
+        return order, np.full(len(shared), -1)
+
+    rows = passages(n=20) + [(900, "copy " * 99), (901, "copy " * 99), (902, "copy " * 99)]
+    find = substring_dedup._twin_starts
+    with monkeypatch.context() as m:
+        m.setattr(substring_dedup, "_sorted_spans", _blind_spans)
+        assert substring_dedup.deduplicated(documents(spark, rows)).filter("n_removed > 0").count() == 0
+    assert len(find([b"x" * 200, b"x" * 200], np.zeros(2, int), np.zeros(2, int), np.zeros(2, int))) == 2
+    monkeypatch.setattr(substring_dedup, "_reach", blind)
+    assert len(find([b"x" * 200, b"x" * 200], np.zeros(2, int), np.zeros(2, int), np.zeros(2, int))) == 0
+
+
+def _blind_spans(batches):
+    """_sorted_spans in a worker where neighbours never share a byte."""
+    reach = substring_dedup._reach
+    substring_dedup._reach = lambda *a: (lambda order, shared: (order, np.full(len(shared), -1)))(*reach(*a))
+    try:
+        yield from _sorted_spans(batches)
+    finally:
+        substring_dedup._reach = reach
+
+
+_sorted_spans = substring_dedup._sorted_spans
 
 
 @pytest.mark.parametrize("doc_id", [None, 7])

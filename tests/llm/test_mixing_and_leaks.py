@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, mixing
+from tallyframe.llm import decontaminate, mixing, near_dedup
 from tests.llm.helpers import SF, contained, documents, hostile, plain_words
 
 
@@ -124,6 +124,31 @@ def test_contained_items_equal_brute_force(spark, monkeypatch, block):
     assert {tuple(r) for r in found.collect()} == contained(docs, rows)
 
 
+def test_items_shorter_than_a_shingle_are_found_inside_texts(spark):
+    docs = [(1, "what is the capital of france today"), (2, "capital  of\nfrance"), (3, "capital of"), (4, "the of capital france"), (5, "paris"), (6, "in paris, yes"), (7, "so Paris paris it is"), (8, None)]
+    rows = [(1, "capital of france"), (2, "paris"), (3, "so paris"), (4, "is the capital of"), (5, "capital of france")]
+    found = decontaminate.contained_items(documents(spark, docs), items(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(1, 1), (1, 4), (1, 5), (2, 1), (2, 5), (5, 2), (7, 2)]
+    assert {(r["n_shingles"], r["n_shared"]) for r in found} == {(1, 1)}
+
+
+def test_rows_of_one_id_have_one_result_an_item(spark):
+    """Equal rows give one; parts of an item in two rows of an id do not add up; without an id alike."""
+    text = " ".join(f"w{i}" for i in range(14))
+    w = text.split()
+    docs = [(1, text), (1, text), (1, "x " + " ".join(w[:13])), (2, " ".join(w[:9])), (2, " ".join(w[5:])), (None, text), (None, text)]
+    found = decontaminate.contained_items(documents(spark, docs), items(spark, [(7, text)])).collect()
+    assert sorted(map(tuple, found), key=repr) == [(1, 7, 10, 10), (None, 7, 10, 10)]
+
+
+def test_words_made_to_collide_are_told_apart(spark):
+    """Words of 1,024 letters after Thue and Morse, whose polynomial hashes modulo a power of two are equal."""
+    word = ["".join("ab"[bin(i).count("1") % 2 ^ k] for i in range(1024)) for k in (0, 1)]
+    docs = documents(spark, [(1, word[0]), (2, f"a b {word[0]} c d"), (3, f"a b {word[1]} c d")])
+    assert decontaminate.contained_items(docs, items(spark, [(1, word[1]), (2, f"a b {word[0]} c d")])).count() == 2
+    assert {c for _, c in map(tuple, near_dedup.near_classes(docs).collect())} == {1, 2, 3}
+
+
 def test_leaks_of_hostile_documents(spark):
     rows = [(1, " ".join(f"word{i}" for i in range(20, 60))), (2, "one two")]
     df = documents(spark, hostile())

@@ -82,6 +82,27 @@ def test_cascade_judges_a_rule_on_what_the_others_let_through():
     assert quality_rules.best_order({}, patterns) == []
 
 
+def test_costs_and_order_are_the_same_again(spark):
+    """A rule that matches backwards over whole texts against rules on counts."""
+    text = "some words of a line, and more of them " * 60
+    sample = quality_rules.with_base(spark.range(400).select(F.concat(F.lit(text), "id").alias("text"))).repartition(4).cache()
+    slow = quality_rules.Rule("slow", F.length(F.regexp_replace("text", "(\\w+) (\\w+)$|[^\\p{Lu}]", "")) < 0)
+    rules = [slow, *[quality_rules.Rule(f"free{i}", F.col("n_words") < i) for i in range(3)]]
+    first, again = (quality_rules.row_costs(sample, rules, 400) for _ in range(2))
+    assert first["slow"] > 4 * quality_rules.LEAST_COST and max(first[f"free{i}"] for i in range(3)) < first["slow"]
+    order = [quality_rules.best_order(c, [(frozenset({"slow"}), 40), (frozenset({"free1"}), 30), (frozenset({"free2"}), 5), (frozenset(), 300)]) for c in (first, again)]
+    assert order[0] == order[1] and order[0][:2] == ["free1", "free2"]
+    sample.unpersist()
+
+
+def test_tables_and_stutters_are_rejected(spark):
+    r = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+    rows = [(1, " ".join(r)), (2, " | ".join(" ".join(r[i : i + 2]) for i in range(0, 12, 2))), (3, " ".join(w for w in r[:6] for _ in range(2))), (4, " ".join([*r, *r[:1], *r[:1], *r[:1]]))]
+    df = quality_rules.with_base(documents(spark, rows))
+    got = {x["doc_id"]: x["failed_rule"] for x in quality_rules.apply_cascade(df, quality_rules.default_rules(), F.col("base_failed")).collect()}
+    assert got == {1: None, 2: "bars", 3: "stutter", 4: None}
+
+
 def test_sample_reads_some_files_only(spark, tmp_path):
     path = f"file://{tmp_path}/many files"
     spark.range(100).withColumn("text", F.lit("x")).repartition(10).write.parquet(path)
@@ -290,3 +311,12 @@ def test_classifier_cases(spark):
     assert len(scores) == len(hostile()) and all(0 <= s <= 1 for s in scores)
     assert gam.with_score(documents(spark, []), model).count() == 0
     assert gam.fit_quality(documents(spark, []), labels).score(gam.features_of(["x"]))[0] == 0.5
+
+
+def test_rows_of_a_labelled_id_are_bounded(spark, monkeypatch):
+    sizes = []
+    fit = gam.AdditiveModel.fit
+    monkeypatch.setattr(gam.AdditiveModel, "fit", lambda self, x, y: sizes.append(len(x)) or fit(self, x, y))
+    rows = spark.range(500).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    gam.fit_quality(rows, spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, label int"), max_rows=20)
+    assert sizes == [20]
