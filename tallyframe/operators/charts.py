@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from typing import TYPE_CHECKING
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import label_of, quoted
-from tallyframe.operators.ranks import quantiles, ranked, weighted_corr
+from tallyframe.operators.ranks import kept, quantiles_of, rank_gram, released, value_counts
 
 if TYPE_CHECKING:
     from tallyframe.operators.dataset import SurveyData
@@ -112,9 +113,14 @@ class PlotAccessor:
         d = self.data
         group = F.lit("all") if by is None else quoted(by)
         rows = d.frame.select(group.alias("g"), d.analysis._number(column).alias("x")).dropna()
-        quartiles = quantiles(rows, "x", "g", (0.25, 0.5, 0.75)).join(rows.groupBy("g").agg(F.count("*").alias("n")), "g")
+        counts = kept(value_counts(rows, "x", "g"))  # rows are read once; all else comes from the counts
+        quartiles = quantiles_of(counts, "x", "g", (0.25, 0.5, 0.75))
         low, high = F.col("q")[0] - 1.5 * (F.col("q")[2] - F.col("q")[0]), F.col("q")[2] + 1.5 * (F.col("q")[2] - F.col("q")[0])
-        inside = rows.join(quartiles, "g").groupBy("g", "q", "n").agg(F.min(F.when(F.col("x") >= low, F.col("x"))).alias("lower"), F.max(F.when(F.col("x") <= high, F.col("x"))).alias("upper"), F.count_if((F.col("x") < low) | (F.col("x") > high)).alias("outliers"))
+        out = (F.col("x") < low) | (F.col("x") > high)
+        inside = counts.join(quartiles, "g").groupBy("g", "q").agg(
+            F.sum("n").cast("long").alias("n"), F.min(F.when(F.col("x") >= low, F.col("x"))).alias("lower"), F.max(F.when(F.col("x") <= high, F.col("x"))).alias("upper"),
+            F.sum(F.when(out, F.col("n")).otherwise(F.lit(0.0))).cast("long").alias("outliers"),
+        )
         label = F.col("g").cast("string") if by is None else label_of(F.col("g"), d.labels_of(by))
         out = inside.orderBy("g").select(label.alias("group"), "lower", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "upper", "outliers", "n")
         return BoxChart(d.label_of(column), out)
@@ -128,9 +134,11 @@ class PlotAccessor:
             means = long.groupBy("variable", "g").agg(F.avg("x").alias("value"))
             return HeatChart(f"Means by {d.label_of(by)}", means.orderBy("variable", "g").select("variable", label_of(F.col("g"), d.labels_of(by)).alias("group"), "value"))
         names = [f"c{i}" for i in range(len(columns))]
-        rows = ranked(d.frame.select([d.analysis._number(c).alias(n) for c, n in zip(columns, names, strict=True)]), names)
-        pairs = [F.struct(F.lit(d.label_of(a)).alias("variable"), F.lit(d.label_of(b)).alias("other"), weighted_corr(x, y).alias("value")) for a, x in zip(columns, names, strict=True) for b, y in zip(columns, names, strict=True)]
-        return HeatChart("Spearman correlations", rows.agg(F.array(*pairs).alias("p")).select(F.inline("p")))
+        with released():
+            n, gram = rank_gram(d.frame.select([d.analysis._number(c).alias(n) for c, n in zip(columns, names, strict=True)]), names)
+        spread = np.sqrt(np.diag(gram))
+        rows = [(d.label_of(a), d.label_of(b), float(gram[i, j] / (spread[i] * spread[j])) if n and spread[i] > 0 and spread[j] > 0 else None) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+        return HeatChart("Spearman correlations", d.frame.sparkSession.createDataFrame(rows, "variable string, other string, value double"))
 
     def scatter(self, x: str, y: str, hue: str | None = None, points: int = 5_000, seed: int = 1) -> ScatterChart:
         """A random sample of points for drawing; the trend, without hue, is fitted to all rows."""
@@ -141,6 +149,9 @@ class PlotAccessor:
             got = rows.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count("*").alias("n")).first()
             trend = got.asDict()
         n = rows.count()
-        # the points of least hash: no part of the data is favoured, and a rerun draws the same ones
-        sample = rows if n <= points else rows.withColumn("_h", F.xxhash64(F.lit(seed), *rows.columns, F.monotonically_increasing_id())).orderBy("_h").limit(points).drop("_h")
+        # the points of least hash: no part of the data is favoured, and a rerun draws the same ones, however rows are dealt;
+        # the copies of a point are told apart by their number
+        copies = F.explode(F.sequence(F.lit(1), F.least(F.col("_n"), F.lit(points)))).alias("_k")
+        numbered = rows.groupBy(*rows.columns).agg(F.count("*").cast("int").alias("_n")).select(*[quoted(c) for c in rows.columns], copies)
+        sample = rows if n <= points else numbered.orderBy(F.xxhash64(F.lit(seed), *numbered.columns), *numbered.columns).limit(points).drop("_k")
         return ScatterChart(f"{d.label_of(y)} against {d.label_of(x)}", sample, trend)

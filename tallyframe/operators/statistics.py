@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.columns import label_of, number, quoted
 from tallyframe.functions.distributions import normal_quantile
 from tallyframe.operators import hypothesis
-from tallyframe.operators.ranks import group_rank_sums, mid_ranks_of, quantiles
+from tallyframe.operators.ranks import group_rank_sums, kept, mid_ranks_of, quantiles, released
 
 if TYPE_CHECKING:
     from tallyframe.operators.dataset import SurveyData
@@ -51,7 +51,8 @@ class DataAnalysis:
     def median(self, column: str) -> float:
         """Exact, interpolated; 0.0 for no values."""
         rows = self.data.frame.select(self._number(column).alias("x"), F.lit(0).alias("all"))
-        got = quantiles(rows, "x", "all", (0.5,)).first()
+        with released():
+            got = quantiles(rows, "x", "all", (0.5,)).first()
         return 0.0 if got is None else float(got["q"][0])
 
     def grouped_mean(self, column: str, by: str, weighted: bool = False, labels: bool = False) -> DataFrame:
@@ -198,6 +199,10 @@ class DataAnalysis:
         return group_rank_sums(rows, "v", "g")
 
     def kruskal(self, column: str, group: str) -> dict:
+        with released():
+            return self._kruskal(column, group)
+
+    def _kruskal(self, column: str, group: str) -> dict:
         groups, n, ties = self._rank_groups(column, group)
         sums = groups.agg(F.count("*").alias("k"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("rr")).first()
         if sums["k"] < 2:
@@ -206,8 +211,9 @@ class DataAnalysis:
         return {"statistic": h, "p_value": p, "groups": sums["k"]}
 
     def mannwhitney(self, column: str, group: str) -> dict:
-        groups, n, ties = self._rank_groups(column, group)
-        groups = sorted(map(tuple, groups.limit(3).collect()))
+        with released():
+            groups, n, ties = self._rank_groups(column, group)
+            groups = sorted(map(tuple, groups.limit(3).collect()))
         if len(groups) != 2:
             raise ValueError("Mann-Whitney needs exactly two groups")
         u, p = hypothesis.mann_whitney(groups, n, ties)
@@ -215,8 +221,12 @@ class DataAnalysis:
 
     def spearman(self, x: str, y: str) -> dict:
         """Correlation of mid-ranks over complete rows; joint counts, not rows, are joined with ranks."""
+        with released():
+            return self._spearman(x, y)
+
+    def _spearman(self, x: str, y: str) -> dict:
         rows = self.data.frame.select(self._number(x).alias("x"), self._number(y).alias("y")).dropna()
-        joint = rows.groupBy("x", "y").agg(F.count("*").cast("double").alias("m")).persist(StorageLevel.MEMORY_AND_DISK)
+        joint = kept(rows.groupBy("x", "y").agg(F.count("*").cast("double").alias("m")))
         rx, ry = (mid_ranks_of(joint.groupBy(c).agg(F.sum("m").alias("n")), c).select(c, F.col("midrank").alias(f"r{c}")) for c in ("x", "y"))
         m = lambda e: F.sum(F.col("m") * e)
         a, b = F.col("rx"), F.col("ry")
@@ -246,7 +256,11 @@ class DataAnalysis:
 
     def anova(self, column: str, group: str) -> dict:
         """Sums over the groups are taken in Spark, whatever their number."""
-        per = self._moments(column, group).persist(StorageLevel.MEMORY_AND_DISK)
+        with released():
+            return self._anova(kept(self._moments(column, group)))
+
+    @staticmethod
+    def _anova(per: DataFrame) -> dict:
         whole = per.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("x"), F.sum((F.col("n") - 1) * F.coalesce("v", F.lit(0.0))).alias("within")).first()
         if whole["k"] < 2:
             raise ValueError("an analysis of variance needs two groups or more")

@@ -13,17 +13,16 @@ from typing import TYPE_CHECKING
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyframe.functions.columns import half_even, label_of, quoted
 from tallyframe.operators import hypothesis
-from tallyframe.operators.ranks import quantiles
+from tallyframe.operators.ranks import kept, quantiles, running_sums
 
 if TYPE_CHECKING:
     from tallyframe.operators.dataset import SurveyData
 
-#: Rows of a table that may be rendered.
-MOST_ROWS = 10_000
+#: Rows of a table that may be rendered, and columns that values may head.
+MOST_ROWS, MOST_COLUMNS = 10_000, 1_000
 
 
 def markdown_of(frame: pd.DataFrame) -> str:
@@ -97,26 +96,35 @@ class FreqTable(SurveyTable):
         super().__init__(data, data.label_of(column))
         self.column, self.exclude_missing, self.sort = column, exclude_missing, sort
 
-    def _rows(self) -> DataFrame:
+    @cached_property
+    def _counts(self) -> DataFrame:
+        """v, n and whole: a row a value, and one (whole = 1) of all rows. One pass over the data, kept."""
         rows = self.data.frame.select(quoted(self.column).alias("v"))
-        return rows.filter("v is not null") if self.exclude_missing else rows
+        rows = rows.filter("v is not null") if self.exclude_missing else rows
+        return kept(rows.rollup("v").agg(F.count("*").alias("n"), F.grouping_id().alias("whole")))
+
+    @cached_property
+    def _total(self) -> int:
+        row = self._counts.filter("whole = 1").first()
+        return row["n"] if row else 0
 
     def to_df(self) -> DataFrame:
-        counts = self._rows().groupBy("v").agg(F.count("*").alias("n")).withColumn("l", label_of(F.col("v"), self.data.labels_of(self.column)))
+        counts = self._counts.filter("whole = 0").drop("whole").withColumn("l", label_of(F.col("v"), self.data.labels_of(self.column)))
         order = {"value": [F.asc_nulls_last("v")], "freq": [F.desc("n"), F.asc_nulls_last("v")], "label": [F.asc("l"), F.asc_nulls_last("v")]}[self.sort]
-        whole, running = Window.partitionBy(), Window.orderBy(*order)  # over a row a value
-        total = F.sum("n").over(whole)
-        table = counts.withColumn("p", half_even(F.col("n") / total * 100, 1)).withColumn("at", F.row_number().over(running))
-        table = table.withColumn("c", half_even(F.sum("p").over(running.rowsBetween(Window.unboundedPreceding, 0)), 1))
-        body = table.select("at", F.col("v").cast("string").alias("Value"), F.col("l").alias("Label"), "n", F.col("p").alias("%"), F.col("c").alias("Cumulative %"))
-        last = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n")).select(
-            F.lit((1 << 31) - 1).alias("at"), F.lit("").alias("Value"), F.lit("Total").alias("Label"), "n", F.lit(100.0).alias("%"), F.lit(100.0).alias("Cumulative %")
-        )
-        return body.unionByName(last).orderBy("at").drop("at")
+        # tenths of a percent are summed as whole numbers, so the order of adding does not matter
+        shares = counts.withColumn("p", half_even(F.col("n") / F.lit(float(max(self._total, 1))) * 100, 1)).withColumn("t", F.round(F.col("p") * 10).cast("long"))
+        table = running_sums(shares, order, "t", "c")
+        columns = lambda v, label, n, p, c, last: [F.lit(last).alias("last"), v.alias("v"), label.alias("l"), n.alias("n"), p.alias("p"), c.alias("c")]
+        body = table.select(columns(F.col("v"), F.col("l"), F.col("n"), F.col("p"), F.col("c") / 10, 0))
+        none = F.lit(None).cast(counts.schema["v"].dataType)
+        total = self.data.frame.sparkSession.range(1).select(columns(none, F.lit("Total"), F.lit(self._total).cast("long"), F.lit(100.0), F.lit(100.0), 1))
+        shown = F.when(F.col("last") == 1, F.lit("")).otherwise(F.col("v").cast("string")).alias("Value")
+        ordered = body.unionByName(total).orderBy("last", *order)
+        return ordered.select(shown, F.col("l").alias("Label"), "n", F.col("p").alias("%"), F.col("c").alias("Cumulative %"))
 
     @cached_property
     def stats(self) -> dict:
-        return {"Variable": self.data.label_of(self.column), "N valid": self._rows().count()}
+        return {"Variable": self.data.label_of(self.column), "N valid": self._total}
 
 
 class CrossTable(SurveyTable):
@@ -130,31 +138,56 @@ class CrossTable(SurveyTable):
         self.row, self.col, self.pct, self.test = row, col, pct, test
 
     @cached_property
-    def _complete(self) -> SurveyData:
-        return self.data.with_frame(self.data.frame.filter(quoted(self.row).isNotNull() & quoted(self.col).isNotNull()))
+    def _sums(self) -> DataFrame:
+        """r, c, n and level: cells (0), totals of rows (1) and of columns (2), and all (3). One pass over the data, whose cells
+        are counted before they are added up; kept."""
+        rows = self.data.frame.select(quoted(self.row).alias("r"), quoted(self.col).alias("c")).dropna()
+        cells = rows.groupBy("r", "c").agg(F.count("*").alias("n"))
+        return kept(cells.cube("r", "c").agg(F.sum("n").alias("n"), F.grouping_id().cast("int").alias("level")))
+
+    def _level(self, level: int, n: str, *by: str) -> DataFrame:
+        return self._sums.filter(F.col("level") == level).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("n").alias(n))
+
+    def cells(self) -> DataFrame:
+        """row, column, n and percent of every occupied cell, with `level` 0, and of the totals of rows (1), columns (2) and all
+        (3), whose row or column is null. However many values there are; percentages are those of `pct`, null for none."""
+        of = {"none": None, "row": (1, "r"), "col": (2, "c"), "total": (3,)}[self.pct]
+        rows = self._sums
+        if of is None:
+            rows = rows.withColumn("of", F.lit(None).cast("long"))
+        elif of == (3,):
+            rows = rows.crossJoin(F.broadcast(self._level(3, "of")))  # one row
+        else:
+            rows = rows.join(self._level(of[0], "of", of[1]), F.col(of[1]) == F.col(f"_{of[1]}"), "left")
+        return rows.select(F.col("r").alias("row"), F.col("c").alias("column"), "n", half_even(F.col("n") / F.col("of") * 100, 1).alias("percent"), "level")
 
     def to_df(self) -> DataFrame:
-        values = self._complete.analysis._pivot_values(self.col, nulls=False)
+        """A column a value, in order, and a total row; `cells` has tables of more than MOST_COLUMNS values."""
+        totals = {r["_c"]: r["n"] for r in self._level(2, "n", "c").limit(MOST_COLUMNS + 1).collect()}
+        if len(totals) > MOST_COLUMNS:
+            raise ValueError(f"{self.col} has more than {MOST_COLUMNS} values; it cannot head a table's columns, see cells()")
+        values, whole = sorted(totals), sum(totals.values())
         labels = self.data.labels_of(self.col)
         names = [str(labels.get(v, v)) for v in values]
-        rows = self.data.frame.select(quoted(self.row).alias("r"), quoted(self.col).alias("c")).dropna()
-        counts = rows.groupBy("r").agg(*[F.count_if(F.col("c") == F.lit(v)).alias(f"c{i}") for i, v in enumerate(values)], F.count("*").alias("t"))
-        whole = Window.partitionBy()
+        cell = [F.coalesce(F.sum(F.when(F.col("c") == F.lit(v), F.col("n"))), F.lit(0)).alias(f"c{i}") for i, v in enumerate(values)]
+        rows = self._sums.filter("level in (0, 1)").groupBy("r").agg(*cell, F.max(F.when(F.col("level") == 1, F.col("n"))).alias("t"))
 
-        def cell(i: int) -> Column:
+        def shown(i: int, v) -> Column:
             n = F.col(f"c{i}")
             if self.pct == "none":
                 return n.cast("double")
-            of = {"row": F.col("t"), "col": F.sum(n).over(whole), "total": F.sum("t").over(whole)}[self.pct]
-            return half_even(n / of * 100, 1)
+            return half_even(n / {"row": F.col("t"), "col": F.lit(float(totals[v])), "total": F.lit(float(whole))}[self.pct] * 100, 1)
 
         head = self.data.label_of(self.row) if self.data.labels_of(self.row) else self.row
-        # shares are of the whole table, so they are taken before the total row is added
-        body = counts.select("r", label_of(F.col("r"), self.data.labels_of(self.row)).alias(head), *[cell(i).alias(n) for i, n in enumerate(names)], F.col("t").cast("double").alias("Total"))
-        ranked = body.withColumn("at", F.row_number().over(Window.orderBy("r"))).drop("r")
-        sums = [F.sum(f"c{i}").cast("double").alias(n) for i, n in enumerate(names)]
-        last = counts.agg(*sums, F.sum("t").cast("double").alias("Total")).withColumns({head: F.lit("Total"), "at": F.lit((1 << 31) - 1)})
-        return ranked.unionByName(last).orderBy("at").drop("at")
+        body = rows.select(
+            F.lit(0).alias("last"), "r", label_of(F.col("r"), self.data.labels_of(self.row)).alias(head),
+            *[shown(i, v).alias(n) for i, (v, n) in enumerate(zip(values, names, strict=True))], F.col("t").cast("double").alias("Total"),
+        )
+        sums = [F.lit(float(totals[v])).alias(n) for v, n in zip(values, names, strict=True)]
+        last = self.data.frame.sparkSession.range(1).select(
+            F.lit(1).alias("last"), F.lit(None).cast(rows.schema["r"].dataType).alias("r"), F.lit("Total").alias(head), *sums, F.lit(float(whole)).alias("Total")
+        )
+        return body.unionByName(last).orderBy("last", "r").drop("last", "r")
 
     @cached_property
     def stats(self) -> dict:

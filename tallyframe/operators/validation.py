@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame
@@ -86,19 +85,27 @@ def _checks(data: SurveyData) -> list[tuple[str, str, str, Column, Column]]:
     return out
 
 
+def _offending(name: str, values: Column, known: list) -> Column:
+    """(variable, value) of the values of a list that are not known."""
+    out = F.filter(values, lambda x: x.isNotNull() & ~x.isin(known)).cast("array<string>")
+    return F.transform(out, lambda x: F.struct(F.lit(name).alias("variable"), x.alias("value")))
+
+
 def label_offenders(data: SurveyData) -> DataFrame:
-    """(variable, value, n): every value that its variable gives no label, list items one by one, with the rows that hold it."""
-    parts = []
+    """(variable, value, n): every value that its variable gives no label, list items one by one, with the rows that hold it.
+
+    All variables are laid out one below the other and counted together, in one pass."""
+    odd = []
     for name, v in data.variables.items():
         if name not in data.frame.columns or v.scale not in ("nominal", "ordinal") or not v.labels:
             continue
-        listed = isinstance(data.type_of(name), T.ArrayType)
-        one = F.explode(F.array_distinct(quoted(name))) if listed else quoted(name)
-        values = data.frame.select(one.alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("n"))
         known = [c for c in (*v.labels, *v.missing_values) if c is not None]
-        parts.append(values.filter(~F.col("value").isin(known)).select(F.lit(name).alias("variable"), F.col("value").cast("string").alias("value"), "n"))
-    empty = data.frame.sparkSession.createDataFrame([], "variable string, value string, n long")
-    return reduce(DataFrame.unionByName, parts) if parts else empty
+        values = F.array_distinct(quoted(name)) if isinstance(data.type_of(name), T.ArrayType) else F.array(quoted(name))
+        odd.append(_offending(name, values, known))
+    if not odd:
+        return data.frame.sparkSession.createDataFrame([], "variable string, value string, n long")
+    found = data.frame.select(F.explode(F.flatten(F.array(*[F.coalesce(o, F.array().cast("array<struct<variable:string,value:string>>")) for o in odd]))).alias("x"))
+    return found.groupBy("x.variable", "x.value").agg(F.count("*").alias("n"))
 
 
 def validate_frame(data: SurveyData) -> list[Issue]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.columns import piped
 from tallyframe.functions.expressions import AND, NOT, OR, Expression, routed_column
 from tallyframe.functions.rules import FilterRule
+from tallyframe.functions.sketches import distinct_sketches, merged_counts, standard_error
 from tallyframe.operators import weights
 from tallyframe.operators.dataset import SurveyData, recode_in_place
 from tallyframe.operators.validation import issues_frame, label_offenders
@@ -93,11 +94,13 @@ def routing_nulls(spark, d):
 
 
 def expression_text(spark, d):
-    """A predicate through its JSON form, as text, with its variables, and read for three rows of answers."""
-    age, role = Variable("age", "ratio"), Variable("role", "nominal")
-    rule = Expression.from_dict(AND(age >= 45, NOT(role.isin(1, 2))).to_dict())
-    answers = [{"age": 50, "role": 3}, {"age": 44, "role": 3}, {"age": 50, "role": 1}]
-    return one_row(spark, variables=",".join(sorted(rule.variables())), met="".join(str(int(rule.evaluate(a))) for a in answers))
+    """A predicate through its JSON form, as text, with its variables, compiled and row by row, over all parts."""
+    size, brand = Variable("p_size", "ratio"), Variable("p_brand", "nominal")
+    rule = Expression.from_dict(AND(size >= 25, NOT(brand.isin("Brand#11", "Brand#12"))).to_dict())
+    data = survey(spark, d, "part", size, brand).derive(name="met", expression=rule)
+    judged = FilterRule(rule.evaluate, "the same rule").apply(data.frame, ["p_size", "p_brand"]).select("p_partkey", F.lit(1).alias("read"))
+    rows = data.frame.join(judged, "p_partkey", "left").select("p_partkey", "met", F.coalesce("read", F.lit(0)).alias("read"))
+    return rows.withColumns({"variables": F.lit(",".join(sorted(rule.variables()))), "text": F.lit(rule.to_text())})
 
 
 def recode_kept(spark, d):
@@ -108,13 +111,18 @@ def codebook_rows(spark, d):
     segment = Variable("band", "ordinal", "Band", role="derived", dtype="int", labels={1: "3-20", 2: "20-40"})
     data = survey(spark, d, "part", SIZE).recode("p_size", into="band", bins=[3, 20, 40], label="Band")
     assert data.variables["band"] == segment
-    return data.codebook()
+    counts = data.frame.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in ("p_size", "band")])))
+    counts = counts.groupBy("name").agg(F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("missing_rows"))
+    return data.codebook().join(counts, "name")
 
 
 def dictionary_kept(spark, d):
-    """Metadata written as JSON and read again; it stays on the driver, so a folder of its own there will do."""
+    """Metadata written as JSON, read again and applied to all parts; it stays on the driver, so a folder of its own there will do."""
     path = files.DictionaryWriter().write(VariableMap([SIZE]), f"{tempfile.mkdtemp()}/dictionary.json")
-    return SurveyData(table(spark, d, "part"), files.DictionaryReader().read(path)).codebook().select("name", "scale", "missing", "valid_range")
+    data = SurveyData(table(spark, d, "part"), files.DictionaryReader().read(path))
+    low, high = data.variables["p_size"].valid_range
+    size = F.col("p_size")
+    return data.apply_missing_values().frame.select("p_partkey", size.cast("long").alias("p_size"), (size.isNotNull() & ~size.between(low, high)).alias("outside"))
 
 
 def validate_more(spark, d):
@@ -180,6 +188,28 @@ def store_page(spark, d):
     return rounded(store.get_responses(survey_id, asked, limit=40, offset=5).frame.select(F.col("_response_id").cast("long").alias("id"), "kind", "value"))
 
 
+def store_deleted(spark, d):
+    """Responses of some users deleted from a store; what is left, and the files that were left alone."""
+    store, survey_id, asked = _store(spark, d)
+    gone = table(spark, d, "events").filter("event_id % 1000 < 3").select(F.col("event_id").cast("string").alias("id"))
+    before = store.count(survey_id)
+    rewritten = store.delete(survey_id, gone)
+    rows = parsed(store.responses(survey_id), asked).groupBy("kind").agg(F.count("*").alias("n"), F.min(F.col("_response_id").cast("long")).alias("least"))
+    return rows.withColumns({"before": F.lit(before).cast("long"), "rewritten": F.lit(rewritten > 0)})
+
+
+def distinct_sketched(spark, d):
+    """Different values a variable and week from daily sketches, beside the exact ones, and whether they are within four
+    standard errors (or two) of them."""
+    events = table(spark, d, "events")
+    days = distinct_sketches(events, ["user_id", "event_id", "value"], day=F.to_date("ts"))
+    weeks = merged_counts(days.withColumn("week", F.date_trunc("week", "day").cast("date")), "week")
+    exact = events.groupBy(F.date_trunc("week", "ts").cast("date").alias("week")).agg(*[F.count_distinct(c).alias(c) for c in ("user_id", "event_id", "value")])
+    exact = exact.select("week", F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("exact")) for c in ("user_id", "event_id", "value")])))
+    near = F.abs(F.col("estimate") - F.col("exact")) <= F.greatest(F.lit(2.0), 4 * standard_error() * F.col("exact"))
+    return weeks.join(exact, ["variable", "week"]).select("variable", F.col("week").cast("string").alias("week"), "exact", near.alias("near"))
+
+
 def sheet_scan(spark, d):
     """Rows of a sheet: cells as text, short rows, empty cells."""
     keys = F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.col("o_shippriority") if "o_shippriority" in table(spark, d, "orders").columns else F.lit("")
@@ -291,7 +321,7 @@ QUERIES = {
     for f in (
         p_chi2, p_kruskal, p_anova, p_mannwhitney, p_ttest, p_spearman, means_test_line, freq_by_label, predicate_nulls, routing_nulls, expression_text, recode_kept,
         codebook_rows, dictionary_kept, validate_more, validate_lists, offending_labels, kept_by_function, text_piped, browse_page, responses_deleted, store_quotas,
-        store_page, sheet_scan, csv_round_trip, parquet_round_trip, json_round_trip, simulated_properties, stream_ingested, stream_quotas, windowed_types, weight_chosen,
+        store_page, store_deleted, distinct_sketched, sheet_scan, csv_round_trip, parquet_round_trip, json_round_trip, simulated_properties, stream_ingested, stream_quotas, windowed_types, weight_chosen,
     )
 }
 
@@ -330,12 +360,17 @@ SELECT doc_id, coalesce(q = 1, false)::INT AS eq, coalesce(q <> 1, true)::INT AS
 WITH j AS (SELECT d.doc_id, quality AS q, toxic AS t FROM documents d LEFT JOIN labels l USING (doc_id))
 SELECT doc_id, coalesce(q >= 1, false)::INT AS plain, coalesce(NOT q >= 1, false)::INT AS negated, (coalesce(t = 1, false) AND coalesce(q > 0, false))::INT AS "both",
   (q IS NOT NULL AND (q > 0 OR coalesce(t = 0, false)))::INT AS either, (coalesce(t = 0, false) OR coalesce(q > 0, false))::INT AS decided, coalesce(q <> 1, true)::INT AS unequal FROM j""",
-    "expression_text": "SELECT 'age,role' AS variables, '100' AS met",
+    "expression_text": """
+SELECT p_partkey, (p_size >= 25 AND p_brand NOT IN ('Brand#11', 'Brand#12'))::INT AS met, (p_size >= 25 AND p_brand NOT IN ('Brand#11', 'Brand#12'))::INT AS read, 'p_brand,p_size' AS variables,
+  '{p_size} >= 25 and not {p_brand} in [''Brand#11'', ''Brand#12'']' AS text FROM part""",
     "recode_kept": "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' ELSE o_orderstatus END AS o_orderstatus FROM orders",
     "codebook_rows": """
-SELECT 'p_size' AS name, 'Size' AS label, 'ratio' AS scale, NULL::VARCHAR AS dtype, NULL::VARCHAR AS role, '' AS labels, '1=One (refusal); 2=Two (dont_know)' AS missing, '3..40' AS valid_range, NULL::VARCHAR AS construct, NULL::VARCHAR AS description
-UNION ALL SELECT 'band', 'Band', 'ordinal', 'int', 'derived', '1=3-20; 2=20-40', '', NULL, NULL, NULL""",
-    "dictionary_kept": "SELECT 'p_size' AS name, 'ratio' AS scale, '1=One (refusal); 2=Two (dont_know)' AS missing, '3..40' AS valid_range",
+WITH b AS (SELECT p_size, CASE WHEN p_size >= 3 AND p_size < 20 THEN 1 WHEN p_size >= 20 AND p_size < 40 THEN 2 END AS band FROM part)
+SELECT 'p_size' AS name, 'Size' AS label, 'ratio' AS scale, NULL::VARCHAR AS dtype, NULL::VARCHAR AS role, '' AS labels, '1=One (refusal); 2=Two (dont_know)' AS missing, '3..40' AS valid_range, NULL::VARCHAR AS construct, NULL::VARCHAR AS description,
+  count(p_size) AS n, count(*) - count(p_size) AS missing_rows FROM b
+UNION ALL SELECT 'band', 'Band', 'ordinal', 'int', 'derived', '1=3-20; 2=20-40', '', NULL, NULL, NULL, count(band), count(*) - count(band) FROM b""",
+    "dictionary_kept": """
+SELECT p_partkey, CASE WHEN p_size NOT IN (1, 2) THEN p_size END::BIGINT AS p_size, coalesce(p_size NOT IN (1, 2) AND p_size NOT BETWEEN 3 AND 40, false) AS outside FROM part""",
     "validate_more": """
 SELECT 'DUPLICATE_ID' AS code, 'error' AS severity, 'l_orderkey' AS variable, count(*) AS count FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1) HAVING count(*) > 0
 UNION ALL SELECT 'MISSING_VALUE_WITHOUT_LABEL', 'warning', 'l_returnflag', 0 UNION ALL SELECT 'INVALID_WEIGHT', 'error', 'l_returnflag', 0
@@ -352,6 +387,11 @@ UNION ALL SELECT 'p_brand', p_brand, count(*) FROM part WHERE p_brand NOT IN ('B
 WITH q(value, target) AS (VALUES ('click', 10::BIGINT), ('view', 1000000000), ('none', 1)), c AS (SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1)
 SELECT 'kind' AS variable, value, target, coalesce(n, 0) AS current, coalesce(n, 0) < target AS open, (SELECT count(*) FROM events) AS stored FROM q LEFT JOIN c USING (value)""",
     "store_page": "SELECT event_id AS id, event_type AS kind, round(value, 6) AS value FROM events ORDER BY ts DESC, event_id::VARCHAR DESC LIMIT 40 OFFSET 5",
+    "store_deleted": """
+SELECT event_type AS kind, count(*) AS n, min(event_id) AS least, (SELECT count(*) FROM events) AS before, true AS rewritten FROM events WHERE event_id % 1000 >= 3 GROUP BY 1""",
+    "distinct_sketched": """
+WITH w AS (SELECT date_trunc('week', ts)::DATE AS week, * FROM events)
+SELECT unnest(['user_id', 'event_id', 'value']) AS variable, week::VARCHAR AS week, unnest([count(DISTINCT user_id), count(DISTINCT event_id), count(DISTINCT value)]) AS exact, true AS near FROM w GROUP BY week""",
     "sheet_scan": """
 SELECT o_orderkey::DOUBLE AS "order", CASE WHEN o_orderkey % 3 <> 0 THEN nullif(o_orderstatus, '') END AS status,
   CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 'n/a' ELSE (o_orderkey % 9)::VARCHAR END AS mixed, CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey % 4)::DOUBLE END AS level FROM orders""",

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from tallyframe.operators.variables import Variable
-from tallyframe.plans.common import one_row, renamed, rounded, survey
+from tallyframe.operators.dataset import SurveyData
+from tallyframe.operators.variables import Variable, VariableMap
+from tallyframe.plans.common import one_row, renamed, rounded, survey, table
 
 FLAGS = Variable("l_returnflag", "nominal", "Return flag", {"A": "Accepted", "N": "None", "R": "Returned"})
 STATUS = Variable("l_linestatus", "nominal", "Line status", {"F": "Filled", "O": "Open"})
@@ -60,6 +61,21 @@ def cross_table_percent(spark, d):
     return survey(spark, d, "lineitem", FLAGS, STATUS).report.crosstab("l_returnflag", "l_linestatus", pct="col").to_df().withColumnRenamed("Return flag", "flag")
 
 
+def cross_cells(spark, d):
+    """A cross table in long form, with all totals, whose columns are too many to head a table."""
+    return survey(spark, d, "lineitem", FLAGS).report.crosstab("l_returnflag", "l_partkey", pct="row").cells()
+
+
+#: Columns of the matrix: those of lineitem and remainders of its keys.
+_ITEMS = {**{c: c for c in ("l_quantity", "l_discount", "l_tax", "l_linenumber")}, **{f"m{p}": f"l_partkey % {p}" for p in (2, 3, 5, 7, 11, 13, 17, 19)}, **{f"s{p}": f"l_suppkey % {p}" for p in (2, 3, 5, 7, 11, 13, 17, 19)}}
+
+
+def spearman_matrix(spark, d):
+    """Rank correlations of 20 columns from one pass over the rows."""
+    rows = table(spark, d, "lineitem").selectExpr(*[f"{e} as {n}" for n, e in _ITEMS.items()])
+    return rounded(SurveyData(rows, VariableMap([])).plot.heatmap(list(_ITEMS)).data)
+
+
 def crosstab_chi2(spark, d):
     _, stats = survey(spark, d, "labels", QUALITY, TOXIC).analysis.crosstab("quality", "toxic", chi2=True, cramers_v=True, phi=True)
     return one_row(spark, chi2=stats["chi2"], dof=stats["dof"], cramers_v=stats["cramers_v"], phi=stats["phi"])
@@ -117,11 +133,16 @@ QUERIES = {
     f.__name__: f
     for f in (
         freq_returnflag, freq_by_frequency, freq_labels, freq_normalized, freq_weighted_priority, mean_weighted, grouped_mean, median_by_group,
-        crosstab_counts, crosstab_rowpct, crosstab_weighted, cross_table_percent, crosstab_chi2, crosstab_chi2_wide, banner_weighted, bar_counts,
+        crosstab_counts, crosstab_rowpct, crosstab_weighted, cross_table_percent, cross_cells, spearman_matrix, crosstab_chi2, crosstab_chi2_wide, banner_weighted, bar_counts,
         box_data, heatmap_means, heatmap_spearman, scatter_trend,
     )
 }
 
+_SPEARMAN = (
+    "WITH r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {e}) + (count(*) OVER (PARTITION BY {e}) - 1) / 2.0 AS {n}" for n, e in _ITEMS.items()) + " FROM lineitem) "
+    + "SELECT unnest([" + ", ".join(f"'{a}'" for a in _ITEMS for _ in _ITEMS) + "]) AS variable, unnest([" + ", ".join(f"'{b}'" for _ in _ITEMS for b in _ITEMS)
+    + "]) AS other, unnest([" + ", ".join(f"round(corr({a}, {b}), 6)" for a in _ITEMS for b in _ITEMS) + "]) AS value FROM r"
+)
 ORACLES = {
     "freq_returnflag": _FREQ.format(v="l_returnflag", t="lineitem", l=_FLAG.replace("l_returnflag", "v"), o="v"),
     "freq_by_frequency": _FREQ.format(v="o_orderpriority", t="orders", l="v", o="n DESC, v"),
@@ -138,6 +159,10 @@ ORACLES = {
 WITH c AS (SELECT {_FLAG} AS flag, count(*) FILTER (l_linestatus = 'F') AS f, count(*) FILTER (l_linestatus = 'O') AS o, count(*) AS t FROM lineitem GROUP BY 1)
 SELECT flag, round_even(f / sum(f) OVER () * 100, 1) AS Filled, round_even(o / sum(o) OVER () * 100, 1) AS Open, t::DOUBLE AS Total FROM c
 UNION ALL SELECT 'Total', sum(f)::DOUBLE, sum(o)::DOUBLE, sum(t)::DOUBLE FROM c""",
+    "cross_cells": """
+SELECT l_returnflag AS row, l_partkey AS "column", count(*) AS n, CASE WHEN GROUPING(l_returnflag) = 0 THEN round_even(count(*) / sum(CASE WHEN GROUPING(l_returnflag) = 0 AND GROUPING(l_partkey) = 0 THEN count(*) END)
+  OVER (PARTITION BY l_returnflag) * 100, 1) END AS percent, (2 * GROUPING(l_returnflag) + GROUPING(l_partkey))::INT AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_partkey)""",
+    "spearman_matrix": _SPEARMAN,
     "crosstab_chi2": _CHI2.format(r="quality", c="toxic", t="labels", term="pow(abs(obs - exp) - least(0.5, abs(obs - exp)), 2) / exp")
     + "SELECT round(chi2, 6) AS chi2, 1 AS dof, round(sqrt(chi2 / n), 6) AS cramers_v, round(sqrt(chi2 / n), 6) AS phi FROM x, k",
     "crosstab_chi2_wide": _CHI2.format(r="c_mktsegment", c="c_nationkey", t="customer", term="pow(obs - exp, 2) / exp")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyframe.sources.files import write_csv
+
 # What writing to an existing table may do.
 MODES = {"fail": "error", "replace": "overwrite", "append": "append"}
 
@@ -32,6 +34,16 @@ class Tables:
             raise ValueError(f"if_exists is one of {', '.join(MODES)}")
         df.write.mode(MODES[if_exists]).format("parquet").saveAsTable(self._full(name))
 
+    def export(self, name: str, kind: str, path: str) -> str:
+        """The whole table as a folder of CSV files (nested values as JSON text) or Parquet files."""
+        if kind not in ("csv", "parquet"):
+            raise ValueError("a table is exported as csv or parquet")
+        rows = self.read(name)
+        if kind == "csv":
+            return write_csv(rows, path)
+        rows.write.mode("overwrite").parquet(path)
+        return path
+
     def drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self._full(name)}")
 

@@ -244,3 +244,8 @@ def export(data: SurveyData, kind: str, path: str) -> str:
 def register_reader(suffix: str, reader: type) -> None:
     """Adds a reader class (constructed with the session, with a read method) for a file suffix."""
     READERS[suffix.lower()] = reader
+
+
+def register_writer(kind: str, writer: type) -> None:
+    """Adds a writer class (with a method write(data, path) that returns the path) for a kind of export."""
+    WRITERS[kind.lower()] = writer

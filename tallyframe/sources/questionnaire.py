@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -11,6 +11,8 @@ from tallyframe.functions.expressions import Expression
 from tallyframe.operators.variables import Variable, VariableMap
 
 PAGE_KINDS = ("content", "disqualification", "final", "redirect")
+#: Variables in the text of a condition.
+NAMED = re.compile(r"\{([A-Za-z_][A-Za-z0-9_]*)\}")
 
 
 def slugify(text: str) -> str:
@@ -93,7 +95,7 @@ class LikertScale(Question):
     left_label: str | None = None
     right_label: str | None = None
     na_option: Any = False
-    scales = ("ordinal", "interval")
+    scales = ("ordinal",)
 
     def __post_init__(self):
         super().__post_init__()
@@ -208,28 +210,63 @@ class Questionnaire:
         return list(dict.fromkeys(v.name for q in self.questions() for v in q.variables()))
 
     def conditions(self) -> Iterator[tuple[str, Any]]:
+        """(where, condition) of everything that is shown, hidden or led to under one; blocks within blocks are opened."""
+
+        def shown(where: str, x) -> Iterator[tuple[str, Any]]:
+            yield from ((where, c) for c in (x.show_if, x.hide_if) if c is not None)
+
+        def of(where: str, item) -> Iterator[tuple[str, Any]]:
+            if isinstance(item, Block):
+                yield from shown(f"{where}, block {item.title or 'without a title'}", item)
+                for x in item.items:
+                    yield from of(where, x)
+            else:
+                yield from shown(item.id, item)
+                for option in getattr(item, "choices", None) or []:
+                    if isinstance(option, Option):
+                        yield from shown(f"{item.id}, option {option.code}", option)
+
         for p in self.pages:
-            yield from ((p.name, c) for c in (p.show_if, p.hide_if, *(c for c, _ in p.next_if)))
-            for b in p.items:
-                if isinstance(b, Block):
-                    yield from ((p.name, c) for c in (b.show_if, b.hide_if))
-        for q in self.questions():
-            yield from ((q.id, c) for c in (q.show_if, q.hide_if))
+            yield from shown(p.name, p)
+            yield from ((p.name, c) for c, _ in p.next_if)
+            for x in p.items:
+                yield from of(p.name, x)
+        for x in self.blocks:
+            yield from of(self.title, x)
+
+    def _check_condition(self, where: str, c, names: Sequence[str]) -> None:
+        """Conditions are expressions or texts with variables in braces, know their variables, and can be tried on an answer
+        of 0 to everything."""
+        if isinstance(c, str):
+            if unknown := sorted(set(NAMED.findall(c)) - set(names)):
+                raise ValueError(f"{where}: unknown variables: {', '.join(unknown)}")
+            return
+        if not isinstance(c, Expression):
+            raise ValueError(f"{where}: a condition is an expression or a text")
+        try:
+            c.validate(names)
+            c.evaluate(dict.fromkeys(names, 0))
+        except Exception as e:
+            raise ValueError(f"{where}: {e}") from e
 
     def validate(self, strict: bool = False) -> None:
-        """Raises ValueError for repeated names, unknown targets or variables, unreachable pages and cycles."""
+        """Raises ValueError for repeated or blank names, unknown targets or variables, variables that the registry lacks or
+        defines otherwise, conditions that cannot be tried, unreachable pages and cycles; `strict` also for lint errors."""
         ids, names, pages = [q.id for q in self.questions()], [v.name for q in self.questions() for v in q.variables()], [p.name for p in self.pages]
         for what, found in (("question id", ids), ("variable", names), ("page", pages)):
             if twice := sorted({x for x in found if found.count(x) > 1}):
                 raise ValueError(f"{what} used twice: {', '.join(twice)}")
-        if self.variables is not None and set(self.variables) != set(names):
-            raise ValueError(f"the registry and the questions differ in {', '.join(sorted(set(self.variables) ^ set(names)))}")
+        if any(not p.strip() for p in pages):
+            raise ValueError("a page needs a name")
+        if self.variables is not None:  # it may know more variables than are asked
+            odd = sorted(v.name for q in self.questions() for v in q.variables() if v.name not in self.variables or self.variables[v.name] != v)
+            if odd:
+                raise ValueError(f"the registry lacks or defines otherwise: {', '.join(odd)}")
         for where, c in self.conditions():
-            if isinstance(c, Expression):
-                try:
-                    c.validate(names)
-                except ValueError as e:
-                    raise ValueError(f"{where}: {e}") from e
+            self._check_condition(where, c, names)
+        for script in self.scripts:
+            if script.target and script.target not in ids + pages:
+                raise ValueError(f"a script is for unknown {script.target}")
         for q in self.questions():
             if q.skip_to and q.skip_to not in ids + pages:
                 raise ValueError(f"{q.id}: skips to unknown {q.skip_to}")
@@ -241,8 +278,8 @@ class Questionnaire:
             raise ValueError(f"pages out of reach: {', '.join(sorted(unreached))}")
         if self._has_cycle(graph):
             raise ValueError("pages lead back to themselves")
-        if strict and (warnings := self.lint("strict")):
-            raise ValueError("; ".join(w.message for w in warnings))
+        if strict and (errors := [w for w in self.lint("strict") if w.severity == "error"]):
+            raise ValueError("; ".join(f"{w.code}: {w.message}" for w in errors))
 
     def graph(self) -> dict[str, set[str]]:
         """Page to pages that may come next: its targets and, unless it has a default, the following one. A page that ends the
@@ -287,15 +324,17 @@ class Questionnaire:
         return out + (self._strict_warnings() if level == "strict" else [])
 
     def _strict_warnings(self) -> list[LintWarning]:
+        """Of questions and variables. A scale that does not fit, or is not given where one is needed, and a choice whose
+        categories have no labels are errors, as their tables could not be made."""
         out = []
         for q in self.questions():
             if q.required and q.show_if is not None:
                 out.append(LintWarning("REQUIRED_CONDITIONAL", q.id, f"{q.id} is required and conditional"))
             for v in q.variables():
-                if q.scales and v.scale and v.scale not in q.scales:
-                    out.append(LintWarning("INCOMPATIBLE_QUESTION_SCALE", q.id, f"{q.id}: {v.name} is {v.scale}"))
-                if v.scale in ("nominal", "ordinal") and not v.labels and not getattr(q, "choices", None) and isinstance(q, (SingleChoice, MultiChoice)):
-                    out.append(LintWarning("CATEGORICAL_WITHOUT_LABELS", q.id, f"{v.name} has no labels"))
+                if q.scales and v.scale not in q.scales:
+                    out.append(LintWarning("INCOMPATIBLE_QUESTION_SCALE", q.id, f"{q.id}: the scale of {v.name} is {v.scale or 'not given'}, not {' or '.join(q.scales)}", "error"))
+                if isinstance(q, (SingleChoice, MultiChoice)) and v.scale in ("nominal", "ordinal") and not v.labels:
+                    out.append(LintWarning("CATEGORICAL_WITHOUT_LABELS", q.id, f"{q.id}: {v.name} has no labels", "error"))
         unused = set(self.variables or ()) - set(self.variable_names())
         return out + [LintWarning("UNUSED_VARIABLE", v, f"{v} belongs to no question") for v in sorted(unused)]
 

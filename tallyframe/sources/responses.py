@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +15,12 @@ from pyspark.sql.window import Window
 from tallyframe.functions.columns import quoted
 from tallyframe.operators.dataset import SurveyData
 from tallyframe.sources.questionnaire import LikertScale, Matrix, MultiChoice, NumericInput, OpenText, Question, Questionnaire, Quota, Ranking
+from tallyframe.sources.storage import Store
 
 OTHER = "__other__"
 # The stored tables.
 RESPONSES = "id string, survey_id string, payload_json string, submitted_at timestamp"
+RESPONSE_ROWS = "id string, payload_json string, submitted_at timestamp"
 COUNTERS = "survey_id string, variable string, value string, target long, current long"
 META = "survey_id string, title string, schema_json string, max_responses long, created_at timestamp"
 
@@ -139,7 +142,7 @@ class ResponseStore:
 
     def responses(self, survey: str) -> DataFrame:
         """All stored payloads (no cap), unordered; order by submitted_at and id where it matters."""
-        return self.spark.read.schema("id string, payload_json string, submitted_at timestamp").parquet(self.responses_path(survey))
+        return self.spark.read.schema(RESPONSE_ROWS).parquet(self.responses_path(survey))
 
     def get_responses(self, survey: str, questionnaire: Questionnaire, limit: int | None = None, offset: int = 0) -> SurveyData:
         """Typed responses; with a limit, that page of them, newest first."""
@@ -148,6 +151,45 @@ class ResponseStore:
             rows = rows.orderBy(F.desc("_submitted_at"), F.desc("_response_id")).offset(offset).limit(limit)
         return SurveyData(rows, questionnaire.variable_map(), questionnaire)
 
+    def delete(self, survey: str, ids: DataFrame) -> int:
+        """Deletes the responses whose id is listed in ids(id), and returns the number of files rewritten.
+
+        Only files that hold such a response are read and rewritten, all others stay as they are. The rest of these files is
+        first written aside; then a journal is left, the new files move in and the old ones go. A deletion that was
+        cut off is finished by the next one (or by finish_deletion). Not for two writers at once; a reader between the
+        two last steps may meet a response twice. Null ids match nothing.
+        """
+        self.finish_deletion(survey)
+        folder, store = self.responses_path(survey), Store(self.spark, self.responses_path(survey))
+        wanted = ids.select(F.col("id").cast("string").alias("id")).distinct()
+        rows = self.responses(survey)
+        hit = rows.select("id", F.col("_metadata.file_path").alias("file")).join(wanted, "id", "left_semi").select("file").distinct()
+        files = [r["file"] for r in hit.collect()]  # names only
+        if not files:
+            return 0
+        aside = f"_rewritten-{uuid.uuid4().hex}"
+        rest = self.spark.read.schema(RESPONSE_ROWS).parquet(*files).join(wanted, "id", "left_anti")
+        rest.write.parquet(f"{folder}/{aside}")
+        old = [unquote(f.rsplit("/", 1)[1]) for f in files]
+        store.write_text("_deletion.json", json.dumps({"aside": aside, "old": old}))
+        self.finish_deletion(survey)
+        return len(files)
+
+    def finish_deletion(self, survey: str) -> bool:
+        """Carries out what the journal of a deletion says, from wherever it was cut off."""
+        store = Store(self.spark, self.responses_path(survey))
+        if not store.exists("_deletion.json"):
+            return False
+        plan = json.loads(store.read_text("_deletion.json"))
+        for name in store.names(plan["aside"]):
+            if name.endswith(".parquet"):
+                store.move(f"{plan['aside']}/{name}", name)
+        for name in plan["old"]:
+            store.remove(name)
+        store.remove(plan["aside"])
+        store.remove("_deletion.json")
+        return True
+
     def count(self, survey: str) -> int:
         return self.responses(survey).count()
 
