@@ -18,7 +18,7 @@ from tallyframe.operators.variables import MissingValue, Variable, VariableMap
 from tallyframe.plans.common import one_row, renamed, rounded, survey, table
 from tallyframe.plans.queries_data import _RANKED, SIZE
 from tallyframe.sources import files
-from tallyframe.sources.questionnaire import LikertScale, Matrix, MultiChoice, NumericInput, OpenText, Page, Questionnaire, Quota, Ranking, SingleChoice
+from tallyframe.sources.questionnaire import Block, LikertScale, Matrix, MultiChoice, NumericInput, OpenText, Page, Questionnaire, Quota, Ranking, SingleChoice
 from tallyframe.sources.responses import ResponseStore, parsed, sheet_frame
 from tallyframe.streaming import ingest
 
@@ -259,7 +259,7 @@ def simulated_properties(spark, d):
     pages = [Page("start", [SingleChoice("Consent", consent)]), Page("demo", items, show_if=consent.eq(1)), Page("rest", more)]
     n = table(spark, d, "customer").count()
     rows = Questionnaire("Demo", pages).simulate(spark, n, seed=5).frame
-    flat = Questionnaire("Flat", blocks=[]).simulate(spark, n, seed=5).frame
+    flat = Questionnaire("Flat", blocks=[Block(items), SingleChoice("Consent", consent, show_if=age.lt(0))]).simulate(spark, n, seed=5).frame
     again = Questionnaire("Demo", pages).simulate(spark, n, seed=5).frame
     bad = lambda e: F.count_if(F.coalesce(F.expr(e), F.lit(True)))
     broken = rows.agg(
@@ -272,7 +272,9 @@ def simulated_properties(spark, d):
     )
     shown = rows.selectExpr("to_json(struct(*)) as j")
     changed = shown.exceptAll(again.selectExpr("to_json(struct(*)) as j")).agg(F.count("*").alias("changed"))
-    return broken.crossJoin(changed).withColumn("flat", F.lit(len(flat.columns)).cast("long"))  # one row by one row
+    # without pages nothing is hidden
+    plain = flat.agg(bad("age not between 18 and 75 or mood not between 1 and 5 or story <> 'sample text' or consent not in (0, 1)").alias("flat"))
+    return broken.crossJoin(changed).crossJoin(plain)  # one row each
 
 
 def stream_ingested(spark, d):

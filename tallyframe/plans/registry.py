@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.plans import queries_data, queries_stream, queries_survey, queries_tables
+from tallyframe.plans import queries_data, queries_files, queries_stream, queries_survey, queries_tables
 
-MODULES = (queries_tables, queries_data, queries_survey, queries_stream)
+MODULES = (queries_tables, queries_data, queries_survey, queries_stream, queries_files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

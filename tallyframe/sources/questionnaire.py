@@ -150,6 +150,11 @@ class Block:
     hide_if: Any = None
 
 
+def opened(items: list) -> list[Question]:
+    """Questions of items in order; blocks, and blocks within them, are opened."""
+    return [q for x in items for q in (opened(x.items) if isinstance(x, Block) else [x])]
+
+
 @dataclass
 class Page:
     name: str
@@ -172,10 +177,7 @@ class Page:
 
     def questions(self) -> list[Question]:
         """Questions in order, blocks opened (their conditions do not take part in simulation)."""
-        out: list[Question] = []
-        for x in self.items:
-            out += [q for q in x.items if isinstance(q, Question)] if isinstance(x, Block) else [x]
-        return out
+        return opened(self.items)
 
     def targets(self) -> list[str]:
         return [t for _, t in self.next_if] + ([self.default_next] if self.default_next else [])
@@ -200,8 +202,7 @@ class Questionnaire:
     scripts: list = field(default_factory=list)
 
     def questions(self) -> list[Question]:
-        found = [q for p in self.pages for q in p.questions()]
-        return found + [q for b in self.blocks for q in b.items if isinstance(q, Question)]
+        return [q for p in self.pages for q in p.questions()] + opened(self.blocks)
 
     def variable_map(self) -> VariableMap:
         return self.variables or VariableMap({v.name: v for q in self.questions() for v in q.variables()})
