@@ -59,37 +59,38 @@ def _turn(x: np.ndarray, n: int) -> np.ndarray:
     return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
 
 
-def _hash_of_equal_lengths(rows: np.ndarray) -> np.ndarray:
-    """xxhash (64 bits, seed 0) of the rows of a matrix of fewer than 32 columns."""
-    n, length = rows.shape
-    h = np.full(n, _P5 + np.uint64(length), np.uint64)
-    at = 0
-    for _ in range(length // 8):
-        lane = np.ascontiguousarray(rows[:, at : at + 8]).view("<u8")[:, 0]
-        h = _turn(h ^ (_turn(lane * _P2, 31) * _P1), 27) * _P1 + _P4
-        at += 8
-    if length - at >= 4:
-        lane = np.ascontiguousarray(rows[:, at : at + 4]).view("<u4")[:, 0].astype(np.uint64)
-        h = _turn(h ^ (lane * _P1), 23) * _P2 + _P3
-        at += 4
-    for k in range(at, length):
-        h = _turn(h ^ (rows[:, k].astype(np.uint64) * _P5), 11) * _P1
-    h = (h ^ (h >> np.uint64(33))) * _P2
-    h = (h ^ (h >> np.uint64(29))) * _P3
-    return h ^ (h >> np.uint64(32))
-
-
 def slice_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """xxhash of every slice data[start:stop]; slices of one length are hashed together."""
+    """xxhash (64 bits, seed 0) of every slice data[start:stop]; slices of one length are hashed together, eight bytes at a time."""
     out, length = np.zeros(len(start), np.uint64), stop - start
-    for n in np.unique(length[length < 32]):
-        own = np.flatnonzero(length == n)
-        out[own] = _hash_of_equal_lengths(data[start[own, None] + np.arange(n)])
-    for i in np.flatnonzero(length >= 32):
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight, four = (np.ndarray(len(data) + 1, kind, padded, strides=(1,)) for kind in ("<u8", "<u4"))  # a number at every byte
+    order = np.argsort(np.minimum(length, 32).astype(np.uint8), kind="stable")
+    ends = np.searchsorted(np.minimum(length, 32)[order], np.arange(33)) if len(order) else np.zeros(33, np.int64)
+    for n in range(32):
+        own = order[ends[n] : ends[n + 1]]
+        if len(own):
+            out[own] = _hash_at(padded, eight, four, start[own], n)
+    for i in order[ends[32] :]:
         out[i] = xxhash.xxh64_intdigest(data[start[i] : stop[i]].tobytes())
     return out
 
 
+def _hash_at(data: np.ndarray, eight: np.ndarray, four: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """xxhash of the stretches of one length, under 32 bytes, that start at the given places."""
+    h, end = np.full(len(at), _P5 + np.uint64(length), np.uint64), at + length
+    for _ in range(length // 8):
+        h = _turn(h ^ (_turn(eight[at] * _P2, 31) * _P1), 27) * _P1 + _P4
+        at = at + 8
+    if length % 8 >= 4:
+        h = _turn(h ^ (four[at].astype(np.uint64) * _P1), 23) * _P2 + _P3
+        at = at + 4
+    for k in range(length % 4, 0, -1):
+        h = _turn(h ^ (data[end - k].astype(np.uint64) * _P5), 11) * _P1
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
 def stretches(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, row offsets into bytes) of a string column, about STRETCH_BYTES at a time; null is empty."""
     if isinstance(column, pa.ChunkedArray):
