@@ -5,7 +5,7 @@
    text are one row.
 2. Grams that occur once are dropped. Equal contexts of the others become one string with its number of copies,
    so that a passage in a third of all texts is sorted once.
-3. These strings are cut into 16-byte symbols, to the right of the anchor and, reversed, to its left. Suffix sorting
+3. These strings are cut into 32-byte symbols, to the right of the anchor and, reversed, to its left. Suffix sorting
    by linear grouping (gsaca) orders the strings of a gram both ways; common prefixes of neighbours then give the
    classes of equal windows, and a window is repeated if its class holds two strings or more. A string that stands for
    several contexts is sorted as two, so its repeats are found by comparison as all others are. Whatever is removed
@@ -41,7 +41,7 @@ from tallyframe.llm.gsaca import suffix_array
 from tallyframe.llm.hashing import prefix_hash, stretch_hash, stretches
 from tallyframe.llm.packing import packed_documents, unpacked
 
-LENGTH, GRAM, GROUP, RANGE, SYMBOL = 200, 50, 4_000, 19, 16
+LENGTH, GRAM, GROUP, RANGE, SYMBOL = 200, 50, 4_000, 19, 32
 #: Distinct contexts that are suffix-sorted together (whole grams at a time).
 BLOCK = 1_000
 #: A document's key: its doc_id and the two halves of its text's digest.
@@ -123,7 +123,7 @@ def _context_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _reach(raw: list[bytes], group: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of byte strings, group by group, by suffix sorting over 16-byte symbols, and the bytes that each
+    """Order of byte strings, group by group, by suffix sorting over symbols of SYMBOL bytes, and the bytes that each
     shares with the one before it (-1 at the head of a group)."""
     m, parts = len(raw), -(-longest // SYMBOL)
     sizes = np.minimum(np.array([len(x) for x in raw]), longest)
@@ -133,9 +133,9 @@ def _reach(raw: list[bytes], group: np.ndarray, longest: int) -> tuple[np.ndarra
     cells[at, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     # symbols in order of their bytes; a symbol that is cut short ranks by its length among equals
     used = np.clip(sizes[:, None] - np.arange(parts) * SYMBOL, 0, SYMBOL)
-    wide = cells.reshape(m, parts, 2, 8)[:, :, :, ::-1].copy().view(np.uint64).reshape(m * parts, 2)
+    wide = cells.reshape(m, parts, SYMBOL // 8, 8)[:, :, :, ::-1].copy().view(np.uint64).reshape(m * parts, SYMBOL // 8)
     full = used.ravel() > 0
-    order = np.lexsort((used.ravel()[full], wide[full, 1], wide[full, 0]))
+    order = np.lexsort((used.ravel()[full], *wide[full].T[::-1]))
     ranked = np.column_stack((wide[full], used.ravel()[full].astype(np.uint64)))[order]
     fresh = np.concatenate(([0], np.any(ranked[1:] != ranked[:-1], axis=1)))
     symbol = np.empty(len(order), np.int64)
