@@ -67,12 +67,13 @@ def stream_latest(spark, d):
 
 
 def stream_retries(spark, d):
-    """Quota admission where a third of the responses come again three days after, when the watermark no longer knows them."""
+    """Quota admission where a third of the responses come again three days after the last, when the watermark no longer knows them."""
     asked = Questionnaire("Events", [Page("one", [SingleChoice("Kind", Variable("kind", "nominal", labels={"click": "Click", "view": "View", "error": "Error"}), id="kind")])])
     folder = scratch(spark, "retries")
     rows = table(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.to_json(F.struct(F.col("event_type").alias("kind"))).alias("payload_json"), F.col("ts").alias("submitted_at"))
     end = rows.agg(F.max("submitted_at").alias("end"))
-    again = rows.filter("id % 3 = 0").crossJoin(end).withColumn("submitted_at", F.col("end") + F.expr("interval 3 days")).drop("end")  # one row
+    known = F.col("submitted_at") < F.col("end") - F.expr("interval 1 day")  # ids that the watermark has let go
+    again = rows.filter("id % 3 = 0").crossJoin(end).filter(known).withColumn("submitted_at", F.col("end") + F.expr("interval 3 days")).drop("end")  # one row
     quotas = [Quota("kind", "click", 50), Quota("kind", "view", 200), Quota("kind", "error", 10**6)]
     for part in (rows, again):
         part.coalesce(2).write.mode("append").json(f"{folder}/landed")
@@ -123,9 +124,9 @@ SELECT user_id AS key, count(*) AS sessions, sum(n)::BIGINT AS events, max(epoch
 SELECT user_id, event_id, event_type, round(value, 6) AS value, false AS replayed FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
     "stream_retries": """
 WITH q(event_type, cell, most) AS (VALUES ('click', 0, 50), ('view', 1, 200), ('error', 2, 1000000)),
-r AS (SELECT event_id, cell, CASE WHEN row_number() OVER (PARTITION BY cell ORDER BY ts, event_id::VARCHAR) <= most THEN 'admitted' ELSE 'full' END AS status FROM events JOIN q USING (event_type)),
-a AS (SELECT event_id, cell, CASE status WHEN 'admitted' THEN 'retry' ELSE status END AS status FROM r WHERE event_id % 3 = 0)
-SELECT cell::INT AS cell, status, count(*) AS n, min(event_id) AS least FROM (SELECT * FROM r UNION ALL SELECT * FROM a) GROUP BY ALL""",
+r AS (SELECT event_id, cell, CASE WHEN row_number() OVER (PARTITION BY cell ORDER BY ts, event_id::VARCHAR) <= most THEN 'admitted' ELSE 'full' END AS status, ts FROM events JOIN q USING (event_type)),
+a AS (SELECT event_id, cell, CASE status WHEN 'admitted' THEN 'retry' ELSE status END AS status FROM r WHERE event_id % 3 = 0 AND ts < (SELECT max(ts) - INTERVAL 1 DAY FROM events))
+SELECT cell::INT AS cell, status, count(*) AS n, min(event_id) AS least FROM (SELECT event_id, cell, status FROM r UNION ALL SELECT * FROM a) GROUP BY ALL""",
     "sheet_pages": """
 WITH s AS (SELECT o_orderkey::DOUBLE AS o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN nullif(o_orderstatus, '') END AS status, round(o_totalprice::DOUBLE, 2) AS o_totalprice,
   CASE WHEN o_orderkey % 5 = 0 THEN 'n/a' ELSE o_custkey::VARCHAR END AS mixed FROM orders)
