@@ -161,20 +161,35 @@ def repeated_starts(raw: list[bytes], group: np.ndarray, width: np.ndarray, offs
     """(string, start) of the windows of LENGTH bytes that occur twice or more among the strings of their group, at the same
     distance from their anchors. String i has windows at 0..width[i], its anchor at offset[i], and stands for copies[i] strings;
     for two or more, two of it are sorted."""
-    own = np.concatenate((np.arange(len(raw)), np.flatnonzero(copies > 1)))
-    starts = _twin_starts([raw[i] for i in own], group[own], width[own], offset[own])
-    return np.unique(np.column_stack((own[starts[:, 0]], starts[:, 1])), axis=0) if len(starts) else starts
+    n = len(raw)
+    own = np.concatenate((np.arange(n), np.flatnonzero(copies > 1)))
+    return _twin_starts([raw[i] for i in own], group[own], width[own], offset[own], n)
 
 
-def _twin_starts(raw: list[bytes], group: np.ndarray, width: np.ndarray, offset: np.ndarray) -> np.ndarray:
+def _same(order: np.ndarray, shared: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A number for each string, equal for strings that share all of their bytes with their neighbours in order."""
+    size = size[order]
+    parted = np.ones(len(order), bool)
+    parted[1:] = (shared[1:] < size[1:]) | (size[1:] != size[:-1])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(parted)
+    return out
+
+
+def _twin_starts(raw: list[bytes], group: np.ndarray, width: np.ndarray, offset: np.ndarray, n: int) -> np.ndarray:
+    """(string, start) of the repeated windows of the first n strings; those after them are the second ones of some."""
     m = len(raw)
     right, right_shared = _reach([x[o:] for x, o in zip(raw, offset, strict=True)], group, LENGTH)
     most = int(offset.max(initial=0))
     left, left_shared = _reach([x[:o][::-1] for x, o in zip(raw, offset, strict=True)], group, max(most, 1))
+    # strings that are equal on both sides repeat as a whole; only one of them need go on
+    both = _same(left, left_shared, offset) * (m + 1) + _same(right, right_shared, np.array([len(x) for x in raw]) - offset)
+    _, ids, times = np.unique(both, return_inverse=True, return_counts=True)
+    whole = times[ids] > 1
     left_class, right_class = np.empty(m, np.int64), np.empty(m, np.int64)
     found = []
     for d in range(most + 1):
-        live = np.flatnonzero((offset >= d) & (offset - width <= d))
+        live = np.flatnonzero((offset[:n] >= d) & (offset[:n] - width[:n] <= d))
         if not len(live):
             continue
         left_class[left] = np.cumsum(left_shared < d)
@@ -183,7 +198,7 @@ def _twin_starts(raw: list[bytes], group: np.ndarray, width: np.ndarray, offset:
         order = np.argsort(both, kind="stable")
         same = both[order[1:]] == both[order[:-1]]
         twin = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        hit = live[order[twin]]
+        hit = live[order[twin | whole[live[order]]]]
         found.append(np.column_stack((hit, offset[hit] - d)))
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 

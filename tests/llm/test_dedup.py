@@ -87,9 +87,9 @@ def test_nothing_is_removed_that_suffix_sorting_did_not_find(spark, monkeypatch,
     with monkeypatch.context() as m:
         m.setattr(substring_dedup, "_sorted_spans", _blind_spans)
         assert substring_dedup.deduplicated(documents(spark, rows)).filter("n_removed > 0").count() == 0
-    assert len(find([b"x" * 200, b"x" * 200], np.zeros(2, int), np.zeros(2, int), np.zeros(2, int))) == 2
+    assert len(find([b"x" * 200, b"x" * 200], np.zeros(2, int), np.zeros(2, int), np.zeros(2, int), 2)) == 2
     monkeypatch.setattr(substring_dedup, "_reach", blind)
-    assert len(find([b"x" * 200, b"x" * 200], np.zeros(2, int), np.zeros(2, int), np.zeros(2, int))) == 0
+    assert len(find([b"x" * 200, b"x" * 200], np.zeros(2, int), np.zeros(2, int), np.zeros(2, int), 2)) == 0
 
 
 def _blind_spans(batches):
