@@ -88,7 +88,7 @@ def sheet_pages(spark, d):
     folder = scratch(spark, "sheet")
     status = F.when(F.col("o_orderkey") % 3 == 0, F.lit("")).otherwise(F.col("o_orderstatus")).alias("status")
     rows = table(spark, d, "orders").select("o_orderkey", status, "o_totalprice", F.when(F.col("o_orderkey") % 5 == 0, F.lit("n/a")).otherwise(F.col("o_custkey").cast("string")).alias("mixed"))
-    dealt = rows.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey")
+    dealt = rows.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey")
     dealt.write.format("sheet_pages").mode("append").option("page_rows", 500).save(folder)
     dealt.filter("o_orderkey % 100 = 1").write.format("sheet_pages").mode("append").save(folder)  # more rows of a sheet
     middle = rows.agg(F.max("o_orderkey")).first()[0] // 2

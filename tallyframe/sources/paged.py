@@ -1,12 +1,13 @@
 """Paged tables as a Spark source: sheets kept as pages of text cells, and hosted tables read page by page over HTTP.
 
-A page is a partition, the header row gives the columns, and filters reach the source: pages of a sheet whose bounds
-rule a filter out are not read, hosted tables get it as part of the request. Register once: `register(spark)`, then
+A page is a partition (in large sheets a part of many pages is), the header row gives the columns, and filters reach the
+source: pages of a sheet whose bounds rule a filter out are not read, hosted tables get it as part of the request. Register once: `register(spark)`, then
 `spark.read.format("sheet_pages").load(folder)` and `spark.read.format("hosted_pages").option("url", ...).load()`.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import urllib.parse
@@ -24,7 +25,13 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-INDEX = "index.json"
+INDEX = "index/index.json"
+#: The index of sheets whose index named every page itself.
+FLAT_INDEX = "index.json"
+#: Pages that a part of the index names at most.
+PART_PAGES = 100
+#: Pages up to which each is a partition; above, the parts that a filter leaves are, and their tasks choose the pages.
+PLANNED_PAGES = 200
 #: Rows of a page unless said otherwise. Fixed value: that of the hosted service.
 PAGE_ROWS = 1_000
 # Comparison signs in requests.
@@ -42,16 +49,32 @@ def _folder(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}" if not path.startswith("file:") else path.replace("file:", "file://", 1))
 
 
-def _number(text: str) -> float | None:
+def _bounds(cells: Iterable[str]) -> tuple[bool | None, list | None]:
+    """(whether all cells that are not empty are numbers, their bounds); bounds are [] where not known."""
+    found = [c for c in cells if c != ""]
+    if not found:
+        return None, None
     try:
-        return float(text)
+        numbers = list(map(float, found))
     except ValueError:
-        return None
+        return False, [min(found), max(found)]
+    return True, [] if any(map(math.isnan, numbers)) else [min(numbers), max(numbers)]
 
 
-def _bounds(cells: Iterable[str], numeric: bool) -> list | None:
-    found = [float(c) if numeric else c for c in cells if c != ""]
-    return [min(found), max(found)] if found else None
+def _joint(kinds: Sequence[bool | None]) -> bool | None:
+    """Whether a column is a number on all of several pages, of which those of None are empty."""
+    return False if False in kinds else True if True in kinds else None
+
+
+def _summary(pages: Sequence[dict]) -> dict:
+    """Kinds and bounds of several pages together."""
+    numeric, bounds = [], []
+    for kinds, found in zip(zip(*(p["numeric"] for p in pages), strict=True), zip(*(p["bounds"] for p in pages), strict=True), strict=True):
+        known = [b for b in found if b is not None]
+        mixed = [] in known or len({k for k in kinds if k is not None}) > 1  # bounds of numbers and texts do not compare
+        numeric.append(_joint(kinds))
+        bounds.append(None if not known else [] if mixed else [min(b[0] for b in known), max(b[1] for b in known)])
+    return {"numeric": numeric, "bounds": bounds}
 
 
 def rules_out(test: Filter, bounds: dict[str, list | None]) -> bool:
@@ -73,8 +96,10 @@ def rules_out(test: Filter, bounds: dict[str, list | None]) -> bool:
 
 @dataclass
 class Page(InputPartition):
+    """A page, or with `part` all pages that a part of an index names."""
+
     at: str
-    rows: int = 0
+    part: bool = False
 
     def __post_init__(self):
         super().__init__(self.at)
@@ -82,13 +107,14 @@ class Page(InputPartition):
 
 @dataclass
 class Written(WriterCommitMessage):
-    pages: list
+    parts: list
 
 
 class SheetPages(DataSource):
-    """A folder with an index (header, pages and their bounds) and a JSON file a page: {"values": [[cell, ...], ...]}.
+    """A folder with an index (header, parts and their bounds; a file a part with its pages and their bounds) and a JSON file a
+    page: {"values": [[cell, ...], ...]}.
 
-    Cells are texts; short rows are padded, empty cells are null, and a column is numeric if all its cells on all pages are
+    Tasks write parts and read them, so the driver and each task meet a line for PART_PAGES pages. Cells are texts; short rows are padded, empty cells are null, and a column is numeric if all its cells on all pages are
     numbers. Options: path; page_rows when writing.
     """
 
@@ -96,113 +122,139 @@ class SheetPages(DataSource):
     def name(cls) -> str:
         return "sheet_pages"
 
-    def _index(self) -> dict:
-        store, root = _folder(self.options["path"])
-        with store.open_input_stream(f"{root}/{INDEX}") as f:
-            return json.loads(f.read())
-
     def schema(self) -> StructType:
-        index = self._index()
+        index = _index(*_folder(self.options["path"]))
         return StructType([StructField(h, DoubleType() if n else StringType()) for h, n in zip(index["header"], _numeric(index), strict=True)])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return SheetReader(self.options["path"], self._index(), schema)
+        return SheetReader(self.options["path"], _index(*_folder(self.options["path"])), schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return SheetWriter(self.options["path"], schema.names, int(self.options.get("page_rows", PAGE_ROWS)), overwrite)
 
 
+def _json(store: fs.FileSystem, path: str):
+    with store.open_input_stream(path) as f:
+        return json.loads(f.read())
+
+
+def _index(store: fs.FileSystem, root: str) -> dict:
+    if store.get_file_info(f"{root}/{INDEX}").type == fs.FileType.NotFound:
+        flat = _json(store, f"{root}/{FLAT_INDEX}")
+        return {"header": flat["header"], "parts": flat["pages"]}
+    return _json(store, f"{root}/{INDEX}")
+
+
 def _numeric(index: dict) -> list[bool]:
     """For each column whether it is a number wherever it is not empty, and somewhere it is not."""
-    kinds = [p["numeric"] for p in index["pages"]]
-    return [any(k[i] is True for k in kinds) and not any(k[i] is False for k in kinds) for i in range(len(index["header"]))]
+    kinds = [p["numeric"] for p in index["parts"]]
+    return [_joint([k[i] for k in kinds]) is True for i in range(len(index["header"]))]
 
 
 class SheetReader(DataSourceReader):
     def __init__(self, path: str, index: dict, schema: StructType):
-        self.path, self.index, self.schema, self.filters = path, index, schema, []
+        self.path, self.header, self.parts, self.schema, self.filters = path, index["header"], index["parts"], schema, []
+        self.numeric = _numeric(index)
+
+    def __getstate__(self) -> dict:
+        """Tasks get their pages with their partition."""
+        return self.__dict__ | {"parts": []}
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         """Filters choose pages here; Spark applies them to the rows."""
         self.filters = filters
         return filters
 
-    def partitions(self) -> Sequence[Page]:
-        numeric = dict(zip(self.index["header"], _numeric(self.index), strict=True))
+    def _left(self, pages: Iterable[dict]) -> list[dict]:
+        """The pages, or parts, that the filters do not rule out."""
         kept = []
-        for page in self.index["pages"]:
+        for page in pages:
             bounds = {}
-            for h, own, b in zip(self.index["header"], page["numeric"], page["bounds"], strict=True):
-                if own is not True or numeric[h]:  # bounds of numbers say nothing of a column that is text elsewhere
+            for h, number, own, b in zip(self.header, self.numeric, page["numeric"], page["bounds"], strict=True):
+                if b != [] and (own is not True or number):  # bounds of numbers say nothing of a column that is text elsewhere
                     bounds[h] = b
             if not any(rules_out(f, bounds) for f in self.filters):
-                kept.append(Page(page["file"], page["rows"]))
-        return kept or [Page("")]
+                kept.append(page)
+        return kept
+
+    def partitions(self) -> Sequence[Page]:
+        kept = self._left(self.parts)
+        if sum(p.get("pages", 1) for p in kept) <= PLANNED_PAGES:
+            store, root = _folder(self.path)
+            kept = [page for p in kept for page in (self._left(_json(store, f"{root}/{p['file']}")) if "pages" in p else [p])]
+        return [Page(p["file"], "pages" in p) for p in kept] or [Page("")]
 
     def read(self, partition: Page) -> Iterator[pa.RecordBatch]:
         if not partition.at:
             return
         store, root = _folder(self.path)
-        with store.open_input_stream(f"{root}/{partition.at}") as f:
-            rows = json.loads(f.read())["values"]
-        place = {h: i for i, h in enumerate(self.index["header"])}
-        columns = []
-        for field in self.schema.fields:
-            i = place[field.name]
-            texts = [r[i] if i < len(r) and r[i] != "" else None for r in rows]
-            real = isinstance(field.dataType, DoubleType)
-            columns.append(pa.array([None if t is None else float(t) for t in texts], pa.float64()) if real else pa.array(texts, pa.string()))
-        yield pa.RecordBatch.from_arrays(columns, self.schema.names)
+        names = [p["file"] for p in self._left(_json(store, f"{root}/{partition.at}"))] if partition.part else [partition.at]
+        place = {h: i for i, h in enumerate(self.header)}
+        for name in names:
+            rows = _json(store, f"{root}/{name}")["values"]
+            columns = []
+            for field in self.schema.fields:
+                i = place[field.name]
+                texts = [r[i] if i < len(r) and r[i] != "" else None for r in rows]
+                real = isinstance(field.dataType, DoubleType)
+                columns.append(pa.array([None if t is None else float(t) for t in texts], pa.float64()) if real else pa.array(texts, pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, self.schema.names)
 
 
 class SheetWriter(DataSourceWriter):
-    """Each task writes pages of its own; the index names them once all tasks are done, so a lost task leaves no rows."""
+    """Each task writes pages and parts of its own; the index names the parts once all tasks are done, so a lost task leaves no rows."""
 
     def __init__(self, path: str, header: list[str], page_rows: int, overwrite: bool):
         self.path, self.header, self.page_rows, self.overwrite = path, header, page_rows, overwrite
 
-    def _page(self, rows: list[list[str]]) -> dict:
-        store, root = _folder(self.path)
-        store.create_dir(root, recursive=True)
+    def _page(self, store: fs.FileSystem, root: str, rows: list[list[str]]) -> dict:
         name = f"page-{uuid.uuid4().hex}.json"
-        trimmed = [r[: max((i + 1 for i, c in enumerate(r) if c != ""), default=0)] for r in rows]
+        trimmed = [r if r and r[-1] != "" else r[: max((i + 1 for i, c in enumerate(r) if c != ""), default=0)] for r in rows]
         with store.open_output_stream(f"{root}/{name}") as f:
             f.write(json.dumps({"values": trimmed}, ensure_ascii=False).encode())
-        columns = list(zip(*rows, strict=True))
-        numeric = [all(_number(c) is not None for c in col if c != "") if any(col) else None for col in columns]
-        return {"file": name, "rows": len(rows), "numeric": numeric, "bounds": [_bounds(c, n is True) for c, n in zip(columns, numeric, strict=True)]}
+        found = [_bounds(c) for c in zip(*rows, strict=True)]
+        return {"file": name, "rows": len(rows), "numeric": [n for n, _ in found], "bounds": [b for _, b in found]}
+
+    def _part(self, store: fs.FileSystem, root: str, pages: list[dict]) -> dict:
+        name = f"{INDEX.rsplit('/', 1)[0]}/part-{uuid.uuid4().hex}.json"
+        with store.open_output_stream(f"{root}/{name}") as f:
+            f.write(json.dumps(pages, ensure_ascii=False).encode())
+        return {"file": name, "pages": len(pages), "rows": sum(p["rows"] for p in pages), **_summary(pages)}
 
     def write(self, iterator: Iterator) -> Written:
-        cell = lambda x: "" if x is None else x.isoformat(sep=" ") if hasattr(x, "isoformat") and hasattr(x, "hour") else str(x)
-        pages, rows = [], []
-        for row in iterator:
-            rows.append([cell(x) for x in row])
-            if len(rows) == self.page_rows:
-                pages.append(self._page(rows))
-                rows = []
-        if rows:
-            pages.append(self._page(rows))
-        return Written(pages)
+        cell = lambda x: x if type(x) is str else "" if x is None else x.isoformat(sep=" ") if hasattr(x, "isoformat") and hasattr(x, "hour") else str(x)
+        store, root = _folder(self.path)
+        store.create_dir(f"{root}/{INDEX.rsplit('/', 1)[0]}", recursive=True)
+        parts, pages = [], []
+        while rows := [[cell(x) for x in row] for row in itertools.islice(iterator, self.page_rows)]:
+            pages.append(self._page(store, root, rows))
+            if len(pages) == PART_PAGES:
+                parts.append(self._part(store, root, pages))
+                pages = []
+        if pages:
+            parts.append(self._part(store, root, pages))
+        return Written(parts)
 
     def commit(self, messages: list[Written | None]) -> None:
         store, root = _folder(self.path)
-        store.create_dir(root, recursive=True)
+        store.create_dir(f"{root}/{INDEX.rsplit('/', 1)[0]}", recursive=True)
         before: list = []
-        if not self.overwrite and store.get_file_info(f"{root}/{INDEX}").type != fs.FileType.NotFound:
-            with store.open_input_stream(f"{root}/{INDEX}") as f:
-                old = json.loads(f.read())
+        if not self.overwrite and any(i.type != fs.FileType.NotFound for i in store.get_file_info([f"{root}/{INDEX}", f"{root}/{FLAT_INDEX}"])):
+            old = _index(store, root)
             if old["header"] != self.header:
                 raise ValueError(f"the sheet's columns are {', '.join(old['header'])}")
-            before = old["pages"]
-        pages = before + [p for m in messages if m is not None for p in m.pages]
+            before = old["parts"]
+        parts = before + [p for m in messages if m is not None for p in m.parts]
         with store.open_output_stream(f"{root}/{INDEX}.writing") as f:
-            f.write(json.dumps({"header": self.header, "pages": pages}, ensure_ascii=False).encode())
+            f.write(json.dumps({"header": self.header, "parts": parts}, ensure_ascii=False).encode())
         store.move(f"{root}/{INDEX}.writing", f"{root}/{INDEX}")
 
     def abort(self, messages: list[Written | None]) -> None:
         store, root = _folder(self.path)
-        for page in (p for m in messages if m is not None for p in m.pages):
-            store.delete_file(f"{root}/{page['file']}")
+        for part in (p for m in messages if m is not None for p in m.parts):
+            for page in _json(store, f"{root}/{part['file']}"):
+                store.delete_file(f"{root}/{page['file']}")
+            store.delete_file(f"{root}/{part['file']}")
 
 
 class HostedPages(DataSource):

@@ -1,6 +1,7 @@
 import http.server
 import json
 import os
+import pickle
 import re
 import threading
 import time
@@ -75,6 +76,37 @@ def test_pages_that_a_filter_rules_out_are_not_read(spark, tmp_path):
     assert spark.read.format("sheet_pages").load(str(tmp_path / "empty")).count() == 0
 
 
+def test_large_sheets_are_read_by_parts(spark, tmp_path):
+    """2,200 pages of two columns, one of them text on few pages only: no task and no plan gets a line for each page."""
+    paged.register(spark)
+    folder = str(tmp_path / "sheet")
+    number = F.col("id").cast("string")
+    df = spark.range(0, 22_000, 1, 4).select("id", F.when(F.col("id") % 9_999 == 9_998, F.concat(F.lit("t"), "id")).otherwise(number).alias("mixed"), F.when(F.col("id") == 5, "nan").otherwise(number).alias("odd"))
+    df.write.format("sheet_pages").mode("append").option("page_rows", 10).save(folder)
+    index = json.loads((tmp_path / "sheet/index/index.json").read_text())
+    back = spark.read.format("sheet_pages").load(folder)
+    assert len(index["parts"]) == back.rdd.getNumPartitions() == 24 and back.dtypes == [("id", "double"), ("mixed", "string"), ("odd", "double")]
+    assert len(pickle.dumps(paged.SheetReader(folder, index, back.schema))) < 3_000
+    whole = lambda got: sorted((int(r["id"]), r["mixed"]) for r in got.collect())
+    want = [(i, f"t{i}" if i % 9_999 == 9_998 else str(i)) for i in range(22_000)]
+    assert whole(back) == want and whole(back.filter("id < 15000")) == want[:15_000] and back.filter("id < 15000").rdd.getNumPartitions() == 16
+    assert whole(back.filter("id between 15 and 22")) == want[15:23] and back.filter("id between 15 and 22").rdd.getNumPartitions() == 2
+    assert whole(back.filter("mixed = '77'")) == [want[77]] and whole(back.filter("mixed >= 't'")) == [want[9_998], want[19_997]]
+    assert whole(back.filter("odd = 3")) == [want[3]]
+
+
+def test_sheets_whose_index_names_all_pages_are_read(spark, tmp_path):
+    paged.register(spark)
+    pages = []
+    for k in range(2):
+        (tmp_path / f"page-{k}.json").write_text(json.dumps({"values": [[str(k)]]}))
+        pages.append({"file": f"page-{k}.json", "rows": 1, "numeric": [True], "bounds": [[k, k]]})
+    (tmp_path / "index.json").write_text(json.dumps({"header": ["id"], "pages": pages}))
+    spark.range(2, 3).write.format("sheet_pages").mode("append").save(str(tmp_path))
+    back = spark.read.format("sheet_pages").load(str(tmp_path))
+    assert sorted(r["id"] for r in back.collect()) == [0, 1, 2] and back.rdd.getNumPartitions() == 3 and back.filter("id = 1").rdd.getNumPartitions() == 1
+
+
 @pytest.mark.parametrize("test, bounds, out", [
     (paged.EqualTo(("a",), 5.0), [1, 4], True), (paged.EqualTo(("a",), 4.0), [1, 4], False), (paged.GreaterThan(("a",), 4), [1, 4], True), (paged.LessThan(("a",), 1), [1, 4], True),
     (paged.LessThanOrEqual(("a",), 1), [1, 4], False), (paged.In(("a",), (0, None)), [1, 4], True), (paged.EqualTo(("a",), 1), None, True), (paged.EqualTo(("b",), 1), [5, 6], False),
