@@ -76,7 +76,7 @@ def stream_retries(spark, d):
     again = rows.filter("id % 3 = 0").crossJoin(end).filter(known).withColumn("submitted_at", F.col("end") + F.expr("interval 3 days")).drop("end")  # one row
     quotas = [Quota("kind", "click", 50), Quota("kind", "view", 200), Quota("kind", "error", 10**6)]
     for part in (rows, again):
-        part.coalesce(2).write.mode("append").json(f"{folder}/landed")
+        part.coalesce(1_000).write.mode("append").json(f"{folder}/landed")  # the files of a delivery fit one batch of the stream
         typed = ingest.typed_responses(ingest.landed(spark, f"{folder}/landed"), asked, late="1 hour")
         ingest.append_to(stateful.admitted_once(typed, quotas), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out").groupBy("cell", "status").agg(F.count("*").alias("n"), F.min(F.col("_response_id").cast("long")).alias("least"))

@@ -6,7 +6,10 @@ import json
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +29,22 @@ def keep_state_on_disk(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
+#: Ids of one entry of the state: few calls for many ids, and little to write again when one is added.
+BLOCK = 2_000
+#: Rows that are compared with the first ones at once, at least; as many as there are places where those are more.
+AT_ONCE = 100_000
+
+
+def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    """By time, then id; rows without a time last."""
+    keys = pa.table({c: pa.array(rows[c], from_pandas=True) for c in ("submitted", "response")})
+    return rows.take(pc.sort_indices(keys, sort_keys=[(c, "ascending") for c in keys.column_names]).to_numpy())
+
+
 class Admission(StatefulProcessor):
     """Counts a cell's admitted responses and remembers their ids, so that a retry, however late, never counts again.
 
-    State of a cell: one number, and at most `limit` ids. An id expires when a response of its cell is submitted `keep` days
+    State of a cell: one number, and at most `limit` ids in blocks. An id expires when a response of its cell is submitted `keep` days
     after it (the count stays). Turned down ids are not kept: a retry of one is turned down again.
     """
 
@@ -38,44 +53,74 @@ class Admission(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.taken = handle.getValueState("taken", "taken long")
-        self.ids = handle.getMapState("ids", "id string", "submitted timestamp")
+        self.ids = handle.getMapState("ids", "block long", "ids array<string>, submitted array<long>")
+
+    def _known(self) -> pd.DataFrame:
+        """Ids of the cell with their time in microseconds and their block; at most the limit."""
+        blocks = [pd.DataFrame({"response": v[0], "submitted": v[1], "block": k[0]}) for k, v in self.ids.iterator()]
+        return pd.concat(blocks, ignore_index=True) if blocks else pd.DataFrame({"response": [], "submitted": np.array([], "int64"), "block": np.array([], "int64")})
+
+    def _keep(self, known: pd.DataFrame, first: pd.DataFrame, latest: pd.Timestamp | None) -> None:
+        """Writes the blocks that new ids or expired ones change."""
+        gone = np.zeros(len(known), bool)
+        if pd.notna(latest):
+            gone = ((known["submitted"] < (latest - self.keep).value // 1_000) & (known["submitted"] != pd.NaT.value)).to_numpy(bool)
+        rest, last = known[~gone], 0 if known.empty else int(known["block"].max())
+        at = first["submitted"].astype("datetime64[us]").astype("int64")
+        block = last + ((rest["block"] == last).sum() + np.arange(len(first))) // BLOCK
+        added = pd.DataFrame({"response": first["response"], "submitted": at, "block": block})
+        kept = pd.concat([rest, added]) if len(rest) else added
+        touched = {*known["block"][gone], *added["block"]}
+        for n, rows in kept[kept["block"].isin(touched)].groupby("block"):
+            self.ids.updateValue((int(n),), (rows["response"].tolist(), rows["submitted"].tolist()))
+        for n in touched - set(kept["block"]):
+            self.ids.removeKey((int(n),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        def told(some: pd.DataFrame, status: str) -> pd.DataFrame:
-            return pd.DataFrame({"_response_id": some["response"], "cell": key[0], "status": status})
+        def told(some: pd.DataFrame, status: str) -> Iterator[pd.DataFrame]:
+            for k in range(0, len(some), AT_ONCE):
+                yield pd.DataFrame({"_response_id": some["response"].iloc[k : k + AT_ONCE], "cell": key[0], "status": status})
 
         taken = self.taken.get()[0] if self.taken.exists() else 0
-        known = {k[0]: pd.Timestamp(v[0]) for k, v in self.ids.iterator()}  # at most the limit
-        first = latest = None
+        known = self._known()
+        index = pd.Index(known["response"], dtype=object)
+        latest = first = None
         again_here = []  # rows of an id that has a candidate in this batch
-        for batch in rows:
-            latest = max(x for x in (latest, batch["submitted"].max()) if x is not None)
-            room = max(0, int(batch["limit"].iloc[0]) - taken)
-            again = batch["response"].isin(known)
-            if again.any():
-                yield told(batch[again], "retry")
-            met = batch[~again] if first is None else pd.concat([first, batch[~again]])
-            met = met.sort_values(["submitted", "response"])
+        held, waiting = [], 0  # rows that were not yet compared with the first ones
+
+        def compared() -> Iterator[pd.DataFrame]:
+            nonlocal first, held, waiting
+            met = _in_order(pd.concat(held if first is None else [first, *held], ignore_index=True))
             twice = met.duplicated("response")
             if twice.any():  # the earlier row stands
                 again_here.append(met[twice])
                 met = met[~twice]
-            first = met.iloc[:room]
-            if len(met) > room:
-                yield told(met.iloc[room:], "full")
+            first, held, waiting = met.iloc[:room], [], 0
+            yield from told(met.iloc[room:], "full")
+
+        for batch in rows:
+            times = batch["submitted"].max()
+            latest = times if latest is None or times > latest else latest
+            latest = None if pd.isna(latest) else latest
+            room = max(0, int(batch["limit"].iloc[0]) - taken)
+            again = index.get_indexer(batch["response"]) >= 0
+            yield from told(batch[again], "retry")
+            held.append(batch[~again])
+            waiting += len(held[-1])
+            if waiting >= max(room, AT_ONCE):
+                yield from compared()
+        if waiting:
+            yield from compared()
         for some in again_here:
             admitted = some["response"].isin(first["response"])
             for part, status in ((some[admitted], "retry"), (some[~admitted], "full")):
-                if len(part):
-                    yield told(part, status)
-        if first is not None and len(first):
-            for i, at in zip(first["response"], first["submitted"], strict=True):
-                self.ids.updateValue((i,), (at.to_pydatetime(),))
+                yield from told(part, status)
+        if first is None:
+            first = pd.DataFrame({"response": [], "submitted": np.array([], "datetime64[us]")})
+        self._keep(known, first, latest)
+        if len(first):
             self.taken.update((taken + len(first),))
-            yield told(first, "admitted")
-        for i, at in known.items():
-            if pd.notna(latest) and at < latest - self.keep:
-                self.ids.removeKey((i,))
+            yield from told(first, "admitted")
 
     def close(self) -> None:
         pass
@@ -84,7 +129,8 @@ class Admission(StatefulProcessor):
 def admitted_once(stream: DataFrame, quotas: Sequence[Quota], keep_days: float = 90) -> DataFrame:
     """_response_id, cell, status ("admitted", "full" or "retry") for responses under a quota, in order of arrival (by time,
     then id, in a batch). Responses without an id count each. A retry of an admitted id is told as such within keep_days; of two
-    rows of one id in a batch the earlier one counts. A task holds one batch and the open places of a cell.
+    rows of one id in a batch the earlier one counts. A task holds the open places of a cell and as many rows
+    again, AT_ONCE at least.
     """
     keep_state_on_disk(stream.sparkSession)
     cells = stream.withColumns({"cell": _cell(quotas, lambda i, q: i).cast("int"), "limit": _cell(quotas, lambda i, q: q.limit).cast("long")})

@@ -7,6 +7,7 @@ import threading
 import time
 import urllib.parse
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,46 @@ def test_retries_count_once_until_their_id_expires(spark, tmp_path):
     assert ("t", 0, "full") in third and ("x", 0, "full") in fourth and len(fourth) == len(second) + 2
 
 
+def test_admission_writes_blocks_and_rarely_sorts(monkeypatch):
+    """7,500 ids of a cell in four calls, 12,000 rows in Arrow batches of 100 in two comparisons; ids expire from within a block."""
+
+    class Kept(dict):
+        calls = 0
+
+        def update(self, value):
+            self[()] = value
+
+        def updateValue(self, k, v):  # noqa: N802
+            self[k], self.calls = v, self.calls + 1
+
+        removeKey, iterator, exists, get = dict.pop, dict.items, dict.__len__, lambda self: self[()]  # noqa: N815
+
+    states, sorts = {}, []
+    admission = stateful.Admission(10)
+    admission.init(type("Handle", (), {k: lambda self, name, *a: states.setdefault(name, Kept()) for k in ("getValueState", "getMapState")})())
+    monkeypatch.setattr(stateful, "AT_ONCE", 1_000)
+    in_order = getattr(stateful, "_in_order", lambda rows: rows)
+    monkeypatch.setattr(stateful, "_in_order", lambda rows: sorts.append(len(rows)) or in_order(rows), raising=False)
+
+    def told(rows, limit=7_500):
+        frame = pd.DataFrame(rows, columns=["response", "submitted"]).assign(limit=limit)
+        frame["submitted"] = pd.to_datetime(frame["submitted"])
+        out = pd.concat(admission.handleInputRows((0,), iter([frame.iloc[k : k + 100] for k in range(0, len(frame), 100)]), None))
+        return sorted(zip(out["_response_id"], out["status"], strict=True))
+
+    start = pd.Timestamp("2024-01-01")
+    rows = [(f"r{i:05}", start + pd.Timedelta(minutes=i)) for i in range(12_000)]
+    dealt = [rows[i * 7 % 12_000] for i in range(11_999)] + [("r00007", start + pd.Timedelta(days=9))]  # one id twice, none of r11993
+    first = told(dealt)
+    assert first == sorted([(r, "admitted" if r < "r07500" else "full") for r, _ in rows if r != "r11993"] + [("r00007", "retry")])
+    assert states["ids"].calls == 4 and len(states["ids"]) == 4 and sorts == [7_500, 12_000]
+    assert told([("r00001", None), ("r09000", start)]) == [("r00001", "retry"), ("r09000", "full")] and states["ids"].calls == 4
+    late = start + pd.Timedelta(days=10, minutes=2_500)
+    assert told([("new", late), ("none", None)], 7_502) == [("new", "admitted"), ("none", "admitted")]
+    assert told([("r02499", start), ("r02500", start), ("new", late), ("none", None)], 7_502) == [("new", "retry"), ("none", "retry"), ("r02499", "full"), ("r02500", "retry")]
+    assert [len(v[0]) for _, v in sorted(states["ids"].items())] == [1_500, 2_000, 1_502]
+
+
 def test_latest_rows_survive_replays_and_lost_batches(spark, tmp_path):
     table = stateful.LatestTable(spark, str(tmp_path / "latest"), "who", ["at"], buckets=4)
     with pytest.raises(ValueError):
