@@ -45,6 +45,13 @@ def test_retries_count_once_until_their_id_expires(spark, tmp_path):
     assert ("t", 0, "full") in third and ("x", 0, "full") in fourth and len(fourth) == len(second) + 2
 
 
+def test_admission_parses_a_payload_once(spark, tmp_path, capsys):
+    os.mkdir(f"{tmp_path}/landed")
+    stateful.admitted_once(parsed(ingest.landed(spark, f"{tmp_path}/landed"), ASKED), [Quota("kind", "a", 3), Quota("kind", "b", 1)]).explain()
+    shown = capsys.readouterr().out
+    assert len(re.findall("from_json|jsontostructs", shown)) == 1, shown[:3000]
+
+
 def test_admission_writes_blocks_and_rarely_sorts(monkeypatch):
     """7,500 ids of a cell in four calls, 12,000 rows in Arrow batches of 100 in two comparisons; ids expire from within a block."""
 
